@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panweave.llm import quality
+from panweave.llm import bpe, licenses, media, quality
 from panweave.llm.common import documents, table
 
 
@@ -13,5 +14,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(documents(spark, sf_dir))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_media_columns, op6_byte_bpe)}
 ORACLE: dict[str, str] = {}
