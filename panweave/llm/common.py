@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -70,3 +71,14 @@ def keep_rows(docs: DataFrame, keeps: Callable[[list], list[bool]], *, text: str
             yield batch.filter(pa.array(keeps(batch.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to a new folder beside the checkpoints, which all machines share, and read it back."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panweave-"))
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

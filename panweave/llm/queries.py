@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panweave.llm import bpe, licenses, media, quality
+from panweave.llm import bpe, licenses, media, packing, quality, token_counts
 from panweave.llm.common import documents, table
 
 
@@ -26,5 +26,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_media_columns, op6_byte_bpe)}
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_document_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_media_columns, op4_token_counts, op6_byte_bpe, op7_packing)}
 ORACLE: dict[str, str] = {}
