@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panweave.llm import bpe, licenses, media, packing, quality, token_counts
+from panweave.llm import bpe, licenses, media, packing, quality, simhash, token_counts
 from panweave.llm.common import documents, table
 
 
@@ -34,5 +34,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_media_columns, op4_token_counts, op6_byte_bpe, op7_packing)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_media_columns, op4_token_counts, op6_byte_bpe, op7_packing, op9_simhash)}
 ORACLE: dict[str, str] = {}
