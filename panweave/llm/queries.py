@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panweave.llm import bpe, licenses, media, packing, quality, simhash, token_counts, toxicity
+from panweave.llm import bpe, licenses, line_dedup, media, packing, quality, simhash, token_counts, toxicity
 from panweave.llm.common import documents, table
 
 
@@ -42,5 +42,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_media_columns, op4_token_counts, op6_byte_bpe, op7_packing, op9_simhash, op10_toxicity)}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_media_columns, op4_token_counts, op5_line_dedup, op6_byte_bpe, op7_packing, op9_simhash, op10_toxicity)}
 ORACLE: dict[str, str] = {}
