@@ -25,9 +25,8 @@ from pyspark.sql import DataFrame
 from panweave.llm.common import map_texts
 
 FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Entries that each table of a Python worker may hold, and bytes of the largest entry.
-KEPT_WORDS, KEPT_PARTS, KEPT_BYTES = 400_000, 400_000, 48
-LEAF = 6
+#: Entries of each generation of a Python worker's tables, bytes of the largest entry, bytes of a leaf.
+KEPT_WORDS, KEPT_PARTS, KEPT_BYTES, LEAF = 200_000, 200_000, 48, 5
 
 
 class Encoder:
@@ -38,6 +37,7 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.parts: dict[bytes, tuple[int, ...]] = {}
         self.words: dict[str, tuple[str, bytes]] = {}
+        self.old_words: dict[str, tuple[str, bytes]] = {}
 
     def leaf(self, data: bytes) -> tuple[int, ...]:
         """Merges of lowest rank first, leftmost first; meant for a few bytes."""
@@ -109,11 +109,12 @@ class Encoder:
 
     def word(self, unit: str) -> tuple[str, bytes]:
         """Decimal ids joined by commas, and the bytes that they decode to, of a run between pattern boundaries."""
-        ids = self.encode(unit)
-        made = ",".join(map(str, ids)), self.decode(ids)
+        if (made := self.old_words.get(unit)) is None:
+            ids = self.encode(unit)
+            made = ",".join(map(str, ids)), self.decode(ids)
         if len(unit) <= KEPT_BYTES:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
+            if len(self.words) >= KEPT_WORDS:  # words in use move on, others go with the old generation
+                self.old_words, self.words = self.words, {}
             self.words[unit] = made
         return made
 

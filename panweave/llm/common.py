@@ -46,6 +46,11 @@ def column(df: DataFrame, name: str):
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def doc_rank(doc_id):
+    """An id to order and join documents by: null goes below all ids."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
+
+
 def map_texts(
     docs: DataFrame, of_texts: Callable[[list], list[pa.Array]], fields: str, *, ids: tuple[str, ...] = ("doc_id",), text: str = "text"
 ) -> DataFrame:

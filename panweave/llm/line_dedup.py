@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from panweave.llm.common import column, free_name, stored
+from panweave.llm.common import column, doc_rank, free_name, stored
 
 RARE_WORDS, BLOCK_WORDS = 8, 20
 KEY = "doc_rank long, text_key long"
@@ -40,10 +40,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_rank(F.col("doc_id")).alias("doc_rank"), text_key(text).alias("text_key"), text.alias("text"))
 
 
-def doc_rank(doc_id):
-    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
-
-
 def text_key(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 

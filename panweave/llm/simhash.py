@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panweave.llm.common import column, cut, free_name, map_texts
+from panweave.llm.common import column, cut, doc_rank, free_name, map_texts, stored
 from panweave.llm.components import components
 
 SEED, SHINGLE, DISTANCE, BLOCKS, CROWD = 42, 4, 4, 7, 512
@@ -186,3 +186,113 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = known.join(least, "root").select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def minhash_bands(hashes: np.ndarray, rows: int = BAND_ROWS, bands: int = BANDS) -> list[int]:
+    """One number (signed) for each band of ``rows`` minwise hashes of a set of shingles."""
+    if not len(hashes):
+        return [0] * bands
+    odd = np.random.default_rng(SEED).integers(1, 2**63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(rows * bands, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), PORTION // 8):
+        mixed = hashes[at : at + PORTION // 8, None] * odd[None, :]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(least, mixed.min(0), out=least)
+    return [xxhash.xxh64_intdigest(x.tobytes(), i) - 2**63 for i, x in enumerate(least.reshape(bands, rows))]
+
+
+def signatures(docs: DataFrame, size: int) -> DataFrame:
+    """One row for each distinct text: node (its smallest rank), fp, bands (array of long)."""
+
+    def of(texts: list) -> list[pa.Array]:
+        fps, bands = [], []
+        for text in texts:
+            hashes = shingle_hashes(text, size)
+            fps.append(fingerprint(hashes))
+            bands.append(minhash_bands(np.unique(hashes)))
+        return [pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    ranked = docs.select(doc_rank(F.col("doc_id")).alias("doc_rank"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
+    made = map_texts(ranked, of, "fp long, bands array<long>", ids=("doc_rank", "k1", "k2"))
+    return made.groupBy("k1", "k2").agg(F.min("doc_rank").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+
+
+def band_candidates(signed: DataFrame, far: int = FAR_BITS) -> DataFrame:
+    """Pairs (a, b) of nodes that share a band and aren't farther apart than ``far`` bits: each member of a band with
+    the band's first and with the one before it, so a band makes two pairs for each member and not all."""
+    keyed = signed.select("node", "fp", F.posexplode("bands").alias("band", "value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = first = None  # band, value, node, fp of the row before; node, fp of its band's first row
+        for batch in batches:
+            rows = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], np.int64)
+            n = rows.shape[1]
+            if not n:
+                continue
+            if carry is not None:
+                rows = np.concatenate([carry[:, None], rows], axis=1)
+            new = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
+            heads = np.maximum.accumulate(np.where(new, np.arange(rows.shape[1]), 0))
+            start_node, start_fp = rows[2, heads], rows[3, heads]
+            if carry is not None:
+                old = heads == 0
+                start_node[old], start_fp[old] = first
+            a, b = [], []
+            for other, fp in ((start_node, start_fp), (np.roll(rows[2], 1), np.roll(rows[3], 1))):
+                keep = ~new & (rows[2] != other) & (apart(rows[3], fp) <= far)
+                a.append(rows[2, keep])
+                b.append(other[keep])
+            carry, first = rows[:, -1], (start_node[-1], start_fp[-1])
+            pairs = np.concatenate(a), np.concatenate(b)
+            links = np.unique(np.array([np.maximum(*pairs), np.minimum(*pairs)]).T, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0], pa.int64()), pa.array(links[:, 1], pa.int64())], ["a", "b"])
+
+    dealt = keyed.select(F.col("band").cast("long").alias("band"), "value", "node", "fp").repartition("band", "value").sortWithinPartitions("band", "value", "fp", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those pairs whose texts' shingle sets have at least this share in common. Only the candidates' texts are sent."""
+    texts = docs.select(doc_rank(F.col("doc_id")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    hashed = map_texts(texts.join(wanted, "node", "left_semi"), lambda x: [pa.array([np.unique(shingle_hashes(t, size)).view(np.int64) for t in x], pa.list_(pa.int64()))], "shingles array<long>", ids=("node",))
+    sets = cut(hashed.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                total = len(x) + len(y) - common
+                near.append(total == 0 or common >= similarity * total)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_duplicate_links(docs: DataFrame, *, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Signatures of the distinct texts, and links (a, b) of similar ones, between the smallest ranks of each text."""
+    signed = stored(signatures(docs, size), "simhash")
+    fps = signed.groupBy("fp").agg(F.min("node").alias("node"))
+    close = fingerprint_links(fps.select("fp"))
+    by_fp = fps.withColumnsRenamed({"fp": "key", "node": "at"})
+    simhash = close.join(by_fp, close["a"] == by_fp["key"]).select(F.col("at").alias("a"), "b").join(by_fp.withColumnRenamed("at", "to"), F.col("b") == F.col("key")).select("a", F.col("to").alias("b"))
+    same_fp = signed.join(fps.withColumnRenamed("node", "first"), "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    pairs = cut(band_candidates(signed).unionByName(simhash).unionByName(same_fp).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    return signed, similar_pairs(pairs, docs, size, similarity)
+
+
+def drop_near_duplicates(docs: DataFrame, *, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without the rows that have an equal or similar one of smaller rank in their group."""
+    signed, links = near_duplicate_links(docs, size=size, similarity=similarity)
+    lost = components(links).filter("node <> root").select("node")
+    keep = cut(signed.select("node").distinct().join(lost, "node", "left_anti"))
+    name = free_name(docs, "near_duplicate_node")
+    kept = docs.withColumn(name, doc_rank(column(docs, "doc_id"))).join(keep.withColumnRenamed("node", name), name, "left_semi")
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([name])  # rows that share an id are one document
+    return kept.select(*(column(kept, c) for c in docs.columns))

@@ -7,7 +7,6 @@ bounded table of every Python worker, so most of a corpus costs one table look-u
 from __future__ import annotations
 
 import os
-import re
 from functools import cache
 
 import numpy as np
@@ -16,8 +15,9 @@ import numpy as np
 KEPT_WORDS, KEPT_BYTES, BATCH = 200_000, 64, 512
 #: A control character, which such a tokenizer takes as a piece of its own; runs encoded at a time.
 MARK, MARKED, TOGETHER = b"\x01", b" \x01 ", 256
-#: Where white space may be put without a change of pieces: between a plain letter or digit and a mark that ends a word.
-WORD_END = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,](?:[ \n]|\Z))")
+#: After a plain letter or digit these are pieces of their own at the end of a run.
+ENDS = (b".", b",")
+PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def runs_of(text: str) -> list[bytes]:
@@ -26,7 +26,12 @@ def runs_of(text: str) -> list[bytes]:
     data = text.encode("utf-8", "replace")
     if b"\xcc" not in data and b"\xcd" not in data:
         data = data.lower()
-    return WORD_END.sub(b" ", data).split()
+    return data.split()
+
+
+def latin(run: str) -> bool:
+    """Only letters that stay letters when composed and lower-cased."""
+    return run.isalpha() and max(run) < "\u0250" and "\u0130" not in run
 
 
 class WordTokens:
@@ -38,27 +43,41 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.marks = np.zeros_like(self.word_ends)
+        self.marks[self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def encode(self, runs: list[bytes]) -> list[bytes]:
-        """The ids of each run. Many are encoded as one text, with a mark between them that has an id of its own."""
-        apart = {x: None for x in runs if MARK in x}
-        for x in apart:
-            apart[x] = np.array(self.tokenizer.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        plain = [x for x in runs if x not in apart] if apart else runs
+    def together(self, runs: list[bytes], mark: bytes, at_end: np.ndarray, keep: int) -> list[bytes]:
+        """The ids of runs that are encoded as one text; a run's part ends at an id of ``at_end``, kept or not."""
         made: list[bytes] = []
-        for at in range(0, len(plain), TOGETHER):
-            text = MARKED.join(plain[at : at + TOGETHER]).decode("utf-8", "replace")
+        for at in range(0, len(runs), TOGETHER):
+            text = mark.join(runs[at : at + TOGETHER]).decode("utf-8", "replace")
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark) * 4
+            ends = (np.flatnonzero(at_end[ids]) + 1) * 4
             data = ids.tobytes()
-            made += [data[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(data)], strict=True)]
-        if not apart:
-            return made
-        rest = iter(made)
-        return [apart[x] if x in apart else next(rest) for x in runs]
+            stops = ends.tolist() if keep else [*(ends - 4).tolist(), len(data)]
+            starts = [0, *ends.tolist()]
+            made += [data[a:b] for a, b in zip(starts, stops, strict=False)]
+        return made
+
+    def encode(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each run. Many are encoded as one text: runs of letters are one piece each, and a piece's last
+        id is the only one that ends a word; other runs are set apart by a mark that has an id of its own."""
+        letters, mixed, out = [], [], {}
+        for x in runs:
+            if x.isalpha() or latin(x.decode("utf-8", "replace")):
+                letters.append(x)
+            elif MARK in x:
+                out[x] = np.array(self.tokenizer.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                mixed.append(x)
+        out.update(zip(letters, self.together(letters, b" ", self.word_ends, 1), strict=True))
+        out.update(zip(mixed, self.together(mixed, MARKED, self.marks, 0), strict=True))
+        return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none of a null or empty one."""
@@ -74,12 +93,18 @@ class WordTokens:
         words -= self.young.keys()
         self.young.update((w, self.old[w]) for w in words & self.old.keys())
         new = list(words - self.old.keys())
-        self.young.update(zip(new, self.encode(new), strict=True))
+        ended = [w for w in new if len(w) > 1 and w[-1:] in ENDS and w[-2] in PLAIN]
+        whole = {w[:-1] for w in ended} - self.young.keys()
+        self.young.update((w, self.old[w]) for w in whole & self.old.keys())
+        whole.update(w for w in new if w[-1:] not in ENDS or len(w) == 1 or w[-2] not in PLAIN)
+        whole.update(ENDS)
+        self.young.update(self.encode(list(whole - self.young.keys())))
+        self.young.update((w, self.young[w[:-1]] + self.young[w[-1:]]) for w in ended)
         get = self.young.__getitem__
         out = [b"".join(map(get, x)) for x in cut]
-        for w in new:
+        for w in [*new, *(w[:-1] for w in ended)]:
             if len(w) > KEPT_BYTES:
-                del self.young[w]
+                self.young.pop(w, None)
         return out
 
 
