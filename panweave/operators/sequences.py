@@ -6,7 +6,7 @@ at once, and windows are byte slices, which cost their own length wherever they
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +38,18 @@ def blocks(strains: DataFrame, width: int, *, margin: int = 1) -> DataFrame:
     return cut.select("strain", "len", "at", lead.cast("int").alias("lead"), F.substring("seq", (F.col("at") - lead + 1).cast("int"), (lead + BLOCK + width - 1 + margin).cast("int")).alias("block"))
 
 
+def slices(wanted: DataFrame, strains: DataFrame, width: int) -> DataFrame:
+    """``wanted`` (with strain, begin and size up to ``width``) with the text there; clipped at the strain's end.
+
+    Strains are joined as blocks, so a row never carries a whole strain."""
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1, F.lit(BLOCK).cast("long")))
+    parts = strains.filter("len > 0").select("strain", "len", F.col("seq").cast("binary").alias("seq"), begin.alias("_at"))
+    parts = parts.select("strain", "len", "_at", F.substring("seq", (F.col("_at") + 1).cast("int"), F.lit(BLOCK + width)).alias("_block"))
+    joined = wanted.withColumn("_at", F.col("begin") - F.col("begin") % BLOCK).join(parts, ["strain", "_at"])
+    text = F.substring("_block", (F.col("begin") - F.col("_at") + 1).cast("int"), F.col("size").cast("int")).cast("string")
+    return joined.withColumn("text", text).drop("_at", "_block")
+
+
 def windows(strains: DataFrame, width: int, *, neighbours: bool = False) -> DataFrame:
     """strain, pos and gram of every window; with neighbours also prev and next.
 
@@ -62,12 +74,14 @@ def windows(strains: DataFrame, width: int, *, neighbours: bool = False) -> Data
     return rows.crossJoin(F.broadcast(first)).select("strain", "pos", "gram", prev.alias("prev"), F.coalesce("next", F.concat(F.lit("%"), F.col("strain").cast("string"))).alias("next"))
 
 
-def reads_of(rows: DataFrame, length: int, *, id_column: str = "item_id", text_column: str = "text", least: int = 40) -> DataFrame:
-    """read_id and seq: consecutive pieces of this length of each row's bases, the last one if it has at least ``least``."""
+def reads_of(rows: DataFrame, length: int, *, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
+    """read_id and seq: consecutive pieces of this length of each row's bases; the last one takes the rest."""
     seq = rows.select(F.col(id_column).cast("long").alias("item"), dna(F.col(text_column)).alias("seq"))
-    pieces = seq.select("item", "seq", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((F.length("seq") - least + 1) / length) - 1, F.lit(0)).cast("int"))).alias("part"))
-    read = F.substring(F.col("seq"), F.col("part") * length + 1, F.lit(length))
-    return pieces.select((F.col("item") * 1000 + F.col("part")).alias("read_id"), read.alias("seq")).filter(F.length("seq") >= least)
+    count = F.greatest(F.floor(F.length("seq") / length), F.lit(1)).cast("int")
+    pieces = seq.withColumn("count", count).select("item", "seq", "count", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("part"))
+    size = F.when(F.col("part") + 1 < F.col("count"), length).otherwise(F.length("seq"))
+    read = F.substring(F.col("seq"), F.col("part") * length + 1, size)
+    return pieces.select((F.col("item") * 1000 + F.col("part")).alias("read_id"), read.alias("seq")).filter("seq <> ''")
 
 
 def mutated(reads: DataFrame) -> DataFrame:
@@ -85,7 +99,3 @@ def both_ways(reads: DataFrame) -> DataFrame:
 
 def without_n(reads: DataFrame) -> DataFrame:
     return reads.filter(~F.col("seq").contains("N"))
-
-
-def mismatch(a: Column, b: Column) -> Column:
-    return (a != b).cast("int")
