@@ -73,7 +73,7 @@ def cut_documents(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end:
         last = end.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), word_tokens(path).ids(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), word_tokens(path).ids(batch.column(1)), strict=True):
                 data, n = ids + last, len(ids) // 4 + 1
                 rows += [(doc, at, min(capacity, n - at), zlib.crc32(data[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names)

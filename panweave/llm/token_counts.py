@@ -45,7 +45,7 @@ def write_token_files(docs: DataFrame, path: str, *, separator: int = SEPARATOR,
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names)
 
         for batch in batches:
-            made = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end for x in word_tokens(path).ids(batch.column(1).to_pylist())]
+            made = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end for x in word_tokens(path).ids(batch.column(1))]
             data = b"".join([waiting, *made])
             full = len(data) // size
             ids = batch.column(0).to_pylist()
