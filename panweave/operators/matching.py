@@ -32,8 +32,8 @@ def longest(reads: DataFrame) -> int:
     return reads.agg(F.max(F.length("seq"))).first()[0] or 1
 
 
-def seeds(reads: DataFrame, k: int, scheme: str = schemes.DEFAULT, *, partition: str = "uniform") -> DataFrame:
-    """read_id, rc, seq, offset, word: the exact slice of each search, cut to a length of WORDS.
+def seeds(reads: DataFrame, k: int, scheme: str = schemes.DEFAULT, *, partition: str = "uniform", most: int = WORDS[-1]) -> DataFrame:
+    """read_id, rc, seq, offset, word: the exact slice of each search, cut to a length of WORDS, ``most`` at most.
 
     A search that begins with an inexact part has no such slice; then the slices of the pigeonhole scheme serve."""
     chosen = [schemes.Search((0,), (0,), (0,))] if k == 0 else schemes.searches(scheme, k)
@@ -49,7 +49,7 @@ def seeds(reads: DataFrame, k: int, scheme: str = schemes.DEFAULT, *, partition:
     slice_ = [F.struct(F.col("parts")[a]["begin"].alias("begin"), F.col("parts")[b]["end"].alias("end")) for a, b in spans]
     each = found.select("read_id", "rc", "seq", F.inline(F.array(*slice_)))
     n = F.col("end") - F.col("begin")
-    size = reduce(lambda e, w: e.when(n >= w, w), sorted(WORDS, reverse=True), F.when(F.lit(False), 0))
+    size = reduce(lambda e, w: e.when(n >= w, w), sorted((w for w in WORDS if w <= most), reverse=True), F.when(F.lit(False), 0))
     word = F.substring(F.col("seq"), F.col("begin") + 1, F.col("size"))
     return each.withColumn("size", size).filter("size is not null").select("read_id", "rc", "seq", F.col("begin").alias("offset"), word.alias("word"))
 

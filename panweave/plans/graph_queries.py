@@ -16,7 +16,17 @@ K = 20
 
 
 def graph(spark: SparkSession, sf_dir: str, k: int = K) -> Graph:
-    return Graph(T.strains(spark, sf_dir, k), k)
+    """The graph of all documents. It is built once for each application, like an index, and its tables are stored in
+    the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, k)
+    if key not in _built:
+        while len(_built) >= 6:
+            _built.pop(next(iter(_built)))
+        _built[key] = Graph(T.strains(spark, sf_dir, k), k)
+    return _built[key]
+
+
+_built: dict[tuple, Graph] = {}
 
 
 @query(f"WITH {O.graph(K)} SELECT * FROM nodes")
