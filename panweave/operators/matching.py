@@ -85,12 +85,17 @@ def hamming_occurrences(reads: DataFrame, strains: DataFrame, k: int, scheme: st
 
 def edit_occurrences(reads: DataFrame, strains: DataFrame, k: int, scheme: str = schemes.DEFAULT, *, partition: str = "uniform") -> DataFrame:
     """read_id, rc, strain, begin, length, ed of all substrings of strains within edit distance k."""
-    shifts = F.explode(F.sequence(F.lit(-k), F.lit(k)))
-    near = candidates(reads, strains, k, scheme, partition=partition).select("read_id", "rc", "seq", "strain", (F.col("begin") + shifts).alias("begin"))
+    near = shifted(candidates(reads, strains, k, scheme, partition=partition), k)
     near = near.filter("begin >= 0").distinct().withColumn("size", F.length("seq") + k)
     return verified(slices(near, strains, longest(reads) + k), k)
 
 
+def shifted(near: DataFrame, k: int) -> DataFrame:
+    """Candidates with their begins moved by up to k bases either way."""
+    moved = near.select("read_id", "rc", "seq", "strain", "begin", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("shift"))
+    return moved.select("read_id", "rc", "seq", "strain", (F.col("begin") + F.col("shift")).alias("begin"))
+
+
 def verified(found: DataFrame, k: int) -> DataFrame:
     """Of the texts at candidate places, all prefixes within edit distance k of the read."""
     each = found.select("*", F.explode(F.sequence(F.greatest(F.length("seq") - k, F.lit(1)), F.length("seq") + k)).alias("length")).filter(F.length("text") >= F.col("length"))
@@ -107,7 +112,7 @@ def naive_edit_occurrences(reads: DataFrame, strains: DataFrame, k: int) -> Data
     tiny = reads.filter(F.length("seq").between(1, k)).select("read_id", "rc", "seq", F.lit(0).alias("offset"), F.explode(F.array(*map(F.lit, "ACGT"))).alias("word"))
     keyed = keyed.unionByName(tiny)
     hits = keyed.join(windows(strains, 1).withColumnRenamed("gram", "word"), "word")
-    near = hits.select("read_id", "rc", "seq", "strain", (F.col("pos") - F.col("offset") + F.explode(F.sequence(F.lit(-k), F.lit(k)))).alias("begin"))
+    near = shifted(hits.select("read_id", "rc", "seq", "strain", (F.col("pos") - F.col("offset")).alias("begin")).distinct(), k)
     near = near.filter("begin >= 0").distinct().withColumn("size", F.length("seq") + k)
     return verified(slices(near, strains, longest(reads) + k), k)
 

@@ -85,7 +85,7 @@ def node_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).neighbours(False)
 
 
-@query(f"WITH {O.graph(K)} SELECT node_id, CASE WHEN len <= 15 THEN omega ELSE left(omega, 5) || '..(+' || (len - 10) || ')..' || right(omega, 5) END AS omega_short FROM nodes".replace("|| ')..' ||", "|| '..' ||"))
+@query(f"WITH {O.graph(K)} SELECT node_id, CASE WHEN len <= 15 THEN omega ELSE left(omega, 5) || '..(+' || (len - 10) || ')..' || right(omega, 5) END AS omega_short FROM nodes")
 def omega_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).nodes.select("node_id", D.short_label(F.col("omega")).alias("omega_short"))
 
@@ -202,7 +202,7 @@ def text_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.crossJoin(F.broadcast(last)).select("strain", "start", (F.col("start") + F.col("len")).alias("separator_at"), separator.alias("separator"))
 
 
-@query(f"SELECT doc_id, count(*) - 1 AS n_strains, CAST(sum(len({O.dna('part')})) AS BIGINT) AS n_bases FROM (SELECT doc_id, unnest(string_split(replace(text, '\n', '%') || '$', '%')) AS part FROM documents) GROUP BY doc_id".replace("count(*) - 1", "count(*)"))
+@query(f"SELECT doc_id, count(*) AS n_strains, CAST(sum(len({O.dna('part')})) AS BIGINT) AS n_bases FROM (SELECT doc_id, unnest(string_split(replace(text, '\n', '%') || '$', '%')) AS part FROM documents) GROUP BY doc_id")
 def text_strains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as preprocessed texts whose lines are strains: strains and bases of each."""
     parts = T.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.replace("text", F.lit("\n"), F.lit("%")), "%")).alias("part"))

@@ -120,7 +120,7 @@ def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _around(spark, sf_dir)[2]
 
 
-_LABEL = "CASE WHEN len({0}) <= 15 THEN {0} ELSE left({0}, 5) || '..(+' || (len({0}) - 10) || '..' || right({0}, 5) END"
+_LABEL = "CASE WHEN len({0}) <= 15 THEN {0} ELSE left({0}, 5) || '..(+' || (len({0}) - 10) || ')..' || right({0}, 5) END"
 _NAMED = f"""SELECT i.read_id, CAST(i.src AS BIGINT) AS src, CAST(i.dst AS BIGINT) AS dst, i.color, CAST(i.multiplicity AS BIGINT) AS multiplicity,
   {_LABEL.format('a.omega')} AS src_omega_short, {_LABEL.format('b.omega')} AS dst_omega_short,
   EXISTS (SELECT 1 FROM path_nodes p WHERE p.read_id = i.read_id AND p.node_id = i.src) AS src_part_of_path, EXISTS (SELECT 1 FROM path_nodes p WHERE p.read_id = i.read_id AND p.node_id = i.dst) AS dst_part_of_path

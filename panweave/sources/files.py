@@ -27,7 +27,7 @@ def fasta_records(spark: SparkSession, path: str) -> DataFrame:
 
 def fasta_strains(spark: SparkSession, path: str) -> DataFrame:
     """strain, name and seq: each file is a strain, its contigs put together in order, ambiguity codes resolved."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{fasta,fa,fna,FASTA}").text(path)
+    whole = spark.read.option("pathGlobFilter", "*.{fasta,fa,fna,FASTA}").text(path, wholetext=True)
     parts = whole.select(F.input_file_name().alias("name"), "value")
     bodies = F.transform(F.slice(F.split("value", ">"), 2, 1 << 30), lambda x: F.regexp_replace(F.regexp_replace(x, "^[^\n]*", ""), "[\\r\\n]", ""))
     strains = parts.select("name", iupac_clean(F.array_join(bodies, "")).alias("seq"))
@@ -48,7 +48,7 @@ def _numbered(rows: DataFrame, *order: str) -> DataFrame:
 
 def preprocessed_text(spark: SparkSession, path: str) -> DataFrame:
     """strain and seq of a text over ACGT with "%" between strains and "$" at the end."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.rtrim(F.regexp_replace("value", "[\\r\\n]+$", "")).alias("t"))
+    whole = spark.read.text(path, wholetext=True).select(F.rtrim(F.regexp_replace("value", "[\\r\\n]+$", "")).alias("t"))
     parts = whole.select(F.posexplode(F.split(F.regexp_replace("t", "\\$$", ""), "%")).alias("strain", "seq"))
     return parts.select(F.col("strain").cast("long").alias("strain"), "seq")
 
@@ -69,7 +69,7 @@ def fasta_reads(spark: SparkSession, path: str) -> DataFrame:
 
 def fastq_reads(spark: SparkSession, path: str) -> DataFrame:
     """read_id and seq of records of four lines. A quality line may begin with "@": lines go by their number."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n+$", ""), "\n").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n+$", ""), "\n").alias("l"))
     starts = F.explode(F.sequence(F.lit(1), F.size("l"), F.lit(4)))
     each = whole.select("l", starts.alias("i"))
     return each.select(F.expr("substring(l[i - 1], 2)").alias("read_id"), F.upper(F.expr("get(l, i)")).alias("seq")).filter("seq is not null")
