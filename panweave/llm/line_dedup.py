@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from panweave.llm.common import column, doc_rank, free_name, stored
+from panweave.llm.common import column, cut, doc_rank, free_name, stored
 
 RARE_WORDS, BLOCK_WORDS = 8, 20
 KEY = "doc_rank long, text_key long"
@@ -135,6 +135,7 @@ def deletions(docs: DataFrame) -> DataFrame:
     # Only lines that at least two documents hold.
     owners = owners.filter((F.col("o.doc_rank") != F.col("last.doc_rank")) | (F.col("o.text_key") != F.col("last.text_key")))
     owners = owners.select("h1", "h2", F.col("o.doc_rank").alias("o_rank"), F.col("o.text_key").alias("o_key"), F.col("o.place").alias("o_place"))
+    owners = cut(owners)  # so that both sides of the join are dealt by it alone, and a hot line's part can be split
     later = (F.col("doc_rank") != F.col("o_rank")) | (F.col("text_key") != F.col("o_key"))
     shared = found.join(owners, ["h1", "h2"]).filter(later)
     each = shared.groupBy("doc_rank", "text_key").agg(F.collect_set(F.struct("place", "n_words", "o_rank", "o_key", "o_place")).alias("shared"), F.sum("n_words").alias("n"), F.max("n_words").alias("longest"))
@@ -167,9 +168,9 @@ def without(text: str, gone: list[int]) -> str:
 def edited(docs: DataFrame, *extra: str) -> DataFrame:
     """All rows and columns of ``docs`` with the edited text; ``extra`` of gone and sources under free names at the end."""
     names = {x: free_name(docs, f"line_dedup_{x}") for x in ("doc_rank", "text_key", "gone", "sources")}
-    cuts = deletions(docs).toDF(*names.values())
+    lost = deletions(docs).toDF(*names.values())
     rank, key = doc_rank(column(docs, "doc_id")), text_key(column(docs, "text").cast("string"))
-    joined = docs.withColumns({names["doc_rank"]: rank, names["text_key"]: key}).join(cuts, [names["doc_rank"], names["text_key"]], "left")
+    joined = docs.withColumns({names["doc_rank"]: rank, names["text_key"]: key}).join(lost, [names["doc_rank"], names["text_key"]], "left")
     joined = joined.select(*(column(joined, c) for c in docs.columns), names["gone"], names["sources"])
     at, n = docs.columns.index("text"), len(docs.columns)
     fields = joined.schema.fields[:n] + [joined.schema[names[x]] for x in extra]
