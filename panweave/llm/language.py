@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panweave.llm.common import stored
+from panweave.llm.common import cut, stored
 
 SAMPLE, TRIGRAMS, SMOOTH, TEMPER = 4000, 20_000, 0.5, 200
 #: Soft counts with which a host leans on its domain, a domain on all pages, and evidence on being right.
@@ -175,7 +175,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     hosts = found.groupBy("domain", "host").agg(F.count("*").alias("n"), *sums)
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("dn"), *[F.sum(f"s{i}").alias(f"d{i}") for i in range(n)])
-    priors = hosts.join(domains, "domain")
+    # Stored, so that both sides of the next join are dealt by it alone, and a hot host's part can be split.
+    priors = cut(hosts.join(domains, "domain"))
     each = found.join(priors, ["domain", "host"])
     # The page's own posteriors are taken out of its host's and domain's counts.
     of_domain = [(F.col(f"d{i}") - F.col("p")[i] + LEAN * everywhere[i]) / (F.col("dn") - 1 + LEAN) for i in range(n)]
