@@ -64,8 +64,7 @@ def _paths_sql(table: str) -> str:
   WHERE f.length >= {K} GROUP BY f.read_id, f.rc, f.strain, f.begin, f.length, f.ed)"""
 
 
-_GRAPH = O.graph(K).split(",\n", 1)[1]  # without strains and k-mers
-_GRAPH = f"{O.kmers(K, 'graph_kmers')},\n" + _GRAPH.replace("FROM kmers ", "FROM graph_kmers ")
+_GRAPH = f"{O.kmers(K, 'graph_kmers')}, {O.graph_of(K, 'graph_kmers')}"
 _INTS = "read_id, CAST(rc AS INTEGER) AS rc, strain, CAST(begin AS BIGINT) AS begin, CAST(length AS INTEGER) AS length, CAST(ed AS INTEGER) AS ed"
 
 
@@ -200,7 +199,7 @@ _PASSAGES = f"passages AS (SELECT item_id AS strain, {O.dna('text')} AS seq FROM
 
 @query(f"""WITH {_NAMES}, {_PASSAGES}, places AS (SELECT r.read_id, r.seq, p.strain, p.seq AS text, unnest(range(len(p.seq))) AS begin FROM names r, passages p WHERE len(p.seq) > 0),
 texts AS (SELECT *, text[begin + 1 : begin + l] AS matched FROM (SELECT *, unnest(range(greatest(len(seq) - 1, 1), len(seq) + 2)) AS l FROM places))
-SELECT read_id, 0 AS rc, strain, begin, CAST(l AS INTEGER) AS length, CAST(levenshtein(matched, seq) AS INTEGER) AS ed FROM texts WHERE len(matched) = l AND levenshtein(matched, seq) <= 1""")
+SELECT CAST(read_id AS BIGINT) AS read_id, 0 AS rc, strain, begin, CAST(l AS INTEGER) AS length, CAST(levenshtein(matched, seq) AS INTEGER) AS ed FROM texts WHERE len(matched) = l AND levenshtein(matched, seq) <= 1""")
 def edit_match_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation names, too short for seeds, against all passages with one error."""
     reads = T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("read_id"), F.lit(0).alias("rc"), S.dna(F.col("n_name")).alias("seq"))

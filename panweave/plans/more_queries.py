@@ -75,7 +75,23 @@ def partition_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.reads(spark, sf_dir, Q.LENGTH).select("read_id", F.inline(schemes.static_parts(F.length("seq"), _BEGINS)))
 
 
-@query()
+def _dynamic_sql() -> str:
+    chosen = schemes.searches(schemes.DEFAULT, Q.ERRORS)
+    spans = sorted({(min(x.order[: x.exact_parts]), max(x.order[: x.exact_parts])) for x in chosen})
+    parts, begins = len(chosen[0].order), [0.0, *schemes.static_begins(schemes.DEFAULT, Q.ERRORS), 1.0]
+    even = [(f"len(seq) * {a} // {parts}", f"len(seq) * {b + 1} // {parts}") for a, b in spans]
+    uneven = [(f"CAST(floor(len(seq) * CAST({begins[a]} AS DOUBLE)) AS BIGINT)", f"CAST(floor(len(seq) * CAST({begins[b + 1]} AS DOUBLE)) AS BIGINT)") for a, b in spans]
+
+    def cost(name: str, ends: list) -> str:
+        words = " UNION ALL ".join(f"SELECT read_id, rc, seq[({a}) + 1 : ({a}) + {Q.WORD}] AS gram, ({b}) - ({a}) AS n FROM ways" for a, b in ends)
+        # Seeds too short for a word count as no hits.
+        return f"{name} AS (SELECT read_id, rc, CAST(sum(CASE WHEN s.n >= {Q.WORD} THEN coalesce(c.n, 0) ELSE 0 END) AS BIGINT) AS {name} FROM ({words}) s LEFT JOIN counts c USING (gram) GROUP BY read_id, rc)"
+
+    return f"""WITH {O.strains(K)}, {O.kmers(Q.WORD)}, {Q._reads_sql(True)}, counts AS (SELECT gram, count(*) AS n FROM kmers GROUP BY gram), {cost('uniform', even)}, {cost('static', uneven)}
+SELECT read_id, CAST(rc AS INTEGER) AS rc, uniform, static, CASE WHEN static < uniform THEN 'static' ELSE 'uniform' END AS partition FROM uniform JOIN static USING (read_id, rc)"""
+
+
+@query(_dynamic_sql())
 def partition_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the uniform and the static partition, for each read the one whose rarest seeds promise fewer hits.
 
@@ -155,7 +171,14 @@ def subgraph_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Strain-free walks
 
 
-@query()
+@query(f"""WITH {Q._EXACT}, {Q._GRAPH},
+k2n AS MATERIALIZED (SELECT omega[p + 1 : p + {K}] AS kmer, node_id, p, len(omega) - {K} AS last FROM (SELECT node_id, omega, unnest(range(len(omega) - {K} + 1)) AS p FROM numbered WHERE kind <> 'end')),
+grams AS (SELECT read_id, rc, m, i, seq[i + 1 : i + {K}] AS kmer FROM (SELECT read_id, rc, seq, len(seq) AS m, unnest(range(len(seq) - {K} + 1)) AS i FROM ways WHERE len(seq) >= {K})),
+met AS (SELECT g.*, n.node_id, n.p, lag(n.node_id) OVER w AS before, lag(n.p) OVER w AS p_before, lag(n.last) OVER w AS last_before, lag(i) OVER w AS i_before FROM grams g JOIN k2n n USING (kmer) WINDOW w AS (PARTITION BY read_id, rc ORDER BY i)),
+checked AS (SELECT *, before IS NULL OR NOT (node_id = before AND p = p_before + 1) AS enters, CASE WHEN before IS NULL THEN i = 0 ELSE i = i_before + 1 AND ((node_id = before AND p = p_before + 1)
+  OR (p = 0 AND p_before = last_before AND EXISTS (SELECT 1 FROM edges e WHERE e.src = before AND e.dst = node_id))) END AS fine FROM met)
+SELECT read_id, CAST(rc AS INTEGER) AS rc, string_agg(node_id, ',' ORDER BY i) FILTER (enters) AS path, arg_min(p, i) AS dist_left, CAST(any_value(m) AS INTEGER) AS length, 0 AS ed
+  FROM checked GROUP BY read_id, rc HAVING count(*) = any_value(m) - {K} + 1 AND bool_and(fine)""")
 def strain_free_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk_strings(walks.exact_walks(Q._both(spark, sf_dir, False), graph(spark, sf_dir)))
 
@@ -327,3 +350,86 @@ def stream_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     text.write.text(path)
     R.map_stream(R.stream_fasta(spark, path), lambda rows: rows, out, f"{out}-progress", once=True).awaitTermination()
     return spark.read.parquet(out).select("read_id", "seq")
+
+
+# Parts of results by themselves
+
+
+@query(f"WITH {_PATHS} SELECT read_id, CAST(rc AS INTEGER) AS rc, strain, CAST(begin AS BIGINT) AS begin, CAST(unnest(range(len(nodes))) AS INTEGER) AS step, CAST(unnest(nodes) AS BIGINT) AS node_id FROM paths")
+def match_node_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of each exact match in order."""
+    found = _path_nodes(spark, sf_dir, graph(spark, sf_dir))
+    return found.select("read_id", "rc", "strain", "begin", F.posexplode("path").alias("step", "node_id"))
+
+
+@query(f"WITH {_PATHS} SELECT path, count(*) AS n FROM paths GROUP BY path")
+def path_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _path_nodes(spark, sf_dir, graph(spark, sf_dir))
+    return found.select(P.path_string(F.col("path"), F.col("length"), K).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_PATHS} SELECT DISTINCT read_id, CAST(rc AS INTEGER) AS rc, path, CAST(dense_rank() OVER (PARTITION BY read_id ORDER BY rc, nodes) - 1 AS INTEGER) AS subgraph_id FROM paths")
+def subgraph_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _path_nodes(spark, sf_dir, graph(spark, sf_dir))
+    return found.select("read_id", "rc", P.path_string(F.col("path"), F.col("length"), K).alias("path"), "subgraph_id").distinct()
+
+
+_KEYED = f"""{_PATHS}, named AS MATERIALIZED (SELECT DISTINCT path, nodes FROM paths), path_of AS MATERIALIZED (SELECT path, unnest(nodes) AS node_id FROM named),
+pairs AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT DISTINCT dst, src FROM edges),
+around AS MATERIALIZED (SELECT path, node_id FROM path_of UNION SELECT path, b FROM path_of JOIN pairs ON a = node_id)"""
+
+
+@query(f"""WITH {_KEYED} SELECT x.path || '_Edge' || (row_number() OVER (PARTITION BY x.path ORDER BY e.src, e.dst, e.strain) - 1) AS edge_key, x.path, CAST(e.src AS BIGINT) AS src, CAST(e.dst AS BIGINT) AS dst, e.strain AS color, CAST(e.multiplicity AS BIGINT) AS multiplicity
+  FROM edges e JOIN around x ON x.node_id = e.src JOIN around y ON y.node_id = e.dst AND y.path = x.path""")
+def visualize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each node path, given as text, the edges among the nodes within one step of it."""
+    from pyspark.sql.window import Window
+
+    g = graph(spark, sf_dir)
+    named = path_string(spark, sf_dir).select("path")
+    starts = cut(named.select("path", F.explode(F.split("path", ",")).alias("id")).select("path", F.col("id").cast("long").alias("node_id")).distinct())
+    rows = G.subgraph_edges(G.neighbourhood(starts, g, 1, keys=("path",)), g, starts, keys=("path",))
+    number = F.row_number().over(Window.partitionBy("path").orderBy("src", "dst", F.col("color").cast("long"))) - 1
+    return rows.select(F.concat("path", F.lit("_Edge"), number.cast("string")).alias("edge_key"), "path", "src", "dst", F.col("color").cast("long").alias("color"), "multiplicity")
+
+
+@query(f"""WITH {_PATHS}, {_AROUND} SELECT p.read_id, p.n_paths, CAST(count(DISTINCT a.node_id) AS BIGINT) AS n_nodes, (SELECT CAST(coalesce(sum(e.multiplicity), 0) AS BIGINT) FROM edges e JOIN around x ON x.node_id = e.src AND x.read_id = p.read_id JOIN around y ON y.node_id = e.dst AND y.read_id = p.read_id) AS n_steps
+  FROM (SELECT read_id, count(DISTINCT rc || ':' || path) AS n_paths FROM paths GROUP BY read_id) p JOIN around a USING (read_id) GROUP BY p.read_id, p.n_paths""")
+def visualize_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each read's picture: its paths, the nodes around them, and the steps of strains among these."""
+    g, starts, nodes = _around(spark, sf_dir)
+    ways = _path_nodes(spark, sf_dir, g).groupBy("read_id").agg(F.count_distinct("subgraph_id").alias("n_paths"))
+    edges = G.subgraph_edges(nodes, g, starts, keys=("read_id",)).groupBy("read_id").agg(F.sum("multiplicity").alias("n_steps"))
+    sizes = nodes.groupBy("read_id").agg(F.count("*").alias("n_nodes"))
+    return ways.join(sizes, "read_id").join(edges, "read_id", "left").select("read_id", "n_paths", "n_nodes", F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
+
+
+@query(f"""WITH {Q._EDIT}, {Q._BEST}, beside AS (SELECT *, lag(ed) OVER w AS l, lag(begin) OVER w AS lb, lead(ed) OVER w AS r, lead(begin) OVER w AS rb FROM best WINDOW w AS (PARTITION BY read_id, rc, strain ORDER BY begin))
+SELECT {Q._INTS} FROM beside WHERE NOT coalesce(lb = begin - 1 AND l < ed, false) AND NOT coalesce(rb = begin + 1 AND r < ed, false)""")
+def local_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches that no match at the next place to either side beats."""
+    from pyspark.sql.window import Window
+
+    best = Q.M.best_per_begin(Q._edit(spark, sf_dir))
+    w = Window.partitionBy("read_id", "rc", "strain").orderBy("begin")
+    beaten = lambda f, d: F.coalesce((f("begin").over(w) == F.col("begin") + d) & (f("ed").over(w) < F.col("ed")), F.lit(False))
+    return best.withColumn("b0", beaten(F.lag, -1)).withColumn("b1", beaten(F.lead, 1)).filter("not b0 and not b1").select(*Q.COLUMNS)
+
+
+@query(f"WITH {_values()} SELECT CAST(k AS INTEGER) AS k, CAST(search_no AS INTEGER) AS search_no, " + ", ".join(f"array_to_string({c}, ',') AS {c}" for c in ("ord", "lo", "hi")) + " FROM scheme WHERE scheme = 'kuch_k+2'")
+def custom_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scheme folder written on the driver, read back and validated."""
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        with open(os.path.join(folder, "name.txt"), "w") as f:
+            f.write("own")
+        for k in range(1, 5):
+            os.mkdir(os.path.join(folder, str(k)))
+            with open(os.path.join(folder, str(k), "searches.txt"), "w") as f:
+                f.writelines(" ".join("{" + ",".join(map(str, x)) + "}" for x in (s.order, s.lower, s.upper)) + "\n" for s in schemes.searches("kuch_k+2", k))
+        own = schemes.read_scheme(folder)
+    join = lambda x: ",".join(map(str, x))
+    rows = [(k, i, join(s.order), join(s.lower), join(s.upper)) for k, found in own.searches.items() for i, s in enumerate(found)]
+    return spark.createDataFrame(rows, "k int, search_no int, ord string, lo string, hi string")

@@ -30,9 +30,13 @@ def kmers(k: int, name: str = "kmers") -> str:
 
 
 def graph(k: int) -> str:
-    return f"""{strains(k)}, {kmers(k)},
-flags AS MATERIALIZED (SELECT gram, count(DISTINCT next) > 1 AS rm, count(DISTINCT prev) > 1 AS lm FROM kmers GROUP BY gram),
-marked AS (SELECT m.strain, m.pos, f.rm, coalesce(lead(f.lm) OVER (PARTITION BY m.strain ORDER BY m.pos), false) AS next_lm FROM kmers m JOIN flags f USING (gram)),
+    return f"{strains(k)}, {kmers(k)}, {graph_of(k)}"
+
+
+def graph_of(k: int, kmers: str = "kmers") -> str:
+    """The graph of strains whose k-mers are in the table ``kmers``."""
+    return f"""flags AS MATERIALIZED (SELECT gram, count(DISTINCT next) > 1 AS rm, count(DISTINCT prev) > 1 AS lm FROM {kmers} GROUP BY gram),
+marked AS (SELECT m.strain, m.pos, f.rm, coalesce(lead(f.lm) OVER (PARTITION BY m.strain ORDER BY m.pos), false) AS next_lm FROM {kmers} m JOIN flags f USING (gram)),
 cuts AS (SELECT strain, pos AS cut, rm FROM marked WHERE rm OR next_lm),
 closed AS (SELECT strain, row_number() OVER w - 1 AS seg_ord, coalesce(lag(cut) OVER w + 1, 0) AS seg_start, cut AS last_kmer_pos,
   CASE WHEN rm THEN 'right_maximal' ELSE 'pre_left_maximal' END AS kind FROM cuts WINDOW w AS (PARTITION BY strain ORDER BY cut)),
