@@ -259,3 +259,100 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     common.table(spark, SF, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     common.table(spark, SF, "labels").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_queries_of_single_texts(spark):
+    """op1, op2, op3, op6 and op7 over whole tables against plain versions and the tokenizer libraries."""
+    import hashlib
+    import zlib
+
+    import tiktoken
+    from tests.llm.test_texts import plain_features, plain_license_words
+    from tokenizers import Tokenizer
+
+    texts = {r["doc_id"]: r["text"] or "" for r in common.documents(spark, SF).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+
+    rows = {r["doc_id"]: r for r in queries.op1_quality_rules(spark, SF).collect()}
+    assert set(rows) == set(texts)
+    for i, r in rows.items():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == plain_features_fast(texts[i], plain_features)
+        assert not (r["base_failed"] and r["kept"])
+
+    for r in queries.op2_license_scans(spark, SF).collect():
+        words = plain_license_words(texts[r["doc_id"]])
+        found = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(p := phrase.split())] == p]
+        places = [i for i, _ in found]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(found), min(places, default=None), max(places, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in found})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+    for r in queries.op3_media_columns(spark, SF).collect():
+        raw = texts[r["doc_id"]].encode()
+        padded = raw + b" " * (-len(raw) % 192 if raw else 192)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), sha(padded), zlib.crc32(padded[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(m := media.mux(padded)), sha(m))
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.encoder(BPE, public_tokenizers.PATTERN).ranks, special_tokens={})
+    for r in queries.op6_byte_bpe(spark, SF).collect():
+        ids = library.encode_ordinary(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(texts[r["doc_id"]].encode()))
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    pieces = defaultdict(list)
+    for r in queries.op7_packing(spark, SF).collect():
+        pieces[r["doc_id"]].append(r)
+    assert set(pieces) == set(texts)
+    for i, own in pieces.items():
+        ids = [*tokenizer.encode(texts[i], add_special_tokens=False).ids, 2]
+        at = 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            part = ids[at : at + r["length"]]
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+
+
+def plain_features_fast(text, plain):
+    """The plain version looks at all pairs of windows; long texts count them first."""
+    if len(text) < 4000:
+        return plain(text)
+    import re
+    from collections import Counter
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    counts = Counter(windows)
+    inside = {j for i, w in enumerate(windows) if counts[w] > 1 for j in range(i, i + 3)}
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside), n < 50 or 100 * len(inside) > 50 * n
+
+
+def test_learning_ignores_copies(spark):
+    """Words of a toxic document that is there many times aren't insults; words that many toxic documents share are."""
+    rng = random.Random(11)
+    text = lambda words, n=60: " ".join(rng.choice(words) for _ in range(n))
+    common_words = [f"word{i}" for i in range(400)]
+    rows, marks = [], []
+    for i in range(900):
+        toxic = i % 8 == 0
+        rows.append((i, text(common_words) + (f" {rng.choice(common_words)} clown." if toxic else "")))
+        marks.append((i, 1, int(toxic)))
+    copied = text([f"rare{i}" for i in range(300)], 80)
+    for i in range(900, 1000):
+        words = copied.split()
+        words[rng.randrange(80)] = "changed"
+        rows.append((i, " ".join(words)))
+        marks.append((i, 1, 1))
+    model = toxicity.learn(docs(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert set(model.insults) == {"clown"} and np.isfinite(model.weights).all()
+    assert model.scores(["you clown. a clown.", "word1 word2", None]).round().tolist() == [1, 0, 0]
+
+
+def test_logistic_settles():
+    rng = np.random.default_rng(1)
+    y = np.repeat([0.0, 1.0], [9000, 1000])
+    x = np.column_stack([y * 3 + rng.random(10000) * 0.01, np.zeros(10000), y, y * 2])
+    w = toxicity.logistic(x, y)
+    assert np.isfinite(w).all() and (w[1:] >= 0).all() and ((w[0] + x @ w[1:] > 0) == (y > 0)).all()
