@@ -6,10 +6,11 @@ it in the clause, and a scorer weighs what it then reads, more where a target st
 negated or reported. A clause's score is the sum over its insults and threats; clauses without either score
 nothing. A logistic model of the clauses' scores gives the text's score.
 
-The closed classes are given here. Insults and their weights are learned from labelled documents as words that
-toxic documents hold more often, by the lower bound of a log-odds ratio; no more than SAMPLE labelled rows are
-used, those of the smallest hash, and no more than LEXICON words are kept. Rows that are held out (crc32 of the
-id mod 5 is 0) are never learned from.
+The closed classes are given here. Insults are learned from labelled documents: words that toxic documents hold far
+more often than chance explains (a likelihood-ratio test), weighted by their log-odds. Copies and near copies of a
+document aren't independent, so one of each group is learned from: else every word of a copied document would seem
+an insult. No more than SAMPLE labelled rows are used, those of the smallest hash, and no more than LEXICON words are
+kept. Rows that are held out (crc32 of the id mod 5 is 0) are never learned from.
 
 Defined cases: null and empty texts have no clauses and get the score of the intercept, below 0.5. Without any
 labelled row of both kinds, the closed classes and PRIOR decide. Empty tables give empty results. Repeated rows are
@@ -28,10 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest as hash_of
 
 from panweave.llm.common import keep_rows, map_texts, stored
 
-SAMPLE, LEXICON, LEAST, BOUND, Z = 20_000, 4000, 5, 1.0, 1.645
+SAMPLE, LEXICON, LEAST = 20_000, 4000, 4
+#: The test's statistic (chi-square of one degree; 30 is a chance of 4e-8 for each word), the least and the largest log-odds.
+SURE, ODDS, MOST_ODDS = 30.0, 1.5, 6.0
+#: Minwise hashes by which copies in the sample are found, and the words of a shingle.
+KEYS, SHINGLE = 6, 5
 #: Share of the sample, of ten, whose words are counted; the rest fits the model.
 COUNTED = 7
 
@@ -44,7 +50,6 @@ REPORTS = "said says say wrote writes claimed quote quoted called according sagt
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITYNRO"
 CLASSES = {w: c for c, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in words}
 CLAUSE = re.compile(r"[.!?;:\n]+")
-WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 #: Intercept and weights of log(1 + score) of insults, of threats, of clauses that match, of the strongest clause.
 PRIOR = np.array([-2.5, 1.0, 1.0, 0.5, 0.5])
 
@@ -150,19 +155,39 @@ class Model:
     def scores(self, texts: list) -> np.ndarray:
         wanted = frozenset(self.insults) | frozenset(THREATS)
         x = np.array([text_features(t, self.insults, wanted) for t in texts], float).reshape(len(texts), 4)
-        return 1 / (1 + np.exp(-(self.weights[0] + x @ self.weights[1:])))
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights by Newton's method, drawn to PRIOR; negative ones, but for the intercept, are taken as zero."""
+def loss(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> float:
+    """Negative log-likelihood, and the distance to PRIOR."""
+    z = x @ w
+    return float(np.sum(np.logaddexp(0, z) - y * z) + ridge / 2 * np.sum((w - PRIOR) ** 2))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
+    """Weights by Newton's method, drawn to PRIOR; those of features stay above zero. Steps that don't lower the loss are halved."""
     x, w = np.column_stack([np.ones(len(x)), x]), PRIOR.copy()
+    best = loss(x, y, w, ridge)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (p - y) + ridge * (w - PRIOR)
+        free = ~((w <= 0) & (gradient > 0))  # weights at zero that would fall stay there
+        free[0] = True
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, x.T @ (p - y) + ridge * (w - PRIOR))
-        w = w - step
-        w[1:] = np.maximum(w[1:], 0)
-        if np.abs(step).max() < 1e-6:
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(hessian[np.ix_(free, free)], gradient[free])
+        size = 1.0
+        while size > 1e-6:
+            new = w - size * step
+            new[1:] = np.maximum(new[1:], 0)
+            if (now := loss(x, y, new, ridge)) < best:
+                break
+            size /= 2
+        else:
+            break
+        done = best - now < 1e-9 * max(1.0, best)
+        w, best = new, now
+        if done:
             break
     return w
 
@@ -185,21 +210,38 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], ["word", "n1", "n0"])
 
 
+def copy_keys(texts: list) -> list[pa.Array]:
+    """KEYS minwise hashes of each text's shingles, by which most near copies agree at least once; and the text."""
+    out = []
+    odd = np.random.default_rng(5).integers(1, 2**63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for text in texts:
+        words = words_of((text or "").lower())
+        shingles = {hash_of(" ".join(words[i : i + SHINGLE])) for i in range(max(len(words) - SHINGLE + 1, 1))}
+        mixed = np.fromiter(shingles, np.uint64, len(shingles))[:, None] * odd[None, :]
+        out.append((mixed ^ (mixed >> np.uint64(31))).min(0).view(np.int64))
+    return [pa.array(out, pa.list_(pa.int64())), pa.array([t or "" for t in texts], pa.string())]
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from at most SAMPLE labelled documents that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     picked = known.filter(~held_out()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most SAMPLE rows of two numbers.
-    sample = stored(texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).withColumn("counted", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(10)) < COUNTED), "toxicity")
+    found = map_texts(texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), copy_keys, "keys array<long>, text string", ids=("doc_id", "toxic"))
+    for i in range(KEYS):  # of documents with one key, the first stays
+        found = found.groupBy(F.col("keys")[i]).agg(F.min_by(F.struct("doc_id", "toxic", "keys", "text"), "doc_id").alias("d")).select("d.*")
+    sample = stored(found.withColumn("counted", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(10)) < COUNTED).select("doc_id", "toxic", "text", "counted"), "toxicity")
     counts = sample.filter("counted").select("text", "toxic").mapInArrow(word_counts, "word string, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     total = counts.filter("word is null").select("n1", "n0").first()
     if total is None or not total["n1"] or not total["n0"]:
         return Model({}, PRIOR)
-    ratio = F.log((F.col("n1") + 0.5) / (total["n1"] + 1)) - F.log((F.col("n0") + 0.5) / (total["n0"] + 1))
-    bound = ratio - Z * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    best = counts.filter("word is not null").filter(F.col("n1") >= LEAST).withColumn("bound", bound).filter(F.col("bound") > BOUND)
-    insults = {r["word"]: float(r["bound"]) for r in best.orderBy(F.desc("bound"), "word").limit(LEXICON).collect()}
+    share = total["n1"] / (total["n1"] + total["n0"])
+    n1, n0, n = F.col("n1"), F.col("n0"), F.col("n1") + F.col("n0")
+    odds = F.log((n1 + 0.5) / (total["n1"] + 1)) - F.log((n0 + 0.5) / (total["n0"] + 1))
+    sure = 2 * (n1 * F.log(n1 / (n * share)) + F.when(n0 > 0, n0 * F.log(n0 / (n * (1 - share)))).otherwise(0.0))
+    best = counts.filter("word is not null").filter(n1 >= LEAST).withColumn("odds", odds).filter((sure > SURE) & (F.col("odds") > ODDS))
+    insults = {r["word"]: min(float(r["odds"]), MOST_ODDS) for r in best.orderBy(F.desc(sure), "word").limit(LEXICON).collect()}
     for word in CLASSES:
         insults.pop(word, None)
     wanted = frozenset(insults) | frozenset(THREATS)
