@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panweave.operators.ranking import cut, numbered
+from panweave.operators.ranking import cut, few_or_many, numbered
 from panweave.operators.sequences import windows
 
 RIGHT, LEFT, END = "right_maximal", "pre_left_maximal", "end"
@@ -29,7 +29,7 @@ def branching(kmers: DataFrame) -> DataFrame:
 def segments(strains: DataFrame, k: int) -> DataFrame:
     """strain, seg_ord, seg_start (first base), last_kmer_pos, kind, omega of every node occurrence, end nodes included."""
     kmers = windows(strains, k, neighbours=True)
-    flagged = kmers.select("strain", "pos", "gram").join(branching(kmers), "gram")
+    flagged = kmers.select("strain", "pos", "gram").join(few_or_many(branching(kmers)), "gram")
     cuts = flagged.select("strain", F.explode(F.array(
         F.struct(F.when(F.col("rm"), F.col("pos")).alias("cut"), F.lit(True).alias("rm")),
         F.struct(F.when(F.col("lm") & (F.col("pos") > 0), F.col("pos") - 1).alias("cut"), F.lit(False).alias("rm")),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panweave.functions.dna import hamming
 from panweave.operators import schemes
+from panweave.operators.ranking import few_or_many
 from panweave.operators.sequences import slices, windows
 
 #: Lengths of words that seeds are cut to.
@@ -64,7 +65,7 @@ def seed_hits(reads: DataFrame, strains: DataFrame, k: int, scheme: str = scheme
     """Seeds with the strain and pos at which their words occur. One table of words for each length in use."""
     cut = seeds(reads, k, scheme, partition=partition)
     lengths = [r[0] for r in cut.select(F.length("word")).distinct().collect()]  # at most len(WORDS) numbers
-    found = [cut.filter(F.length("word") == w).join(windows(strains, w).withColumnRenamed("gram", "word"), "word") for w in sorted(lengths)]
+    found = [windows(strains, w).withColumnRenamed("gram", "word").join(few_or_many(cut.filter(F.length("word") == w)), "word") for w in sorted(lengths)]
     if not found:
         return cut.join(windows(strains, WORDS[0]).withColumnRenamed("gram", "word"), "word")
     return reduce(DataFrame.unionByName, found)

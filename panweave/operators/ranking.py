@@ -17,6 +17,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few short columns that are sent to every task rather than shuffled for.
+FEW = 200_000
+
+
+def few_or_many(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """``df`` stored, and marked for broadcasting if it is counted to have no more than ``rows`` rows.
+
+    The other side of a join is often the whole text; then it needn't be shuffled. With more rows, the join shuffles
+    both sides, and Spark may split what a hot key gets."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
+def prefix_sums(rows: DataFrame, value: str, order: str, *, bucket: int = 1 << 16) -> DataFrame:
+    """``rows`` with before: the sum of ``value`` over rows of smaller ``order`` (numbers from 0), in two levels."""
+    cells = rows.withColumn("_cell", F.floor(F.col(order) / bucket))
+    up_to = lambda *keys, by: (Window.partitionBy(*keys) if keys else Window).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.groupBy("_cell").agg(F.sum(value).alias("_sum"))
+    offsets = sums.select("_cell", F.coalesce(F.sum("_sum").over(up_to(by="_cell")), F.lit(0)).alias("_offset"))
+    inside = cells.withColumn("_inside", F.coalesce(F.sum(value).over(up_to("_cell", by=order)), F.lit(0)))
+    return inside.join(offsets, "_cell").withColumn("before", F.col("_offset") + F.col("_inside")).drop("_cell", "_inside", "_offset")
+
+
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     """``df`` with its rank by ``order``, from 0. Rows are range-partitioned and sorted; only the partitions' sizes
     meet in one place. Ties get any order, so ``order`` should be a key."""

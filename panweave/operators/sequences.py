@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panweave.functions.dna import dna, revcomp
+from panweave.operators.ranking import few_or_many, numbered, prefix_sums
 
 BLOCK = 1 << 14
 
@@ -22,12 +22,11 @@ def strains_of(docs: DataFrame, k: int, *, id_column: str = "doc_id", text_colum
 
 
 def with_starts(strains: DataFrame) -> DataFrame:
-    """start: place of each strain in the text that has a separator after every strain.
-
-    Lengths only pass through the single ordered window, one row for each strain."""
-    before = Window.orderBy("strain").rowsBetween(Window.unboundedPreceding, -1)
-    starts = strains.select("strain", "len").withColumn("start", F.coalesce(F.sum(F.col("len") + 1).over(before), F.lit(0)))
-    return strains.join(starts.select("strain", "start"), "strain")
+    """start: place of each strain in the text that has a separator after every strain. Strains are numbered by range
+    partitions and their lengths summed in two levels, so many small strains are no single task's work."""
+    sizes = numbered(strains.select("strain", (F.col("len") + 1).alias("_size")), "_number", "strain")
+    starts = prefix_sums(sizes, "_size", "_number").select("strain", F.col("before").alias("start"))
+    return strains.join(starts, "strain")
 
 
 def blocks(strains: DataFrame, width: int, *, margin: int = 1) -> DataFrame:
@@ -45,7 +44,7 @@ def slices(wanted: DataFrame, strains: DataFrame, width: int) -> DataFrame:
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1, F.lit(BLOCK).cast("long")))
     parts = strains.filter("len > 0").select("strain", "len", F.col("seq").cast("binary").alias("seq"), begin.alias("_at"))
     parts = parts.select("strain", "len", "_at", F.substring("seq", (F.col("_at") + 1).cast("int"), F.lit(BLOCK + width)).alias("_block"))
-    joined = wanted.withColumn("_at", F.col("begin") - F.col("begin") % BLOCK).join(parts, ["strain", "_at"])
+    joined = parts.join(few_or_many(wanted.withColumn("_at", F.col("begin") - F.col("begin") % BLOCK)), ["strain", "_at"])
     text = F.substring("_block", (F.col("begin") - F.col("_at") + 1).cast("int"), F.col("size").cast("int")).cast("string")
     return joined.withColumn("text", text).drop("_at", "_block")
 

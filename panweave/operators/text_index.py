@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panweave.operators.ranking import cut, numbered
+from panweave.operators.ranking import cut, numbered, prefix_sums
+from panweave.operators.sequences import with_starts
 
 #: Characters that the first ranks compare.
 FIRST = 16
@@ -19,11 +20,9 @@ FIRST = 16
 
 def characters(texts: DataFrame, *, order: str = "strain", text: str = "seq") -> DataFrame:
     """pos and ch of the whole text: every row's text, "%" between, "$" at the end."""
-    placed = texts.select(order, F.col(text).alias("seq"), F.length(text).cast("long").alias("len"))
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.select(order, F.coalesce(F.sum(F.col("len") + 1).over(before), F.lit(0)).alias("start"))
-    last = placed.agg(F.max(order).alias("last"))
-    ends = placed.join(starts, order).crossJoin(F.broadcast(last)).select("start", F.concat("seq", F.when(F.col(order) == F.col("last"), "$").otherwise("%")).alias("s"))
+    placed = with_starts(texts.select(F.col(order).alias("strain"), F.col(text).alias("seq"), F.length(text).cast("long").alias("len")))
+    last = placed.agg(F.max("strain").alias("last"))
+    ends = placed.crossJoin(F.broadcast(last)).select("start", F.concat("seq", F.when(F.col("strain") == F.col("last"), "$").otherwise("%")).alias("s"))
     return ends.select("start", F.posexplode(F.split("s", "")).alias("i", "ch")).filter("ch <> ''").select((F.col("start") + F.col("i")).alias("pos"), "ch")
 
 
@@ -49,16 +48,6 @@ def ranked(keys: DataFrame) -> DataFrame:
     return keys.join(sums.select("key", F.col("before").alias("rank")), "key").select("pos", "rank")
 
 
-def prefix_sums(rows: DataFrame, value: str, order: str, *, bucket: int = 1 << 16) -> DataFrame:
-    """``rows`` with before: the sum of ``value`` over rows of smaller ``order`` (numbers from 0), in two levels."""
-    cells = rows.withColumn("_cell", F.floor(F.col(order) / bucket))
-    up_to = lambda *keys, by: (Window.partitionBy(*keys) if keys else Window).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    sums = cells.groupBy("_cell").agg(F.sum(value).alias("_sum"))
-    offsets = sums.select("_cell", F.coalesce(F.sum("_sum").over(up_to(by="_cell")), F.lit(0)).alias("_offset"))
-    inside = cells.withColumn("_inside", F.coalesce(F.sum(value).over(up_to("_cell", by=order)), F.lit(0)))
-    return inside.join(offsets, "_cell").withColumn("before", F.col("_offset") + F.col("_inside")).drop("_cell", "_inside", "_offset")
-
-
 def bwt(array: DataFrame, chars: DataFrame) -> DataFrame:
     """row and ch: the character before each suffix; before the first one, the last of the text."""
     n = chars.agg(F.count("*").alias("n"))
