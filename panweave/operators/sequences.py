@@ -50,27 +50,25 @@ def slices(wanted: DataFrame, strains: DataFrame, width: int) -> DataFrame:
 
 
 def windows(strains: DataFrame, width: int, *, neighbours: bool = False) -> DataFrame:
-    """strain, pos and gram of every window; with neighbours also prev and next.
+    """strain, pos and gram of every window; with neighbours also prev and next, the codes of the characters there.
 
-    Outside a strain, next is a separator of the strain's own, and prev is "%" ("$" for the first strain).
-    """
+    Outside a strain, next is a number of the strain's own (below zero), and prev is that of "%" ("$" for the first
+    strain). Numbers, unlike strings, can be aggregated in place; a window is cut from its block only when it is
+    asked for, within generated code."""
     n = F.least(F.col("len") - width - F.col("at"), F.lit(BLOCK - 1)).cast("int")
-    slice_ = lambda i, size: F.substring("block", i, F.lit(size)).cast("string")
-    fields = lambda i: [(F.col("at") + i).alias("pos"), slice_(F.col("lead") + i + 1, width).alias("gram")]
-    if neighbours:
-        fields = lambda i: [
-            (F.col("at") + i).alias("pos"),
-            slice_(F.col("lead") + i + 1, width).alias("gram"),
-            F.when(F.col("at") + i > 0, slice_(F.greatest(F.col("lead") + i, F.lit(1)), 1)).alias("prev"),
-            F.when(F.col("at") + i + width < F.col("len"), slice_(F.col("lead") + i + 1 + width, 1)).alias("next"),
-        ]
-    rows = blocks(strains, width).select("strain", F.inline(F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(*fields(i)))))
+    rows = blocks(strains, width).select("strain", "len", "at", "lead", "block", F.explode(F.sequence(F.lit(0), n)).alias("i"))
+    pos, place = F.col("at") + F.col("i"), F.col("lead") + F.col("i")
+    gram = F.substring("block", place + 1, F.lit(width)).cast("string").alias("gram")
     if not neighbours:
-        return rows
+        return rows.select("strain", pos.alias("pos"), gram)
+    code = lambda i: F.ascii(F.substring("block", i, F.lit(1)).cast("string"))
     first = strains.agg(F.min("strain").alias("first_strain"))
-    prev = F.coalesce("prev", F.when(F.col("strain") == F.col("first_strain"), "$").otherwise("%"))
     # One row of one number is joined.
-    return rows.crossJoin(F.broadcast(first)).select("strain", "pos", "gram", prev.alias("prev"), F.coalesce("next", F.concat(F.lit("%"), F.col("strain").cast("string"))).alias("next"))
+    rows = rows.crossJoin(F.broadcast(first))
+    outside = F.when(F.col("strain") == F.col("first_strain"), ord("$")).otherwise(ord("%"))
+    prev = F.when(pos > 0, code(place)).otherwise(outside)
+    following = F.when(pos + width < F.col("len"), code(place + 1 + width).cast("long")).otherwise(-F.col("strain") - 1)
+    return rows.select("strain", pos.alias("pos"), gram, prev.alias("prev"), following.alias("next"))
 
 
 def reads_of(rows: DataFrame, length: int, *, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
