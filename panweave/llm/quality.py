@@ -25,6 +25,7 @@ from panweave.llm.common import cut, keep_rows, map_texts
 SYMBOLS = "#*$%&|<>"
 UPPER = bytes(range(0x41, 0x5B))
 LETTERS = bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
+ALNUM = LETTERS + b"0123456789"
 SPACE = b" \t\n\v\f\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes int"
@@ -69,6 +70,7 @@ def vote_code(raw: bytes, words: list, lines: list, chars: int, symbols: int, do
     n = max(len(words), 1)
     upper = len(raw) - len(raw.translate(None, UPPER))
     letters = max(len(raw) - len(raw.translate(None, LETTERS)), 1)
+    plain = len(raw) - len(raw.translate(None, ALNUM))
     solid = max(len(raw) - sum(map(raw.count, (b" ", b"\n", b"\t", b"\r"))), 1)
     ended = sum(x.rstrip()[-1:] in b".!?:;\"')" for x in lines)
     marked = raw.count(b"!") + raw.count(b"?")
@@ -79,7 +81,7 @@ def vote_code(raw: bytes, words: list, lines: list, chars: int, symbols: int, do
         vote(again * 10 > 3 * n, again * 20 <= n),  # repeated phrases
         vote(upper * 2 > letters, upper * 5 < letters),  # shouting
         vote(chars < 2 * n or chars > 14 * n, 3 * n <= chars <= 10 * n),  # length of words
-        vote(letters * 100 < 89 * solid, letters * 20 > 19 * solid),  # not letters
+        vote(plain * 100 < 89 * solid, plain * 20 > 19 * solid),  # neither letters nor digits
         vote(marked * 4 > n, marked * 20 <= n),  # exclamation
         vote(distinct * 20 < n, distinct * 5 >= n or n > 2000),  # vocabulary
         vote(2 * ended < len(lines), 5 * ended >= 4 * len(lines)) if lines else 1,  # lines that end as sentences do
