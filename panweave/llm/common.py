@@ -16,8 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table below so many bytes for each core is read by few tasks, though it may be much work.
+SPREAD = 4 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    """doc_id and text. A small table is dealt to all cores; large files are split by the reader."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < SPREAD * cores else rows
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -51,8 +59,22 @@ def doc_rank(doc_id):
     return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
 
 
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 1000
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches; memory that Arrow no longer uses goes back in between.
+
+    They are copies, not views: some Arrow functions have been seen to return wrong strings for views."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.take(pa.array(range(at, min(at + rows, batch.num_rows)), pa.int64()))
+        pa.default_memory_pool().release_unused()
+
+
 def map_texts(
-    docs: DataFrame, of_texts: Callable[[list], list[pa.Array]], fields: str, *, ids: tuple[str, ...] = ("doc_id",), text: str = "text"
+    docs: DataFrame, of_texts: Callable[[list], list[pa.Array]], fields: str, *, ids: tuple[str, ...] = ("doc_id",), text: str = "text", rows: int = SLICE
 ) -> DataFrame:
     """``ids`` as they are, then the columns that ``of_texts`` makes from a batch of texts (str or None each)."""
     kinds = [docs.schema[i] for i in ids]
@@ -60,7 +82,7 @@ def map_texts(
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, rows):
             made = of_texts(batch.column(len(ids)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(ids))), *made], names)
 
@@ -72,7 +94,7 @@ def keep_rows(docs: DataFrame, keeps: Callable[[list], list[bool]], *, text: str
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(keeps(batch.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

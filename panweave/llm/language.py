@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panweave.llm.common import cut, stored
+from panweave.llm.common import cut, sliced, stored
 
 SAMPLE, TRIGRAMS, SMOOTH, TEMPER = 4000, 20_000, 0.5, 200
 #: Soft counts with which a host leans on its domain, a domain on all pages, and evidence on being right.
@@ -115,7 +115,7 @@ def learn(docs: DataFrame) -> TextModel:
     picked = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             by_lang: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by_lang.setdefault(lang, Counter()).update(trigrams(text))
@@ -136,7 +136,7 @@ def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
     languages = model.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sites = [address(u, languages) for u in batch.column(1).to_pylist()]
             said, posts = [], []
             for page in batch.column(2).to_pylist():

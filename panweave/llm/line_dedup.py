@@ -23,12 +23,13 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from panweave.llm.common import column, cut, doc_rank, free_name, stored
+from panweave.llm.common import column, cut, doc_rank, free_name, sliced, stored
 
 RARE_WORDS, BLOCK_WORDS = 8, 20
 KEY = "doc_rank long, text_key long"
@@ -60,7 +61,7 @@ def lines(docs: DataFrame) -> DataFrame:
     """doc_rank, text_key, place (from 0), h1, h2, n_words of every line with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(r, k, i, *x) for r, k, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for i, x in enumerate(line_hashes(t))]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_rank", "text_key", "place", "h1", "h2", "n_words"])
@@ -176,10 +177,11 @@ def edited(docs: DataFrame, *extra: str) -> DataFrame:
     fields = joined.schema.fields[:n] + [joined.schema[names[x]] for x in extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(at).to_pylist(), batch.column(n).to_pylist(), strict=True)
+        for batch in sliced(batches):
             columns = [batch.column(i) for i in range(n)]
-            columns[at] = pa.array([without(t, g) if g else t for t, g in pairs], columns[at].type)
+            hit = batch.column(n).is_valid()  # only these texts become Python objects
+            pairs = zip(columns[at].filter(hit).to_pylist(), batch.column(n).filter(hit).to_pylist(), strict=True)
+            columns[at] = pc.replace_with_mask(columns[at], hit, pa.array([without(t, g) for t, g in pairs], columns[at].type))
             columns += [batch.column(n + ("gone", "sources").index(x)) for x in extra]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 

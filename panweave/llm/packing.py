@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panweave.llm.common import cut
+from panweave.llm.common import cut, sliced
 from panweave.llm.word_tokens import word_tokens
 
+#: Texts encoded together: the more, the more runs they share; the fewer, the less memory.
+TEXTS = 5000
 CAPACITY, END_OF_DOCUMENT, GROUP = 4096, 2, 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -71,7 +73,7 @@ def cut_documents(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = end.to_bytes(4, "little")
-        for batch in batches:
+        for batch in sliced(batches, TEXTS):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), word_tokens(path).ids(batch.column(1)), strict=True):
                 data, n = ids + last, len(ids) // 4 + 1

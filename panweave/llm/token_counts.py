@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panweave.llm.common import stored
+from panweave.llm.common import sliced, stored
 from panweave.llm.word_tokens import word_tokens
 
 BLOCK, SEGMENT, SEPARATOR, WIDTH = 1 << 16, 256, 49407, 2
+#: Texts encoded together: the more, the more runs they share; the fewer, the less memory.
+TEXTS = 5000
 ROWS = "file long, place long, data binary, doc_id long"
 
 
@@ -44,7 +46,7 @@ def write_token_files(docs: DataFrame, path: str, *, separator: int = SEPARATOR,
             columns = [[file] * len(places), places, [*blocks, *[None] * len(ids)], [*[None] * len(blocks), *ids]]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names)
 
-        for batch in batches:
+        for batch in sliced(batches, TEXTS):
             made = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end for x in word_tokens(path).ids(batch.column(1))]
             data = b"".join([waiting, *made])
             full = len(data) // size

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest as hash_of
 
-from panweave.llm.common import keep_rows, map_texts, stored
+from panweave.llm.common import keep_rows, map_texts, sliced, stored
 
 SAMPLE, LEXICON, LEAST = 20_000, 4000, 4
 #: The test's statistic (chi-square of one degree; 30 is a chance of 4e-8 for each word), the least and the largest log-odds.
@@ -199,7 +199,7 @@ def held_out():
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """word, toxic and clean documents that hold it, and in one row with a null word the documents themselves."""
-    for batch in batches:
+    for batch in sliced(batches):
         counts, total = (Counter(), Counter()), [0, 0]
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts[label].update(set(words_of((text or "").lower())))

@@ -40,7 +40,8 @@ def runs_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
     Capitals A-Z go: such a tokenizer lower-cases after composing characters, and without combining marks of the block
     that composes with them the order doesn't matter."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # A copy that begins at the buffer's begin: splitting slices of arrays has been seen to return wrong runs.
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
     data = texts.cast(pa.large_binary())
     marks = pc.or_(pc.match_substring(data, b"\xcc"), pc.match_substring(data, b"\xcd"))
     lists = pc.ascii_split_whitespace(pc.if_else(marks, texts, pc.ascii_lower(texts)))
