@@ -19,14 +19,20 @@ import hashlib
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from panweave.llm.common import map_texts
 
 FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Entries of each generation of a Python worker's tables, bytes of the largest entry, bytes of a leaf.
-KEPT_WORDS, KEPT_PARTS, KEPT_BYTES, LEAF = 200_000, 200_000, 48, 5
+NEVER = 1 << 62  # no rank
+#: Texts whose units are looked up together.
+TEXTS = 4000
+#: Bytes up to which a piece is a leaf by itself, and bytes of the leaves of a longer one.
+WHOLE, LEAF = 16, 8
+#: Entries of each generation of a Python worker's tables, bytes of the largest entry.
+KEPT_WORDS, KEPT_PARTS, KEPT_BYTES = 250_000, 200_000, 48
 
 
 class Encoder:
@@ -42,15 +48,16 @@ class Encoder:
     def leaf(self, data: bytes) -> tuple[int, ...]:
         """Merges of lowest rank first, leftmost first; meant for a few bytes."""
         ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        rank = ranks.get
+        pairs = [rank(data[i : i + 2], NEVER) for i in range(len(data) - 1)]  # of each part and the next one
+        while pairs and (best := min(pairs)) < NEVER:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], NEVER)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
         return tuple(ranks[p] for p in parts)
 
     def stable(self, a: int, b: int) -> bool:
@@ -87,8 +94,8 @@ class Encoder:
         """The encoding of one piece: leaves, then seams, up a balanced tree."""
         if (whole := self.ranks.get(data)) is not None:
             return (whole,)
-        if len(data) <= LEAF:
-            return self.short(data)
+        if len(data) <= WHOLE:
+            return self.leaf(data)
         level = [self.short(data[i : i + LEAF]) for i in range(0, len(data), LEAF)]
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
@@ -107,11 +114,25 @@ class Encoder:
             level = [b"".join(level[i : i + 16]) for i in range(0, len(level), 16)]
         return level[0] if level else b""
 
+    def pieces(self, unit: str) -> list[str]:
+        """The pieces of a unit. For letters alone, or with marks after them, there is no need of the pattern."""
+        if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+            return [unit]
+        stem = unit.rstrip(".,")
+        if stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()):
+            return [stem, unit[len(stem) :]]
+        return self.pattern.findall(unit)
+
     def word(self, unit: str) -> tuple[str, bytes]:
         """Decimal ids joined by commas, and the bytes that they decode to, of a run between pattern boundaries."""
         if (made := self.old_words.get(unit)) is None:
-            ids = self.encode(unit)
-            made = ",".join(map(str, ids)), self.decode(ids)
+            pieces = self.pieces(unit)
+            if len(pieces) == 1:
+                ids = self.encode_piece(unit.encode("utf-8", "surrogatepass"))
+                made = ",".join(map(str, ids)), self.decode(ids)
+            else:  # most pieces are known from other units
+                found = [self.words.get(p) or self.word(p) for p in pieces]
+                made = ",".join([x for x, _ in found]), b"".join([x for _, x in found])
         if len(unit) <= KEPT_BYTES:
             if len(self.words) >= KEPT_WORDS:  # words in use move on, others go with the old generation
                 self.old_words, self.words = self.words, {}
@@ -127,6 +148,26 @@ class Encoder:
         return ids.count(",") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([x for _, x in found])).hexdigest()
 
 
+    def digests(self, texts: list) -> list[tuple[int, str, str]]:
+        """digest() of each text. Each distinct unit of all of them is looked up once."""
+        plain = [i for i, x in enumerate(texts) if x and "  " not in x]
+        out = [None if x and "  " not in x else self.digest(x) for x in texts]
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        coded, ends = lists.values.dictionary_encode(), lists.offsets.to_numpy().tolist()
+        names = coded.dictionary.to_pylist()
+        found = [self.words.get(u) or self.word(u) for u in [" " + x for x in names]]
+        ids_of, bytes_of = [x for x, _ in found], [x for _, x in found]
+        picked = coded.indices.to_numpy()
+        for i, a, b in zip(plain, ends, ends[1:], strict=False):
+            first, *rest = picked[a:b].tolist()
+            # A text's first unit has no space before it.
+            head = [self.words.get(names[first]) or self.word(names[first])] if names[first] else []
+            ids = ",".join([x for x, _ in head] + [ids_of[j] for j in rest])
+            data = b"".join([x for _, x in head] + [bytes_of[j] for j in rest])
+            out[i] = ids.count(",") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest()
+        return out
+
+
 def units(text: str, pattern) -> list[str]:
     """A text cut at places where pieces of the pattern always end.
 
@@ -151,10 +192,10 @@ def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     kinds = [pa.int64(), pa.string(), pa.string()]
 
     def of(texts: list) -> list[pa.Array]:
-        rows = [encoder(path, pattern).digest(x) for x in texts]
+        rows = encoder(path, pattern).digests(texts)
         return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
 
-    return map_texts(docs, of, FIELDS)
+    return map_texts(docs, of, FIELDS, rows=TEXTS)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
