@@ -125,6 +125,9 @@ def test_bpe_equals_the_library(pair):
             assert own.encode(text) == ids
             assert own.decode(ids) == text.encode()
             assert own.digest(text) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    texts = [None, "", " ", "a", " a", "a ", "a  b", "\n a\n", *("".join(rng.choices("ab \n.é", k=k)) for k in range(200))]
+    assert own.digests(texts) == [own.digest(x) for x in texts]
+    assert own.digests([]) == [] and own.digests([None]) == [own.digest("")]
     assert own.digest(None) == own.digest("") and own.digest(None)[0] == 0
 
 
