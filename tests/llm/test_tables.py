@@ -356,3 +356,28 @@ def test_logistic_settles():
     x = np.column_stack([y * 3 + rng.random(10000) * 0.01, np.zeros(10000), y, y * 2])
     w = toxicity.logistic(x, y)
     assert np.isfinite(w).all() and (w[1:] >= 0).all() and ((w[0] + x @ w[1:] > 0) == (y > 0)).all()
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_line_dedup_of_many_rows(spark, monkeypatch, few):
+    """More rows than are turned into objects at a time, with deletions sent to all tasks or joined by a shuffle."""
+    monkeypatch.setattr(line_dedup, "FEW_ROWS", few)
+    block = "\n".join(" ".join(f"b{j}é{i}" for j in range(14)) for i in range(3))
+    own = lambda i: f"Own líne {i} " + "x" * (i % 40)
+    rows = [(i, f"{own(i)}\n{block}" if i % 3 else own(i)) for i in range(2500)]
+    out = line_dedup.dedup_lines(docs(spark, rows).coalesce(1)).collect()
+    assert {tuple(r) for r in out} == {(i, f"{own(i)}\n{block}" if i == 1 else own(i)) for i in range(2500)}
+
+
+def test_tokens_of_many_rows(spark):
+    """Batches of more rows than are encoded together."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(["Über", "the", "cat's", "naïve,", "x|y", "3.14", "漢字"], k=rng.randrange(6)))) for i in range(12000)]
+    plain = Tokenizer.from_file(WORDS)
+    out = packing.pack(docs(spark, rows).coalesce(1), WORDS).collect()
+    import zlib
+
+    want = {(i, zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in rows}
+    assert {(r["doc_id"], r["ids_crc32"]) for r in out} == want
