@@ -32,6 +32,8 @@ from pyspark.sql.types import StructType
 from panweave.llm.common import column, cut, doc_rank, free_name, sliced, stored
 
 RARE_WORDS, BLOCK_WORDS = 8, 20
+#: Deletions that are sent to every task: so many documents, and so many numbers in their lists, at most (some 25 MB).
+FEW_ROWS, FEW_NUMBERS = 100_000, 2_000_000
 KEY = "doc_rank long, text_key long"
 
 
@@ -169,7 +171,10 @@ def without(text: str, gone: list[int]) -> str:
 def edited(docs: DataFrame, *extra: str) -> DataFrame:
     """All rows and columns of ``docs`` with the edited text; ``extra`` of gone and sources under free names at the end."""
     names = {x: free_name(docs, f"line_dedup_{x}") for x in ("doc_rank", "text_key", "gone", "sources")}
-    lost = deletions(docs).toDF(*names.values())
+    lost = cut(deletions(docs).toDF(*names.values()))
+    size = lost.agg(F.count("*"), F.sum(F.size(names["gone"]) + F.size(names["sources"]))).first()
+    if size[0] <= FEW_ROWS and (size[1] or 0) <= FEW_NUMBERS:  # then the texts needn't be shuffled
+        lost = F.broadcast(lost)
     rank, key = doc_rank(column(docs, "doc_id")), text_key(column(docs, "text").cast("string"))
     joined = docs.withColumns({names["doc_rank"]: rank, names["text_key"]: key}).join(lost, [names["doc_rank"], names["text_key"]], "left")
     joined = joined.select(*(column(joined, c) for c in docs.columns), names["gone"], names["sources"])
