@@ -10,8 +10,8 @@ word, so each is keyed by all words within two bits and linked to the first unde
 
 near_duplicates() is for whole texts: five-word shingles and a set similarity of 0.8 or more. At 0.8, fingerprints
 of 64 bits differ in ten bits or so, and no choice of blocks is both sure and selective there. So its candidates
-also come from bands of minwise hashes; every candidate pair is then held against its fingerprints' distance
-and the exact similarity of the shingle sets.
+also come from bands of minwise hashes; every candidate pair is then held against the exact similarity of the
+shingle sets. Members of a band that this doesn't link are searched for further pairs by an exact prefix filter.
 
 Defined cases: a null text counts as empty; texts without words have the fingerprint zero, and are linked like
 any others. Empty tables give empty results. Repeated rows have one fingerprint and one component; where one of
@@ -34,8 +34,10 @@ from panweave.llm.common import column, cut, doc_rank, free_name, map_texts, sto
 from panweave.llm.components import components
 
 SEED, SHINGLE, DISTANCE, BLOCKS, CROWD = 42, 4, 4, 7, 512
-NEAR_SHINGLE, SIMILARITY, BANDS, BAND_ROWS, FAR_BITS = 5, 0.8, 20, 5, 26
+NEAR_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 20, 5
 PORTION = 1 << 15
+#: Cells that count shingles; rows of a group that are paired by shifting; pairs that are tried at a time.
+CELLS, FEW, CHUNK = 1 << 18, 64, 1 << 20
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -219,46 +221,40 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return made.groupBy("k1", "k2").agg(F.min("doc_rank").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
 
 
-def band_candidates(signed: DataFrame, far: int = FAR_BITS) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band and aren't farther apart than ``far`` bits: each member of a band with
-    the band's first and with the one before it, so a band makes two pairs for each member and not all."""
+def band_members(signed: DataFrame) -> DataFrame:
+    """band, node, first and before: every member of a band but its first, with the first and the one before it."""
     keyed = signed.select("node", "fp", F.posexplode("bands").alias("band", "value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = first = None  # band, value, node, fp of the row before; node, fp of its band's first row
+        last = first = None  # band, value, node of the row before; its band's first node
         for batch in batches:
-            rows = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], np.int64)
-            n = rows.shape[1]
-            if not n:
+            rows = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], np.int64)
+            if not rows.shape[1]:
                 continue
-            if carry is not None:
-                rows = np.concatenate([carry[:, None], rows], axis=1)
+            if last is not None:
+                rows = np.concatenate([last[:, None], rows], axis=1)
             new = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
             heads = np.maximum.accumulate(np.where(new, np.arange(rows.shape[1]), 0))
-            start_node, start_fp = rows[2, heads], rows[3, heads]
-            if carry is not None:
-                old = heads == 0
-                start_node[old], start_fp[old] = first
-            a, b = [], []
-            for other, fp in ((start_node, start_fp), (np.roll(rows[2], 1), np.roll(rows[3], 1))):
-                keep = ~new & (rows[2] != other) & (apart(rows[3], fp) <= far)
-                a.append(rows[2, keep])
-                b.append(other[keep])
-            carry, first = rows[:, -1], (start_node[-1], start_fp[-1])
-            pairs = np.concatenate(a), np.concatenate(b)
-            links = np.unique(np.array([np.maximum(*pairs), np.minimum(*pairs)]).T, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0], pa.int64()), pa.array(links[:, 1], pa.int64())], ["a", "b"])
+            start = rows[2, heads]
+            if last is not None:
+                start[heads == 0] = first
+            held = np.array([rows[0], rows[2], start, np.roll(rows[2], 1)])[:, ~new]
+            last, first = rows[:, -1], start[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in held], ["band", "node", "first", "before"])
 
     dealt = keyed.select(F.col("band").cast("long").alias("band"), "value", "node", "fp").repartition("band", "value").sortWithinPartitions("band", "value", "fp", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("band", "value", "node").mapInArrow(run, "band long, node long, first long, before long")
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those pairs whose texts' shingle sets have at least this share in common. Only the candidates' texts are sent."""
+def shingle_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """node and shingles (distinct hashes) of these nodes. Only their texts are sent."""
     texts = docs.select(doc_rank(F.col("doc_id")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    hashed = map_texts(texts.join(wanted, "node", "left_semi"), lambda x: [pa.array([np.unique(shingle_hashes(t, size)).view(np.int64) for t in x], pa.list_(pa.int64()))], "shingles array<long>", ids=("node",))
-    sets = cut(hashed.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    hashed = map_texts(texts.join(nodes, "node", "left_semi"), lambda x: [pa.array([np.unique(shingle_hashes(t, size)).view(np.int64) for t in x], pa.list_(pa.int64()))], "shingles array<long>", ids=("node",))
+    return cut(hashed.groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs whose texts' shingle sets have at least this share in common."""
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,16 +270,143 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, size: int, similarity: floa
     return both.mapInArrow(run, "a long, b long")
 
 
+def mixed_members(held: DataFrame, rooted: DataFrame) -> DataFrame:
+    """node and root of all members of the groups (band, first) whose members aren't all linked to each other yet."""
+    of = lambda name, root: rooted.select(F.col("node").alias(name), F.col("root").alias(root))
+    known = held.select("band", "node", "first").join(of("node", "node_root"), "node", "left").join(of("first", "first_root"), "first", "left")
+    mixed = cut(known.filter(F.coalesce("node_root", "node") != F.coalesce("first_root", "first")).select("band", "first").distinct())
+    nodes = held.join(mixed, ["band", "first"], "left_semi").select("node").unionByName(mixed.select(F.col("first").alias("node"))).distinct()
+    return nodes.join(rooted, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def pairs_of_groups(rows: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs (2 x n) of different roots among rows (shingle, size, node, root, cap) of whole groups, sorted by the first two."""
+    change = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
+    begins, ends = np.concatenate([[0], change]), np.concatenate([change, [rows.shape[1]]])
+    mixed = np.minimum.reduceat(rows[3], begins) != np.maximum.reduceat(rows[3], begins)
+    begins, ends = begins[mixed], ends[mixed]
+    sizes, few = ends - begins, ends - begins <= FEW
+
+    def fine(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        _, size, _, root, cap = rows
+        near = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+        return near & (root[i] != root[j]) & (size[i] <= cap[j]) & (size[j] <= cap[i])
+
+    def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = rows[2, i], rows[2, j]
+        return np.unique(np.array([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+
+    at = np.concatenate([np.arange(b, e) for b, e in zip(begins[few], ends[few], strict=True)]) if few.any() else np.empty(0, np.int64)
+    until = np.repeat(ends[few], sizes[few])
+    for step in range(1, FEW):
+        at, until = at[at + step < until], until[at + step < until]
+        if not len(at):
+            break
+        keep = fine(at, at + step)
+        yield pairs(at[keep], at[keep] + step)
+    for begin, end in zip(begins[~few].tolist(), ends[~few].tolist(), strict=True):
+        size, root = rows[1, begin:end], rows[3, begin:end]
+        values, counts = np.unique(root, return_counts=True)
+        main = root == values[counts.argmax()]  # members of one root needn't be compared with each other
+        others = np.flatnonzero(~main)
+        low = np.searchsorted(size, similarity * size[others] - 1e-6)
+        high = np.searchsorted(size, np.minimum(size[others] / similarity + 1e-6, rows[4, begin + others]), "right")
+        width = np.maximum(high - low, 0)
+        total = np.cumsum(width)
+        done = 0
+        while done < len(others):
+            till = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + CHUNK, "right")))
+            w = width[done:till]
+            i = np.repeat(others[done:till], w)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(low[done:till], w)
+            once = main[j] | (j > i)
+            i, j = i[once] + begin, j[once] + begin
+            keep = fine(i, j)
+            yield pairs(i[keep], j[keep])
+            done = till
+
+
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots, all similar ones among them, of a table of node, root and shingles.
+
+    Prefix filter: with all shingles in one order, two sets that are similar enough share one among the first
+    size - ceil(similarity * size) + 1 of each; and if it is their first common one, enough must follow it in both.
+    Any order is right. This one has rare shingles first, by counts in CELLS cells, so that a passage that many texts
+    share comes last and makes few pairs.
+    """
+    spark = sets.sparkSession
+    shift = np.uint64(64 - CELLS.bit_length() + 1)
+    cell = lambda x: (x.view(np.uint64) >> shift).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            n += np.bincount(cell(batch.column(0).flatten().to_numpy(zero_copy_only=False)), minlength=CELLS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["cell", "n"])
+
+    counted = sets.select("shingles").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(CELLS, np.int64)
+    often[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(often)  # CELLS numbers, whatever the input
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.empty((5, 0), np.int64)]
+            for node, root, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = shingles.values.to_numpy(zero_copy_only=False)
+                n, rare = len(x), shared.value[cell(x)]
+                order = np.lexsort((x, rare))[: n - int(np.ceil(similarity * n - 1e-6)) + 1]
+                places = np.flatnonzero(rare[order] > 1)
+                caps = np.floor((n - places) * (1 + similarity) / similarity - n + 1e-6).astype(np.int64)
+                out.append(np.array([x[order[places]], np.full(len(places), n), np.full(len(places), node), np.full(len(places), root), caps], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.concatenate(out, axis=1)], ["shingle", "size", "node", "root", "cap"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []  # rows since the last flush; the last group of them may go on
+        for batch in batches:
+            rows = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)], np.int64)
+            if not rows.shape[1]:
+                continue
+            parts.append(rows)
+            if parts[0][0, 0] == rows[0, -1]:
+                continue
+            rows = np.concatenate(parts, axis=1)
+            at = int(np.flatnonzero(rows[0] != rows[0, -1])[-1]) + 1
+            yield from map(linked, pairs_of_groups(rows[:, :at], similarity))
+            parts = [rows[:, at:]]
+        if parts:
+            yield from map(linked, pairs_of_groups(np.concatenate(parts, axis=1), similarity))
+
+    def linked(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
+
+    dealt = sets.select("node", "root", "shingles").mapInArrow(prefixes, "shingle long, size long, node long, root long, cap long")
+    return dealt.repartition("shingle").sortWithinPartitions("shingle", "size", "node").mapInArrow(meet, "a long, b long").distinct()
+
+
 def near_duplicate_links(docs: DataFrame, *, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Signatures of the distinct texts, and links (a, b) of similar ones, between the smallest ranks of each text."""
+    """Signatures of the distinct texts, and links (a, b) of similar ones, between the smallest ranks of each text.
+
+    First each member of a band is compared with the band's first and the one before it. Where that leaves a band's
+    members in more than one component, all pairs of different components among such members are candidates.
+    """
     signed = stored(signatures(docs, size), "simhash")
     fps = signed.groupBy("fp").agg(F.min("node").alias("node"))
     close = fingerprint_links(fps.select("fp"))
     by_fp = fps.withColumnsRenamed({"fp": "key", "node": "at"})
     simhash = close.join(by_fp, close["a"] == by_fp["key"]).select(F.col("at").alias("a"), "b").join(by_fp.withColumnRenamed("at", "to"), F.col("b") == F.col("key")).select("a", F.col("to").alias("b"))
     same_fp = signed.join(fps.withColumnRenamed("node", "first"), "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    pairs = cut(band_candidates(signed).unionByName(simhash).unionByName(same_fp).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    return signed, similar_pairs(pairs, docs, size, similarity)
+    held = cut(band_members(signed))
+    stars = held.select(F.col("node").alias("a"), F.explode(F.array("first", "before")).alias("b"))
+    pairs = cut(stars.unionByName(simhash).unionByName(same_fp).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, size)
+    links = cut(similar_pairs(pairs, sets, similarity))
+    left = cut(mixed_members(held, components(links)))
+    if left.isEmpty():
+        return signed, links
+    more = cut(prefix_pairs(sets.join(left, "node"), similarity))
+    return signed, links.unionByName(similar_pairs(more, sets, similarity))
 
 
 def drop_near_duplicates(docs: DataFrame, *, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -154,6 +154,26 @@ def test_near_duplicates(spark):
     assert kept == jaccard_kept(texts)
 
 
+def test_near_duplicates_that_share_a_passage(spark):
+    """Pairs of similarity 0.82 in texts that are all similar by 0.77, so that no chain of others links them."""
+    passage = " ".join(f"p{i}" for i in range(349))
+    texts = {i: f"{passage} " + " ".join(f"q{i // 2}x{j}" for j in range(13)) + " " + " ".join(f"o{i}x{j}" for j in range(38)) for i in range(200)}
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, list(texts.items()))).collect()}
+    assert kept == jaccard_kept(texts) == set(range(0, 200, 2))
+
+
+@pytest.mark.parametrize(("few", "chunk"), [(64, 1 << 20), (3, 50), (1, 1)])
+def test_pairs_of_groups(monkeypatch, few, chunk):
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = random.Random(7)
+    rows = sorted((g, rng.randrange(20, 40), 100 * g + i, rng.choice([1, 1, 1, 2, 3, 50 + i]), rng.randrange(18, 45)) for g in range(30) for i in range(rng.choice([1, 2, 3, 9, 30])))
+    near = lambda x, y: min(x[1], y[1]) >= 0.8 * max(x[1], y[1]) and x[1] <= y[4] and y[1] <= x[4]
+    want = {(max(x[2], y[2]), min(x[2], y[2])) for x in rows for y in rows if x[0] == y[0] and x[2] < y[2] and x[3] != y[3] and near(x, y)}
+    got = [tuple(x) for pairs in simhash.pairs_of_groups(np.array(rows, np.int64).T, 0.8) for x in pairs.T.tolist()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i + 100, " ".join(rng.choices("the and of river stone Blue".split(), k=rng.choice([0, 3, 60, 900, 6000])))) for i in range(40)] + HARD
