@@ -11,7 +11,7 @@ word, so each is keyed by all words within two bits and linked to the first unde
 near_duplicates() is for whole texts: five-word shingles and a set similarity of 0.8 or more. At 0.8, fingerprints
 of 64 bits differ in ten bits or so, and no choice of blocks is both sure and selective there. So its candidates
 also come from bands of minwise hashes; every candidate pair is then held against the exact similarity of the
-shingle sets. Members of a band that this doesn't link are searched for further pairs by an exact prefix filter.
+shingle sets. Members of a band, or of a group of close fingerprints, that this doesn't link are searched for further pairs by an exact prefix filter.
 
 Defined cases: a null text counts as empty; texts without words have the fingerprint zero, and are linked like
 any others. Empty tables give empty results. Repeated rows have one fingerprint and one component; where one of
@@ -246,6 +246,15 @@ def band_members(signed: DataFrame) -> DataFrame:
     return dealt.select("band", "value", "node").mapInArrow(run, "band long, node long, first long, before long")
 
 
+def fingerprint_members(signed: DataFrame, close: DataFrame) -> DataFrame:
+    """The same columns (band -1) for texts whose fingerprints are equal or connected by links ``close``: ``close`` need
+    not hold every pair within the distance, but each lies in one group."""
+    rooted = components(close).select(F.col("node").alias("fp"), F.col("root").alias("group"))
+    groups = cut(signed.select("node", "fp").join(rooted, "fp", "left").select("node", F.coalesce("group", "fp").alias("group")))
+    first = groups.groupBy("group").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("group", "first")
+    return groups.join(first, "group").filter("node <> first").select(F.lit(-1).cast("long").alias("band"), "node", "first", F.col("first").alias("before"))
+
+
 def shingle_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """node and shingles (distinct hashes) of these nodes. Only their texts are sent."""
     texts = docs.select(doc_rank(F.col("doc_id")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -388,18 +397,19 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
 def near_duplicate_links(docs: DataFrame, *, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Signatures of the distinct texts, and links (a, b) of similar ones, between the smallest ranks of each text.
 
-    First each member of a band is compared with the band's first and the one before it. Where that leaves a band's
-    members in more than one component, all pairs of different components among such members are candidates.
+    First each member of a band is compared with the band's first and the one before it, and texts whose fingerprints
+    a chain of close ones connects with the first of them. Where that leaves the members of such a group in more than
+    one component, all pairs of different components among such members are candidates.
     """
     signed = stored(signatures(docs, size), "simhash")
     fps = signed.groupBy("fp").agg(F.min("node").alias("node"))
-    close = fingerprint_links(fps.select("fp"))
+    close = cut(fingerprint_links(fps.select("fp")))
     by_fp = fps.withColumnsRenamed({"fp": "key", "node": "at"})
     simhash = close.join(by_fp, close["a"] == by_fp["key"]).select(F.col("at").alias("a"), "b").join(by_fp.withColumnRenamed("at", "to"), F.col("b") == F.col("key")).select("a", F.col("to").alias("b"))
-    same_fp = signed.join(fps.withColumnRenamed("node", "first"), "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    held = cut(band_members(signed))
+    bands = band_members(signed)
+    held = cut(bands.unionByName(fingerprint_members(signed, close)))
     stars = held.select(F.col("node").alias("a"), F.explode(F.array("first", "before")).alias("b"))
-    pairs = cut(stars.unionByName(simhash).unionByName(same_fp).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    pairs = cut(stars.unionByName(simhash).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, size)
     links = cut(similar_pairs(pairs, sets, similarity))
     left = cut(mixed_members(held, components(links)))

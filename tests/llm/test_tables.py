@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panweave.llm import bpe, common, components, language, licenses, line_dedup, media, packing, quality, queries, simhash, token_counts, toxicity
@@ -174,6 +175,19 @@ def test_pairs_of_groups(monkeypatch, few, chunk):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_duplicates_within_a_group_of_fingerprints(spark, monkeypatch):
+    """Without bands: similar texts of close fingerprints whose group is linked through texts that aren't similar to them."""
+    monkeypatch.setattr(simhash, "band_members", lambda signed: signed.select(*(F.lit(0).cast("long").alias(c) for c in ("band", "node", "first", "before"))).limit(0))
+    heavy = " ".join(f"h{i}" for i in range(12))
+    texts = {}
+    for i in range(40):  # a passage often repeated makes the fingerprint; the words around it, the set
+        texts[i] = f"{heavy} " * 60 + " ".join(f"g{i // 2}x{j}" for j in range(40)) + (f" end{i}" if i % 2 else "")
+    made = [np.int64(np.uint64(plain_fingerprint(t, 5)).view(np.int64)) for t in texts.values()]
+    assert len(set(clusters(made))) == 1  # one group by fingerprints
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, list(texts.items()))).collect()}
+    assert kept == jaccard_kept(texts) == set(range(0, 40, 2))
+
+
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i + 100, " ".join(rng.choices("the and of river stone Blue".split(), k=rng.choice([0, 3, 60, 900, 6000])))) for i in range(40)] + HARD
