@@ -1,8 +1,13 @@
 """Line dedup by pairwise alignment.
 
-A document overlaps with an earlier one if they share a rare line: one of at least RARE_WORDS words, as lines that
-long hardly recur by chance. (A limit on how often a line occurs would lose large groups of copies.) Each later
-document is aligned with the earliest holder of each line, so a line that a third of all documents hold makes one
+A passage of neighbouring lines with at least BLOCK_WORDS words that an earlier document has goes, however long or
+frequent its lines are. It is found by its windows: from each line on, and up to each line, the fewest lines that
+have so many words. Every line of such a passage lies in a window within it, and a window depends on its own lines
+only, so the earliest holder of each window's hash tells whether any earlier document has it.
+
+Beyond that, a document overlaps with an earlier one if they share a rare line: one of at least RARE_WORDS words, as
+lines that long hardly recur by chance. (A limit on how often a line occurs would lose large groups of copies.) Each
+later document is aligned with the earliest holder of each line, so a line that a third of all documents hold makes one
 row for each of them and no pairs among them. Alignment is patience diff: lines that are unique in both
 documents (repeated lines are told apart by their number) are matched along the longest increasing chain, then
 what is left over likewise. Runs of neighbouring matches on one diagonal are blocks; other shared lines within a
@@ -32,6 +37,8 @@ from pyspark.sql.types import StructType
 from panweave.llm.common import column, cut, doc_rank, free_name, sliced, stored
 
 RARE_WORDS, BLOCK_WORDS = 8, 20
+#: Hashes of windows are of another kind than those of lines, whose seed is a line's number.
+WINDOW_SEED = 2**64 - 1
 #: Deletions that are sent to every task: so many documents, and so many numbers in their lists, at most (some 25 MB).
 FEW_ROWS, FEW_NUMBERS = 100_000, 2_000_000
 KEY = "doc_rank long, text_key long"
@@ -59,16 +66,49 @@ def line_hashes(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
+def windows(n_words: list[int]) -> list[tuple[int, int]]:
+    """First and last line of the shortest runs of at least BLOCK_WORDS words from each line on and up to each line."""
+    found = set()
+    first = words = 0
+    for last, n in enumerate(n_words):  # up to each line
+        words += n
+        while words - n_words[first] >= BLOCK_WORDS:
+            words -= n_words[first]
+            first += 1
+        if words >= BLOCK_WORDS:
+            found.add((first, last))
+    last, words = len(n_words) - 1, 0
+    for first in range(len(n_words) - 1, -1, -1):  # from each line on
+        words += n_words[first]
+        while words - n_words[last] >= BLOCK_WORDS:
+            words -= n_words[last]
+            last -= 1
+        if words >= BLOCK_WORDS:
+            found.add((first, last))
+    return sorted(found)
+
+
+def window_hashes(text: str | None) -> list[tuple[int, int, int, int, int]]:
+    """Of each window: its first line, two halves of the hash of its lines, its words and its lines."""
+    kept = [line for line in (x.strip() for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n")) if line]
+    n_words = [len(line.split()) for line in kept]
+    out = []
+    for first, last in windows(n_words):
+        h = xxhash.xxh3_128_intdigest(b"\n".join(kept[first : last + 1]), WINDOW_SEED)
+        out.append((first, (h >> 64) - 2**63, (h & 2**64 - 1) - 2**63, sum(n_words[first : last + 1]), last - first + 1))
+    return out
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_rank, text_key, place (from 0), h1, h2, n_words of every line with words."""
+    """doc_rank, text_key, place (from 0), h1, h2, n_words, n_lines (0) of every line with words, and of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = [(r, k, i, *x) for r, k, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for i, x in enumerate(line_hashes(t))]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_rank", "text_key", "place", "h1", "h2", "n_words"])
+            rows = [(r, k, *x) for r, k, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for x in [*((i, *y, 0) for i, y in enumerate(line_hashes(t))), *window_hashes(t)]]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_rank", "text_key", "place", "h1", "h2", "n_words", "n_lines"])
 
-    return keyed(docs).mapInArrow(run, KEY + ", place int, h1 long, h2 long, n_words int")
+    return keyed(docs).mapInArrow(run, KEY + ", place int, h1 long, h2 long, n_words int, n_lines int")
 
 
 def longest_chain(places: list[int]) -> list[int]:
@@ -130,27 +170,40 @@ def align(shared: list[tuple]) -> tuple[list[int], list[int]]:
     return sorted(gone), sorted(sources)
 
 
+def to_delete(shared: list[tuple]) -> tuple[list[int], list[int]]:
+    """The same of lines and windows: as in ``align``, with a window's lines (0 for a line) at the end."""
+    gone, sources = map(set, align([x[:5] for x in shared if not x[5]]))
+    for place, _, owner, _, _, n_lines in shared:
+        if n_lines:
+            gone.update(range(place, place + n_lines))
+            sources.add(owner)
+    return sorted(gone), sorted(sources)
+
+
 def deletions(docs: DataFrame) -> DataFrame:
     """doc_rank, text_key, gone (places of deleted lines among those with words) and sources of the documents that lose lines."""
     found = stored(lines(docs), "lines")
     owner = F.struct("doc_rank", "text_key", "place")
     owners = found.groupBy("h1", "h2").agg(F.min(owner).alias("o"), F.max(F.struct("doc_rank", "text_key")).alias("last"))
-    # Only lines that at least two documents hold.
+    # Only lines and windows that at least two documents hold.
     owners = owners.filter((F.col("o.doc_rank") != F.col("last.doc_rank")) | (F.col("o.text_key") != F.col("last.text_key")))
     owners = owners.select("h1", "h2", F.col("o.doc_rank").alias("o_rank"), F.col("o.text_key").alias("o_key"), F.col("o.place").alias("o_place"))
     owners = cut(owners)  # so that both sides of the join are dealt by it alone, and a hot line's part can be split
     later = (F.col("doc_rank") != F.col("o_rank")) | (F.col("text_key") != F.col("o_key"))
     shared = found.join(owners, ["h1", "h2"]).filter(later)
-    each = shared.groupBy("doc_rank", "text_key").agg(F.collect_set(F.struct("place", "n_words", "o_rank", "o_key", "o_place")).alias("shared"), F.sum("n_words").alias("n"), F.max("n_words").alias("longest"))
+    each = shared.groupBy("doc_rank", "text_key").agg(
+        F.collect_set(F.struct("place", "n_words", "o_rank", "o_key", "o_place", "n_lines")).alias("shared"),
+        F.sum("n_words").alias("n"), F.max("n_words").alias("longest"), F.max("n_lines").alias("window"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [align([tuple(x.values()) for x in rows]) for rows in batch.column(2).to_pylist()]
+            made = [to_delete([tuple(x.values()) for x in rows]) for rows in batch.column(2).to_pylist()]
             arrays = [pa.array([g for g, _ in made], pa.list_(pa.int32())), pa.array([s for _, s in made], pa.list_(pa.int64()))]
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_rank", "text_key", "gone", "sources"])
             yield out.filter(pa.array([bool(g) for g, _ in made], pa.bool_()))
 
-    few = each.filter((F.col("n") >= BLOCK_WORDS) & (F.col("longest") >= RARE_WORDS)).select("doc_rank", "text_key", "shared")
+    few = each.filter(((F.col("n") >= BLOCK_WORDS) & (F.col("longest") >= RARE_WORDS)) | (F.col("window") > 0)).select("doc_rank", "text_key", "shared")
     return few.mapInArrow(run, KEY + ", gone array<int>, sources array<long>")
 
 

@@ -257,6 +257,29 @@ def test_line_dedup(spark):
     assert out == {first, (1, f"{line('p')}\n{line('b2')}\n{line('b3')}\n{line('q')}"), (2, f"{line('r')}\n\n{line('s')}"), rows[2], rows[3], (5, "")}
 
 
+def plain_gone(texts, least=20):
+    """Places of each text's lines that lie in a run of lines, of so many words, which an earlier text has."""
+    kept = {i: [x.strip() for x in t.split("\n") if x.strip()] for i, t in texts.items()}
+    runs = lambda x: {(a, b): tuple(x[a:b]) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if sum(len(y.split()) for y in x[a:b]) >= least}
+    earlier, gone = set(), {}
+    for i in sorted(kept):
+        found = runs(kept[i])
+        gone[i] = sorted({p for (a, b), x in found.items() if x in earlier for p in range(a, b)})
+        earlier |= set(found.values())
+    return gone
+
+
+def test_line_dedup_of_blocks_whose_lines_have_other_owners(spark):
+    """A block's lines all occur earlier, each in another document, so no two of them have one earliest holder."""
+    line = lambda tag: " ".join(f"{tag}{i}" for i in range(9))
+    texts = {i: f"{line(f'own{i}x')}\n{line(f'b{i}x')}" for i in range(5)}
+    block = "\n".join(line(f"b{i}x") for i in range(5))
+    texts |= {5: f"{line('p')}\n{block}", 6: f"{line('q')}\n{block}\n{line('r')}", 7: block}
+    rows = {r["doc_id"]: r for r in line_dedup.line_report(docs(spark, list(texts.items()))).collect()}
+    assert {i: r["removed"] for i, r in rows.items()} == plain_gone(texts)
+    assert rows[5]["removed"] == [] and rows[6]["removed"] == [1, 2, 3, 4, 5] and rows[6]["sources"] == [5] and rows[7]["n_chars_left"] == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows = queries.op10_toxicity(spark, "/root/testdata/sf0.01").join(common.table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").filter("held_out").collect()
     right = sum(r["predicted"] == (r["toxic"] > 0) for r in rows)
