@@ -280,6 +280,17 @@ def test_line_dedup_of_blocks_whose_lines_have_other_owners(spark):
     assert rows[5]["removed"] == [] and rows[6]["removed"] == [1, 2, 3, 4, 5] and rows[6]["sources"] == [5] and rows[7]["n_chars_left"] == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(3)
+    verse = "\n".join(" ".join(f"v{i}x{j}" for j in range(6)) for i in range(10))
+    texts = {1: verse, 2: f"Another first line\n{verse}\nand a last one", 3: verse}
+    texts |= {i: "\n".join(" ".join(rng.choices("ab", k=rng.choice([1, 2, 5, 7, 15, 25]))) if rng.random() < 0.3 else f"w{rng.randrange(4)} x y" for _ in range(30)) for i in range(4, 24)}
+    rows = {r["doc_id"]: r["removed"] for r in line_dedup.line_report(docs(spark, list(texts.items()))).collect()}
+    want = plain_gone(texts)
+    assert rows[1] == [] and rows[2] == list(range(1, 11)) and rows[3] == list(range(10))
+    assert all(set(want[i]) <= set(rows[i]) for i in texts)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows = queries.op10_toxicity(spark, "/root/testdata/sf0.01").join(common.table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").filter("held_out").collect()
     right = sum(r["predicted"] == (r["toxic"] > 0) for r in rows)
