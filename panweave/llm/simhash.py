@@ -11,12 +11,14 @@ word, so each is keyed by all words within two bits and linked to the first unde
 near_duplicates() is for whole texts: five-word shingles and a set similarity of 0.8 or more. At 0.8, fingerprints
 of 64 bits differ in ten bits or so, and no choice of blocks is both sure and selective there. So its candidates
 also come from bands of minwise hashes; every candidate pair is then held against the exact similarity of the
-shingle sets. Members of a band, or of a group of close fingerprints, that this doesn't link are searched for further pairs by an exact prefix filter.
+shingle sets. Members of a band, or of a group of close fingerprints, that this doesn't link are searched for further
+pairs by an exact prefix filter.
 
 Defined cases: a null text counts as empty; texts without words have the fingerprint zero, and are linked like
 any others. Empty tables give empty results. Repeated rows have one fingerprint and one component; where one of
 each group stays, one row of them stays. Ties go to the smallest doc_id; a null doc_id is never the smallest
-in op9's component_id, and counts as smaller than all ids in near_duplicates(). Extra columns are kept there.
+in op9's component_id, and counts as smaller than all ids in near_duplicates(). There, rows of one id, or of none, and
+different texts are different documents: only equal and similar texts are dropped. Extra columns are kept there.
 """
 
 from __future__ import annotations
@@ -204,8 +206,20 @@ def minhash_bands(hashes: np.ndarray, rows: int = BAND_ROWS, bands: int = BANDS)
     return [xxhash.xxh64_intdigest(x.tobytes(), i) - 2**63 for i, x in enumerate(least.reshape(bands, rows))]
 
 
+def text_keys(text) -> list:
+    """Two hashes that tell texts apart; null is an empty text."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_rank, k1, k2 and text of every row: rows of one id and different texts are different documents."""
+    k1, k2 = text_keys(F.col("text"))
+    return docs.select(doc_rank(F.col("doc_id")).alias("doc_rank"), k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """One row for each distinct text: node (its smallest rank), fp, bands (array of long)."""
+    """One row for each distinct text: node (a number of its own), doc_rank (its smallest), k1 and k2 (hashes), fp, bands (array of long)."""
 
     def of(texts: list) -> list[pa.Array]:
         fps, bands = [], []
@@ -215,10 +229,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             bands.append(minhash_bands(np.unique(hashes)))
         return [pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ranked = docs.select(doc_rank(F.col("doc_id")).alias("doc_rank"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
-    made = map_texts(ranked, of, "fp long, bands array<long>", ids=("doc_rank", "k1", "k2"))
-    return made.groupBy("k1", "k2").agg(F.min("doc_rank").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    made = map_texts(hashed(docs), of, "fp long, bands array<long>", ids=("doc_rank", "k1", "k2"))
+    grouped = made.groupBy("k1", "k2").agg(F.min("doc_rank").alias("doc_rank"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    return grouped.select(F.monotonically_increasing_id().alias("node"), "doc_rank", "k1", "k2", "fp", "bands")
 
 
 def band_members(signed: DataFrame) -> DataFrame:
@@ -256,10 +269,10 @@ def fingerprint_members(signed: DataFrame, close: DataFrame) -> DataFrame:
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """node and shingles (distinct hashes) of these nodes. Only their texts are sent."""
-    texts = docs.select(doc_rank(F.col("doc_id")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    hashed = map_texts(texts.join(nodes, "node", "left_semi"), lambda x: [pa.array([np.unique(shingle_hashes(t, size)).view(np.int64) for t in x], pa.list_(pa.int64()))], "shingles array<long>", ids=("node",))
-    return cut(hashed.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    """node and shingles (distinct hashes) of these nodes (with doc_rank, k1, k2). Only their texts are sent."""
+    texts = hashed(docs).join(nodes, ["doc_rank", "k1", "k2"]).select("node", "text")
+    made = map_texts(texts, lambda x: [pa.array([np.unique(shingle_hashes(t, size)).view(np.int64) for t in x], pa.list_(pa.int64()))], "shingles array<long>", ids=("node",))
+    return cut(made.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -395,7 +408,7 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicate_links(docs: DataFrame, *, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Signatures of the distinct texts, and links (a, b) of similar ones, between the smallest ranks of each text.
+    """Signatures of the distinct texts, and links (a, b) of similar ones, between their nodes.
 
     First each member of a band is compared with the band's first and the one before it, and texts whose fingerprints
     a chain of close ones connects with the first of them. Where that leaves the members of such a group in more than
@@ -410,7 +423,8 @@ def near_duplicate_links(docs: DataFrame, *, size: int = NEAR_SHINGLE, similarit
     held = cut(bands.unionByName(fingerprint_members(signed, close)))
     stars = held.select(F.col("node").alias("a"), F.explode(F.array("first", "before")).alias("b"))
     pairs = cut(stars.unionByName(simhash).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, size)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = shingle_sets(signed.select("node", "doc_rank", "k1", "k2").join(wanted, "node", "left_semi"), docs, size)
     links = cut(similar_pairs(pairs, sets, similarity))
     left = cut(mixed_members(held, components(links)))
     if left.isEmpty():
@@ -422,10 +436,14 @@ def near_duplicate_links(docs: DataFrame, *, size: int = NEAR_SHINGLE, similarit
 def drop_near_duplicates(docs: DataFrame, *, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows that have an equal or similar one of smaller rank in their group."""
     signed, links = near_duplicate_links(docs, size=size, similarity=similarity)
-    lost = components(links).filter("node <> root").select("node")
-    keep = cut(signed.select("node").distinct().join(lost, "node", "left_anti"))
-    name = free_name(docs, "near_duplicate_node")
-    kept = docs.withColumn(name, doc_rank(column(docs, "doc_id"))).join(keep.withColumnRenamed("node", name), name, "left_semi")
+    rooted = components(links).select("node", F.col("root").alias("component"))
+    known = signed.select("node", "doc_rank", "k1", "k2").join(rooted, "node", "left")
+    one = F.struct("doc_rank", "k1", "k2")
+    groups = known.filter("component is not null").groupBy("component").agg(F.min(one).alias("one")).select("one.*")
+    keep = cut(known.filter("component is null").select("doc_rank", "k1", "k2").unionByName(groups))
+    names = {x: free_name(docs, f"near_duplicate_{x}") for x in ("doc_rank", "k1", "k2")}
+    values = [doc_rank(column(docs, "doc_id")), *text_keys(column(docs, "text"))]
+    kept = docs.withColumns(dict(zip(names.values(), values, strict=True))).join(keep.toDF(*names.values()), list(names.values()), "left_semi")
     if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates([name])  # rows that share an id are one document
+        kept = kept.dropDuplicates(list(names.values()))  # rows of one id and text are one document
     return kept.select(*(column(kept, c) for c in docs.columns))

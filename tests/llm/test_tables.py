@@ -188,6 +188,13 @@ def test_near_duplicates_within_a_group_of_fingerprints(spark, monkeypatch):
     assert kept == jaccard_kept(texts) == set(range(0, 40, 2))
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (3, text("c")), (3, text("d")), (3, text("d") + " more"), (4, text("c")), (5, text("a")), (6, text("e"))]
+    out = [tuple(r) for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()]
+    assert len(out) == 5 and {(i, t.removesuffix(" more")) for i, t in out} == {(None, text("a")), (None, text("b")), (3, text("c")), (3, text("d")), (6, text("e"))}
+
+
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i + 100, " ".join(rng.choices("the and of river stone Blue".split(), k=rng.choice([0, 3, 60, 900, 6000])))) for i in range(40)] + HARD
