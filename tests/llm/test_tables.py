@@ -195,6 +195,18 @@ def test_near_duplicates_of_rows_that_share_an_id(spark):
     assert len(out) == 5 and {(i, t.removesuffix(" more")) for i, t in out} == {(None, text("a")), (None, text("b")), (3, text("c")), (3, text("d")), (6, text("e"))}
 
 
+def test_near_duplicates_whose_fingerprints_are_far_apart(spark):
+    """Nearly equal sets, but one text repeats a passage so often that the fingerprints differ in over 26 bits."""
+    texts, far = {}, 0
+    for i in range(40):
+        words = [f"w{i}x{j}" for j in range(200)]
+        texts |= {2 * i: " ".join(words), 2 * i + 1: " ".join(words + words[:24] * 60)}
+        far += (plain_fingerprint(texts[2 * i], 5) ^ plain_fingerprint(texts[2 * i + 1], 5)).bit_count() > 26
+    assert far
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, list(texts.items()))).collect()}
+    assert kept == jaccard_kept(texts) == set(range(0, 80, 2))
+
+
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i + 100, " ".join(rng.choices("the and of river stone Blue".split(), k=rng.choice([0, 3, 60, 900, 6000])))) for i in range(40)] + HARD
