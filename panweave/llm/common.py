@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,25 +22,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SPREAD = 4 << 20
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and text. A small table is dealt to all cores; large files are split by the reader."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
+def dealt(rows: DataFrame) -> DataFrame:
+    """A small table dealt to all cores; large files are split by the reader."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores) if size < SPREAD * cores else rows
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the shared checkpoint folder and continue from there.
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text."""
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder is chosen.
-    """
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the session's ``spark.checkpoint.dir``. Only where that is unset and everything
+    runs in one process (tests) a temporary folder is chosen."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panweave-"))
-    return df.checkpoint(eager=True)
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="panweave-"))
+    return sc.getCheckpointDir()
+
+
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: tuple[str, ...] = ()) -> Iterator[None]:
+    """Tables that stored() and cut() write meanwhile are deleted at the end, but those whose names begin with one of
+    ``keep``. What is left must not depend on them."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            if path.rpartition("/")[2].startswith(keep):
+                continue
+            drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to a new folder that all machines share, and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Store ``df`` and continue from there: what was lost with an executor is read again, not made again."""
+    return stored(df, "cut")
+
+
+def stored_rows(df: DataFrame, name: str) -> DataFrame:
+    """The same for columns of any names, which a Parquet file might not hold together."""
+    return stored(df.toDF(*(f"c{i}" for i in range(len(df.columns)))), name).toDF(*df.columns)
 
 
 def free_name(df: DataFrame, wish: str) -> str:
@@ -98,14 +145,3 @@ def keep_rows(docs: DataFrame, keeps: Callable[[list], list[bool]], *, text: str
             yield batch.filter(pa.array(keeps(batch.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to a new folder beside the checkpoints, which all machines share, and read it back."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panweave-"))
-    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

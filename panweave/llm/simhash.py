@@ -1,9 +1,9 @@
 """SimHash near-duplicates.
 
 The fingerprint of a text has a bit for each of 64 positions, set if more than half of its shingles' hashes have
-it. Fingerprints within DISTANCE bits are linked. Pigeonhole: of BLOCKS blocks at least BLOCKS - DISTANCE are
+it. Fingerprints within DISTANCE bits are linked. Pigeonhole: of some blocks all but DISTANCE at least are
 equal, so distinct fingerprints are keyed by each choice of that many blocks, and those under one key are
-compared. Rows under one key arrive sorted, in bounded portions; a key yields one link for each member of a
+compared. The more fingerprints there are, the more blocks, and so the longer keys, are used: their number is counted first. Rows under one key arrive sorted, in bounded portions; a key yields one link for each member of a
 cluster, not all pairs. Fingerprints under a key with more than CROWD of them are handed on and linked exactly
 by another use of the same principle: two fingerprints within four bits are both within two bits of a common
 word, so each is keyed by all words within two bits and linked to the first under the same word.
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from panweave.llm.common import column, cut, doc_rank, free_name, map_texts, stored
 from panweave.llm.components import components
 
-SEED, SHINGLE, DISTANCE, BLOCKS, CROWD = 42, 4, 4, 7, 512
+SEED, SHINGLE, DISTANCE, CROWD = 42, 4, 4, 512
+#: Fewest and most blocks, and how many fingerprints may share a key by chance.
+LEAST_BLOCKS, MOST_BLOCKS, BY_CHANCE = 5, 10, 32
 NEAR_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 20, 5
 PORTION = 1 << 15
 #: Cells that count shingles; rows of a group that are paired by shifting; pairs that are tried at a time.
@@ -72,7 +74,15 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return map_texts(docs, lambda texts: [pa.array([fingerprint(shingle_hashes(x, size)) for x in texts], pa.int64())], "fp long")
 
 
-def block_masks(blocks: int = BLOCKS, equal: int = BLOCKS - DISTANCE) -> list[int]:
+def blocks_for(n: int, distance: int = DISTANCE) -> int:
+    """The fewest blocks of which few of n random fingerprints share a key. Any number is right; this one makes few rows."""
+    for blocks in range(LEAST_BLOCKS, MOST_BLOCKS):
+        if n <= BY_CHANCE << 64 * (blocks - distance) // blocks:
+            return blocks
+    return MOST_BLOCKS
+
+
+def block_masks(blocks: int, equal: int) -> list[int]:
     """Masks (signed) of every choice of ``equal`` of ``blocks`` blocks of the 64 bits."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     block = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
@@ -166,10 +176,11 @@ def exact_star(crowd: DataFrame) -> DataFrame:
     return crowd.select(near.alias("word"), "a").repartition("word").sortWithinPartitions("word", "a").mapInArrow(run, "a long, b long").distinct()
 
 
-def fingerprint_links(fps: DataFrame, *, distance: int = DISTANCE, blocks: int = BLOCKS, crowd: int = CROWD) -> DataFrame:
+def fingerprint_links(fps: DataFrame, *, distance: int = DISTANCE, blocks: int | None = None, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) that connect exactly those distinct fingerprints (fp) that a chain of pairs within ``distance`` connects."""
     if distance > 4:
         raise ValueError("crowds are linked exactly for up to four bits")
+    blocks = blocks or blocks_for(fps.count(), distance)
     masks = F.array(*(F.lit(m) for m in block_masks(blocks, blocks - distance)))
     keyed = fps.select("fp", F.posexplode(masks).alias("combo", "mask")).select(F.col("combo").cast("long").alias("combo"), F.col("mask").bitwiseAND(F.col("fp")).alias("masked"), "fp")
     found = cut(keyed.repartition("combo", "masked").sortWithinPartitions("combo", "masked").mapInArrow(lambda x: link_sorted(x, distance, crowd), "a long, b long").distinct())
@@ -185,10 +196,11 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id that links reach) of every document."""
     fps = cut(fingerprints(docs))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    rooted = components(fingerprint_links(distinct)).select(F.col("node").alias("fp"), "root")
-    known = distinct.join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = known.join(least, "root").select("fp", "component_id")
+    known = cut(distinct.join(components(fingerprint_links(distinct)).withColumnRenamed("node", "fp"), "fp", "left"))
+    linked = known.filter("root is not null")
+    # Stored, so that both sides of the next join are dealt by it alone, and a hot root's part can be split.
+    least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    ids = known.filter("root is null").select("fp", F.col("least").alias("component_id")).unionByName(linked.join(least, "root").select("fp", "component_id"))
     return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -264,7 +276,7 @@ def fingerprint_members(signed: DataFrame, close: DataFrame) -> DataFrame:
     not hold every pair within the distance, but each lies in one group."""
     rooted = components(close).select(F.col("node").alias("fp"), F.col("root").alias("group"))
     groups = cut(signed.select("node", "fp").join(rooted, "fp", "left").select("node", F.coalesce("group", "fp").alias("group")))
-    first = groups.groupBy("group").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("group", "first")
+    first = cut(groups.groupBy("group").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("group", "first"))
     return groups.join(first, "group").filter("node <> first").select(F.lit(-1).cast("long").alias("band"), "node", "first", F.col("first").alias("before"))
 
 
@@ -439,6 +451,7 @@ def drop_near_duplicates(docs: DataFrame, *, size: int = NEAR_SHINGLE, similarit
     rooted = components(links).select("node", F.col("root").alias("component"))
     known = signed.select("node", "doc_rank", "k1", "k2").join(rooted, "node", "left")
     one = F.struct("doc_rank", "k1", "k2")
+    known = cut(known)
     groups = known.filter("component is not null").groupBy("component").agg(F.min(one).alias("one")).select("one.*")
     keep = cut(known.filter("component is null").select("doc_rank", "k1", "k2").unionByName(groups))
     names = {x: free_name(docs, f"near_duplicate_{x}") for x in ("doc_rank", "k1", "k2")}

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -143,7 +144,6 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def test_word_tokens_equal_the_tokenizer():
-    import numpy as np
     from tokenizers import Tokenizer
 
     plain, own = Tokenizer.from_file(WORDS), WordTokens(WORDS)
@@ -160,12 +160,55 @@ def test_word_tokens_equal_the_tokenizer():
     assert own.ids([None, ""]) == [b"", b""]
 
 
+def lexicon(words=None, stems=None):
+    return toxicity.Lexicon(words or {"clown": 2.0}, stems or {})
+
+
 def test_grammar():
-    insults = {"clown": 2.0}
-    score = lambda text: toxicity.clause_score(text.split(), insults)
-    plain, aimed, negated, said = score("what a clown"), score("you are a clown"), score("not a clown"), score("he wrote clown")
-    assert negated[0] < plain[0] < aimed[0] and said[0] < plain[0]
-    assert score("i will kill you")[1] < score("you i will kill")[1]
+    score = lambda text: toxicity.clause_score(text.split(), lexicon())
+    plain, aimed, after, negated, said = score("what a clown"), score("you are a clown"), score("clown that you are"), score("not a clown"), score("he wrote clown")
+    assert negated[0] < said[0] < plain[0] < aimed[0] == after[0]
+    meant, aimed, backwards, alone = score("i will kill you"), score("kill you"), score("you i will kill"), score("kill")
+    assert alone[1] < backwards[1] < aimed[1] < meant[1] and score("i will not kill you")[1] < alone[1]
+    assert score("he said i will kill you")[1] < alone[1]
     assert score("an ordinary clause") == (0.0, 0.0)
-    assert toxicity.text_features(None, insults, frozenset(insults)) == (0.0, 0.0, 0.0, 0.0)
-    assert toxicity.text_features("A clown. Fine words. CLOWN!", insults, frozenset(insults))[2] > 0
+    assert toxicity.text_features(None, lexicon()) == (0.0, 0.0, 0.0, 0.0)
+    assert toxicity.text_features("A clown. Fine words. CLOWN!", lexicon())[2] > 0
+    model = toxicity.Model({}, {}, toxicity.PRIOR)
+    low, high = model.scores(["They will burn wood.", "I will kill you!"])
+    assert low < 0.5 < high
+
+
+@given(st.lists(st.sampled_from("ITYNRWO"), max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_composed_transducers_equal_one_after_the_other(symbols):
+    whole = toxicity.run(toxicity.GRAMMAR, symbols)
+    written, insults, threats = symbols, [0.0] * len(symbols), [0.0] * len(symbols)
+    for part in toxicity.PARTS:
+        written, i, t = toxicity.run(part, written)
+        insults, threats = [a + b for a, b in zip(insults, i, strict=True)], [a + b for a, b in zip(threats, t, strict=True)]
+    assert whole == (written, pytest.approx(insults), pytest.approx(threats))
+
+
+@given(st.lists(st.text("abc", min_size=1, max_size=6), max_size=12), st.lists(st.text("abc", min_size=3, max_size=4), max_size=4), st.lists(st.text("abc", min_size=1, max_size=6), max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_trie_equals_prefix_search(read, stems, words):
+    stems, words = {s: 1.0 + i for i, s in enumerate(stems)}, {w: 9.0 + i for i, w in enumerate(words)}
+    own = lexicon(words or {"zz": 1.0}, stems)
+    for word in read:
+        fits = [s for s in stems if word.startswith(s)]
+        want = ("I", words[word]) if word in words else ("I", stems[max(fits, key=len)]) if fits else ("O", 0.0)
+        assert own.read(word) == want
+    assert own.any_hot(set(read)) == any(own.read(w)[0] == "I" for w in read)
+
+
+def test_choosing_terms():
+    """Against the test's formula, written out."""
+    import math
+
+    counts = [("bad ", 0, 30), ("badly ", 1, 12), ("rare ", 0, 3), ("fine ", 300, 30), ("zor", 2, 60), ("zorg", 1, 20), ("zork", 1, 20), ("bad", 1, 42), ("badl", 1, 12)]
+    words, stems = toxicity.choose_terms(counts, np.array([900, 100]))
+    odds = lambda n1, n0: min(math.log((n1 + 0.5) / 101 * 901 / (n0 + 0.5)), toxicity.MOST_ODDS)
+    assert words == pytest.approx({"bad": odds(30, 0), "badly": odds(12, 1)})
+    assert stems == pytest.approx({"zor": odds(60, 2), "zorg": odds(20, 1), "zork": odds(20, 1)})
+    assert toxicity.choose_terms(counts, np.array([900, 0])) == ({}, {})
