@@ -1,17 +1,16 @@
 """Line dedup by pairwise alignment.
 
-A passage of neighbouring lines with at least BLOCK_WORDS words that an earlier document has goes, however long or
-frequent its lines are. It is found by its windows: from each line on, and up to each line, the fewest lines that
-have so many words. Every line of such a passage lies in a window within it, and a window depends on its own lines
-only, so the earliest holder of each window's hash tells whether any earlier document has it.
-
-Beyond that, a document overlaps with an earlier one if they share a rare line: one of at least RARE_WORDS words, as
-lines that long hardly recur by chance. (A limit on how often a line occurs would lose large groups of copies.) Each
-later document is aligned with the earliest holder of each line, so a line that a third of all documents hold makes one
-row for each of them and no pairs among them. Alignment is patience diff: lines that are unique in both
-documents (repeated lines are told apart by their number) are matched along the longest increasing chain, then
-what is left over likewise. Runs of neighbouring matches on one diagonal are blocks; other shared lines within a
-run don't break it. Blocks of at least BLOCK_WORDS words are deleted from the later document.
+A later document is aligned with an earlier one if they share a rare line, one that at most RARE documents hold, or a window:
+from each line on, and up to each line, the fewest lines of at least BLOCK_WORDS words. Windows are never too frequent,
+so large groups of copies aren't lost. Each line and window is looked up by hash, and its earliest holder is the document
+to align with; so a passage that a third of all documents hold makes a row for each of them and no pairs among them.
+
+Alignment is patience diff: lines that occur once in either document are matched along the longest increasing chain; between
+its links the same goes on with what is left there; where no line occurs once, all lines that the two share are taken. Then the
+lines that are left over are aligned likewise, so that moved blocks are found, too. Runs of neighbouring matches are blocks;
+those of at least BLOCK_WORDS words are deleted from the later document. A passage that alignment left, as the earlier document
+repeats its lines elsewhere, goes by its windows. So of every document exactly those lines go that lie in a run of lines
+of BLOCK_WORDS words or more which an earlier document has: the earliest holder of each window tells whether one has it.
 
 Lines are compared by 128-bit hashes of their text without white space at the ends. Earlier means smaller doc_id.
 
@@ -36,11 +35,10 @@ from pyspark.sql.types import StructType
 
 from panweave.llm.common import column, cut, doc_rank, free_name, sliced, stored
 
-RARE_WORDS, BLOCK_WORDS = 8, 20
+#: Words of a block, and the most documents that hold a rare line.
+BLOCK_WORDS, RARE = 20, 256
 #: Hashes of windows are of another kind than those of lines, whose seed is a line's number.
 WINDOW_SEED = 2**64 - 1
-#: Deletions that are sent to every task: so many documents, and so many numbers in their lists, at most (some 25 MB).
-FEW_ROWS, FEW_NUMBERS = 100_000, 2_000_000
 KEY = "doc_rank long, text_key long"
 
 
@@ -54,15 +52,16 @@ def text_key(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def line_hashes(text: str | None) -> list[tuple[int, int, int]]:
-    """Of each line with words: two halves of its hash, which also tells repeated lines apart, and its words."""
-    seen: Counter = Counter()
+def line_hashes(text: str | None) -> list[tuple[int, int, int, int]]:
+    """Of each line with words: two halves of its hash, which also tells repeated lines apart, its words, and whether it
+    occurs only once (0) or again (-1)."""
+    kept = [line for line in (x.strip() for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n")) if line]
+    total, seen = Counter(kept), Counter()
     out = []
-    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
-        if line := line.strip():
-            h = xxhash.xxh3_128_intdigest(line, seen[line])
-            seen[line] += 1
-            out.append(((h >> 64) - 2**63, (h & 2**64 - 1) - 2**63, len(line.split())))
+    for line in kept:
+        h = xxhash.xxh3_128_intdigest(line, seen[line])
+        seen[line] += 1
+        out.append(((h >> 64) - 2**63, (h & 2**64 - 1) - 2**63, len(line.split()), 0 if total[line] == 1 else -1))
     return out
 
 
@@ -100,11 +99,11 @@ def window_hashes(text: str | None) -> list[tuple[int, int, int, int, int]]:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_rank, text_key, place (from 0), h1, h2, n_words, n_lines (0) of every line with words, and of every window."""
+    """doc_rank, text_key, place (from 0), h1, h2, n_words, n_lines of every line with words (n_lines 0, or -1 if it occurs again in its text) and of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = [(r, k, *x) for r, k, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for x in [*((i, *y, 0) for i, y in enumerate(line_hashes(t))), *window_hashes(t)]]
+            rows = [(r, k, *x) for r, k, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for x in [*((i, *y) for i, y in enumerate(line_hashes(t))), *window_hashes(t)]]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_rank", "text_key", "place", "h1", "h2", "n_words", "n_lines"])
 
@@ -131,50 +130,92 @@ def longest_chain(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(shared: list[tuple]) -> tuple[list[int], list[int]]:
+def patience(pairs: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+    """Matched places (here, there) of two documents, rising in both, of their pairs of equal lines.
+
+    pairs: place here, place there, and whether the line occurs once in either document."""
+    out, waiting = [], [sorted(pairs)]
+    while waiting:
+        left = waiting.pop()
+        anchors = [x for x in left if x[2]] or left
+        picked = chain_of(anchors)
+        out += [x[:2] for x in picked]
+        if anchors is left:
+            continue
+        # What lies between two neighbouring anchors, in both documents.
+        ends = [(-1, -1), *(x[:2] for x in picked), (1 << 62, 1 << 62)]
+        at = 0
+        for (a, b), (c, d) in zip(ends, ends[1:], strict=False):
+            while at < len(left) and left[at][0] <= a:
+                at += 1
+            between = []
+            while at < len(left) and left[at][0] < c:
+                if b < left[at][1] < d:
+                    between.append(left[at])
+                at += 1
+            if between:
+                waiting.append(between)
+    return sorted(out)
+
+
+def chain_of(pairs: list[tuple]) -> list[tuple]:
+    """The longest chain of pairs that rises in both places. Of pairs with one place here, one at most is taken."""
+    ordered = sorted(pairs, key=lambda x: (x[0], -x[1]))
+    return [ordered[i] for i in longest_chain([x[1] for x in ordered])]
+
+
+def align(shared: list[tuple]) -> tuple[set[int], set[int]]:
     """Places of the lines to delete, and the ranks of the documents they were aligned with.
 
-    shared: (place, n_words, owner's rank, owner's text key, place there) of the document's lines that an earlier
-    document holds.
-    """
-    words = {x[0]: x[1] for x in shared}
-    by_owner = defaultdict(list)
-    for place, _, *owner, there in sorted(set(map(tuple, shared))):
-        by_owner[tuple(owner)].append((place, there))
+    shared: (place, n_words, owner's rank, owner's text key, place there, n_lines, owner's n_lines, rare) of the document's
+    lines and windows that an earlier document holds."""
+    words = {x[0]: x[1] for x in shared if x[5] <= 0}
+    single = {x[0] for x in shared if x[5] == 0}
+    by_owner: dict[tuple, dict] = defaultdict(dict)
+    wanted = set()
+    for place, _, rank, key, there, n_lines, their_lines, rare in shared:
+        pairs = by_owner[rank, key]
+        if n_lines <= 0:
+            pairs[place, there] = n_lines == 0 and their_lines == 0
+        for i in range(max(n_lines, 0)):
+            pairs.setdefault((place + i, there + i), False)
+        if rare or n_lines > 0:
+            wanted.add((rank, key))
     gone: set[int] = set()
     sources = set()
-    for owner in sorted(by_owner):
-        left = by_owner[owner]
-        if max(words[p] for p, _ in left) < RARE_WORDS:
-            continue
+    for owner in sorted(wanted):
+        known = by_owner[owner]
+        theirs = Counter(there for _, there in known)
+        here = Counter(place for place, _ in known)
+        left = [(a, b, once or (a in single and here[a] == 1 and theirs[b] == 1)) for (a, b), once in known.items()]
         while left:
-            picked = longest_chain([there for _, there in left])
-            chain = [left[i] for i in picked]
-            chosen = set(picked)
-            left = [x for i, x in enumerate(left) if i not in chosen]
-            block: list[int] = []
-            last = None
-            for place, there in [*chain, (None, None)]:
-                if last is not None:
-                    between = [] if place is None else range(last[0] + 1, place)
-                    if place is not None and place - last[0] == there - last[1] and all(p in words for p in between):
-                        block += between
-                    else:
-                        if sum(words[p] for p in block) >= BLOCK_WORDS and max(words[p] for p in block) >= RARE_WORDS:
-                            gone.update(block)
-                            sources.add(owner[0])
-                        block = []
-                if place is not None:
-                    block.append(place)
-                    last = (place, there)
-    return sorted(gone), sorted(sources)
+            matched = patience(left)
+            for block in blocks_of(matched):
+                # The number of a repeated line may be new, then its words aren't known here and its windows decide.
+                if sum(words.get(a, 0) for a, _ in block) >= BLOCK_WORDS:
+                    gone.update(a for a, _ in block)
+                    sources.add(owner[0])
+            done, there = {a for a, _ in matched}, {b for _, b in matched}
+            left = [x for x in left if x[0] not in done and x[1] not in there]
+    return gone, sources
+
+
+def blocks_of(matched: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Runs of matches that are neighbours in both documents."""
+    out: list[list[tuple[int, int]]] = []
+    for a, b in matched:
+        if out and out[-1][-1] == (a - 1, b - 1):
+            out[-1].append((a, b))
+        else:
+            out.append([(a, b)])
+    return out
 
 
 def to_delete(shared: list[tuple]) -> tuple[list[int], list[int]]:
-    """The same of lines and windows: as in ``align``, with a window's lines (0 for a line) at the end."""
-    gone, sources = map(set, align([x[:5] for x in shared if not x[5]]))
-    for place, _, owner, _, _, n_lines in shared:
-        if n_lines:
+    """The same, sorted, with the lines of windows that alignment left."""
+    gone, sources = align(shared)
+    for place, _, owner, _, _, n_lines, _, _ in shared:
+        if n_lines > 0 and not gone.issuperset(range(place, place + n_lines)):
             gone.update(range(place, place + n_lines))
             sources.add(owner)
     return sorted(gone), sorted(sources)
@@ -183,28 +224,27 @@ def to_delete(shared: list[tuple]) -> tuple[list[int], list[int]]:
 def deletions(docs: DataFrame) -> DataFrame:
     """doc_rank, text_key, gone (places of deleted lines among those with words) and sources of the documents that lose lines."""
     found = stored(lines(docs), "lines")
-    owner = F.struct("doc_rank", "text_key", "place")
-    owners = found.groupBy("h1", "h2").agg(F.min(owner).alias("o"), F.max(F.struct("doc_rank", "text_key")).alias("last"))
+    owner = F.struct("doc_rank", "text_key", "place", "n_lines")
+    owners = found.groupBy("h1", "h2").agg(F.min(owner).alias("o"), F.max(F.struct("doc_rank", "text_key")).alias("last"), F.count("*").alias("n"))
     # Only lines and windows that at least two documents hold.
     owners = owners.filter((F.col("o.doc_rank") != F.col("last.doc_rank")) | (F.col("o.text_key") != F.col("last.text_key")))
-    owners = owners.select("h1", "h2", F.col("o.doc_rank").alias("o_rank"), F.col("o.text_key").alias("o_key"), F.col("o.place").alias("o_place"))
+    owners = owners.select("h1", "h2", F.col("o.doc_rank").alias("o_rank"), F.col("o.text_key").alias("o_key"), F.col("o.place").alias("o_place"), F.col("o.n_lines").alias("o_lines"), (F.col("n") <= RARE).alias("rare"))
     owners = cut(owners)  # so that both sides of the join are dealt by it alone, and a hot line's part can be split
     later = (F.col("doc_rank") != F.col("o_rank")) | (F.col("text_key") != F.col("o_key"))
     shared = found.join(owners, ["h1", "h2"]).filter(later)
     each = shared.groupBy("doc_rank", "text_key").agg(
-        F.collect_set(F.struct("place", "n_words", "o_rank", "o_key", "o_place", "n_lines")).alias("shared"),
-        F.sum("n_words").alias("n"), F.max("n_words").alias("longest"), F.max("n_lines").alias("window"),
+        F.collect_set(F.struct("place", "n_words", "o_rank", "o_key", "o_place", "n_lines", "o_lines", "rare")).alias("shared"), F.max("n_lines").alias("window"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [to_delete([tuple(x.values()) for x in rows]) for rows in batch.column(2).to_pylist()]
             arrays = [pa.array([g for g, _ in made], pa.list_(pa.int32())), pa.array([s for _, s in made], pa.list_(pa.int64()))]
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_rank", "text_key", "gone", "sources"])
             yield out.filter(pa.array([bool(g) for g, _ in made], pa.bool_()))
 
-    few = each.filter(((F.col("n") >= BLOCK_WORDS) & (F.col("longest") >= RARE_WORDS)) | (F.col("window") > 0)).select("doc_rank", "text_key", "shared")
-    return few.mapInArrow(run, KEY + ", gone array<int>, sources array<long>")
+    # A block of BLOCK_WORDS words has a window, so other documents lose nothing.
+    return each.filter("window > 0").select("doc_rank", "text_key", "shared").mapInArrow(run, KEY + ", gone array<int>, sources array<long>")
 
 
 def without(text: str, gone: list[int]) -> str:
@@ -224,10 +264,8 @@ def without(text: str, gone: list[int]) -> str:
 def edited(docs: DataFrame, *extra: str) -> DataFrame:
     """All rows and columns of ``docs`` with the edited text; ``extra`` of gone and sources under free names at the end."""
     names = {x: free_name(docs, f"line_dedup_{x}") for x in ("doc_rank", "text_key", "gone", "sources")}
-    lost = cut(deletions(docs).toDF(*names.values()))
-    size = lost.agg(F.count("*"), F.sum(F.size(names["gone"]) + F.size(names["sources"]))).first()
-    if size[0] <= FEW_ROWS and (size[1] or 0) <= FEW_NUMBERS:  # then the texts needn't be shuffled
-        lost = F.broadcast(lost)
+    # The lists are the small side: texts are dealt by hash and stream past them, and are never sorted.
+    lost = cut(deletions(docs).toDF(*names.values())).hint("shuffle_hash")
     rank, key = doc_rank(column(docs, "doc_id")), text_key(column(docs, "text").cast("string"))
     joined = docs.withColumns({names["doc_rank"]: rank, names["text_key"]: key}).join(lost, [names["doc_rank"], names["text_key"]], "left")
     joined = joined.select(*(column(joined, c) for c in docs.columns), names["gone"], names["sources"])
