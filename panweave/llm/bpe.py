@@ -2,14 +2,15 @@
 
 A text is cut by the pattern into pieces, which merges never cross. Within a piece the encodings of the two
 halves are joined: a window of tokens around the seam is encoded anew and grows until the tokens next to it
-are stable. A pair of neighbours is stable if the encoding of its bytes is that pair; a sequence is the encoding
-of its bytes if and only if all neighbours are stable (this holds for merge tables in which every token in use
-is the encoding of its own bytes), so tokens outside a stable window can't change. Decoding concatenates up the
-same tree. Encodings of short byte strings and of whole words are kept in bounded tables.
+are stable. A pair of neighbours is stable if both tokens are the encodings of their own bytes, which is checked for each
+token once, and the encoding of the two tokens' bytes is that pair; a sequence is the encoding of its bytes if and only if all
+neighbours are stable, so tokens outside a stable window can't change. A window may grow to the whole piece, which
+is then merged by itself. Decoding concatenates up the same tree. Encodings of short byte strings and of whole words are kept in
+bounded tables.
 
 Defined cases: null and empty texts have no ids (n_tokens 0, digests of nothing). Empty tables give empty results.
 Repeated rows are encoded one by one and equally. Texts of any length are encoded whole; long pieces cost
-n log n. Special tokens in texts are ordinary text. Other columns are not looked at.
+n log n for each level of the tree at most. Special tokens in texts are ordinary text. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,8 +31,8 @@ FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 NEVER = 1 << 62  # no rank
 #: Texts whose units are looked up together.
 TEXTS = 4000
-#: Bytes up to which a piece is a leaf by itself, and bytes of the leaves of a longer one.
-WHOLE, LEAF = 16, 8
+#: Bytes of a tree's leaves, which are merged plainly, and of a window that is merged without a heap.
+LEAF, SHORT = 4, 48
 #: Entries of each generation of a Python worker's tables, bytes of the largest entry.
 KEPT_WORDS, KEPT_PARTS, KEPT_BYTES = 250_000, 200_000, 48
 
@@ -42,6 +44,8 @@ class Encoder:
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.parts: dict[bytes, tuple[int, ...]] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.sound: dict[int, bool] = {}
         self.words: dict[str, tuple[str, bytes]] = {}
         self.old_words: dict[str, tuple[str, bytes]] = {}
 
@@ -60,13 +64,51 @@ class Encoder:
                 pairs[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
         return tuple(ranks[p] for p in parts)
 
+    def merge(self, data: bytes) -> tuple[int, ...]:
+        """The same for many bytes, with the pairs in a heap."""
+        if len(data) <= SHORT:
+            return self.leaf(data)
+        rank, n = self.ranks.get, len(data)
+        ends, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        pairs = [rank(data[i : i + 2], NEVER) for i in range(n - 1)] + [NEVER]
+        heap = [(r, i) for i, r in enumerate(pairs) if r < NEVER]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            if pairs[i] != r:
+                continue  # the pair has changed since
+            j = after[i]
+            ends[i], after[i], pairs[j] = ends[j], after[j], NEVER
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0:
+                    pairs[k] = rank(data[k : ends[after[k]]], NEVER) if after[k] < n else NEVER
+                    if pairs[k] < NEVER:
+                        heappush(heap, (pairs[k], k))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[data[i : ends[i]]])
+            i = after[i]
+        return tuple(out)
+
+    def is_sound(self, a: int) -> bool:
+        """Whether a token is the encoding of its own bytes."""
+        if (known := self.sound.get(a)) is None:
+            known = self.sound[a] = self.merge(self.bytes_of[a]) == (a,)
+        return known
+
     def stable(self, a: int, b: int) -> bool:
-        return self.short(self.bytes_of[a] + self.bytes_of[b]) == (a, b)
+        if (known := self.pairs.get((a, b))) is None:
+            if len(self.pairs) >= KEPT_PARTS:
+                self.pairs.clear()
+            known = self.pairs[a, b] = self.is_sound(a) and self.is_sound(b) and self.short(self.bytes_of[a] + self.bytes_of[b]) == (a, b)
+        return known
 
     def short(self, data: bytes) -> tuple[int, ...]:
         """The encoding of a window, by merges and kept: seams need the same ones again and again."""
         if (known := self.parts.get(data)) is None:
-            known = self.leaf(data)
+            known = self.merge(data)
             if len(data) <= KEPT_BYTES:
                 if len(self.parts) >= KEPT_PARTS:
                     self.parts.clear()
@@ -82,19 +124,16 @@ class Encoder:
             return left + right
         while True:
             i, j = max(0, len(left) - reach), min(len(right), reach)
-            middle = self.window(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
+            middle = self.short(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
             if (i == 0 or self.stable(left[i - 1], middle[0])) and (j == len(right) or self.stable(middle[-1], right[j])):
                 return left[:i] + middle + right[j:]
             reach *= 2
 
-    def window(self, data: bytes) -> tuple[int, ...]:
-        return self.short(data) if len(data) <= 4 * KEPT_BYTES else self.encode_piece(data)
-
     def encode_piece(self, data: bytes) -> tuple[int, ...]:
         """The encoding of one piece: leaves, then seams, up a balanced tree."""
         if (whole := self.ranks.get(data)) is not None:
             return (whole,)
-        if len(data) <= WHOLE:
+        if len(data) <= LEAF:
             return self.leaf(data)
         level = [self.short(data[i : i + LEAF]) for i in range(0, len(data), LEAF)]
         while len(level) > 1:
@@ -147,7 +186,6 @@ class Encoder:
         ids = ",".join([x for x, _ in found])
         return ids.count(",") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([x for _, x in found])).hexdigest()
 
-
     def digests(self, texts: list) -> list[tuple[int, str, str]]:
         """digest() of each text. Each distinct unit of all of them is looked up once."""
         plain = [i for i, x in enumerate(texts) if x and "  " not in x]
