@@ -2,8 +2,8 @@
 licence expressions.
 
 Words are the runs of digits, lower-cased letters and non-ASCII characters of a whole text. The base phrases
-(BASE) and further notices (NOTICES) are found as consecutive words; an identifier tag (TAG) starts a licence
-expression with AND, OR, WITH and brackets that runs to the end of its line.
+(BASE) and further notices (NOTICES) are found as consecutive words; an identifier tag (TAG) with a colon after it starts
+a licence expression with AND, OR, WITH and brackets, which ends where its line does or where an operator is missing.
 
 Defined cases: a null text counts as empty (no words, no labels, score 0). Empty tables give empty results.
 Repeated rows are scanned one by one and equally. An expression that can't be parsed adds the label "unparsed"
@@ -58,14 +58,43 @@ def label_of(identifier: str) -> str:
     return re.sub(r"-v?\d[\d.]*(-clause)?(?=-|$)", "", name) or name
 
 
+BINDS = {"OR": 1, "AND": 2, "WITH": 3}
+OPERATORS = {*BINDS, *(x.lower() for x in BINDS)}
+TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:_-]*)")
+
+
+def tokens(text: str) -> list[str]:
+    """The tokens of an expression at the start of a text."""
+    out, at = [], 0
+    while found := TOKEN.match(text, at):
+        out.append(found[1].rstrip(".:") or found[1])
+        at = found.end()
+    return out
+
+
+def first_expression(read: list[str]) -> list[str]:
+    """As many of the tokens as make one expression: an operand outside brackets without an operator before it ends it."""
+    depth, operand = 0, False
+    for i, token in enumerate(read):
+        if operand and depth == 0 and token not in OPERATORS and token != ")":
+            return read[:i]
+        depth += (token == "(") - (token == ")")
+        operand = token not in OPERATORS and token != "("
+    return read
+
+
 def parse(expression: str) -> list[str]:
     """The expression in postfix order, by the shunting-yard algorithm. WITH binds closest, then AND, then OR."""
-    binds, out, stack, operand = {"OR": 1, "AND": 2, "WITH": 3}, [], [], False
-    for token in re.findall(r"[()]|[A-Za-z0-9.+:-]+", expression):
-        if token.upper() in binds:
+    return postfix(tokens(expression))
+
+
+def postfix(read: list[str]) -> list[str]:
+    out, stack, operand = [], [], False
+    for token in read:
+        if token in OPERATORS:
             if not operand:
                 raise ValueError(f"operand missing before {token}")
-            while stack and stack[-1] != "(" and binds[stack[-1]] >= binds[token.upper()]:
+            while stack and stack[-1] != "(" and BINDS[stack[-1]] >= BINDS[token.upper()]:
                 out.append(stack.pop())
             stack.append(token.upper())
             operand = False
@@ -91,10 +120,10 @@ def parse(expression: str) -> list[str]:
     return out + stack[::-1]
 
 
-def evaluate(expression: str) -> tuple[set[str], float]:
+def evaluate(expression: str | list[str]) -> tuple[set[str], float]:
     """The labels of an expression and its openness: OR takes the freest side, AND the strictest, WITH eases a bit."""
     stack: list[tuple[set[str], float, str]] = []
-    for token in parse(expression):
+    for token in parse(expression) if isinstance(expression, str) else postfix(expression):
         if token in ("OR", "AND", "WITH"):
             right, left = stack.pop(), stack.pop()
             if token == "WITH":
@@ -106,9 +135,19 @@ def evaluate(expression: str) -> tuple[set[str], float]:
     return stack[0][0], stack[0][1]
 
 
-def expressions(text: str) -> list[str]:
-    """What follows the identifier tags, each to the end of its line."""
-    return [m[1].strip().rstrip("*/#->. ") for m in re.finditer(r"(?i)spdx-license-identifier:[ \t]*([^\r\n]*)", text)]
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def expressions(text: str, tags: list[int]) -> list[list[str]]:
+    """The tokens of the expressions after tags, whose last words have these numbers (rising) in the text."""
+    out, words, number = [], WORD.finditer(text), -1
+    for tag in tags:
+        while number < tag:
+            found, number = next(words), number + 1
+        if colon := re.compile(r"[ \t]*:").match(text, found.end()):
+            end = min((x for x in (text.find("\n", colon.end()), text.find("\r", colon.end())) if x >= 0), default=len(text))
+            out.append(first_expression(tokens(text[colon.end() : end])))
+    return out
 
 
 def scan(text: str | None) -> tuple:
@@ -117,18 +156,21 @@ def scan(text: str | None) -> tuple:
     words = text.encode("utf-8", "surrogatepass").translate(WORDS).split()
     # A phrase ends and the next may begin at one and the same space, so every word has a space on either side.
     line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-    starts, base, labels, levels, tagged = [], set(), set(), [], 0
+    starts, base, labels, levels, tags = [], set(), set(), [], []
+    spaces = at = 0  # spaces before this place
     for end, (phrase, kind) in automaton().iter(line):
+        if kind != "notice":
+            spaces, at = spaces + line.count(" ", at, end), end
         if kind == "tag":
-            tagged += 1
+            tags.append(spaces - 1)
             continue
         if kind == "base":
-            starts.append(line.count(" ", 0, end - len(phrase) - 1))
+            starts.append(spaces - len(phrase.split()))
             base.add(BASE[phrase])
         label = BASE[phrase] if kind == "base" else NOTICES[phrase]
         labels.add(label)
         levels.append(OPENNESS[label])
-    found = expressions(text) if tagged else []
+    found = expressions(text, tags) if tags else []
     for expression in found:
         try:
             names, level = evaluate(expression)
