@@ -1,9 +1,9 @@
 """Packing: documents into sequences of equal capacity by first-fit decreasing.
 
-Documents longer than the capacity are cut into full sequences and a rest. The rests are dealt to groups by a
-hash of document and start, each group of about GROUP pieces, and every group is packed by itself: pieces by
+Documents longer than the capacity are cut into full sequences and a rest. All pieces are stored and dealt at random, by a hash of
+their row in that table, to groups of about GROUP pieces, and every group is packed by itself: pieces by
 falling length, each into the first sequence that has room, found in a tournament tree of the sequences' free
-room in steps of the tree's height. No group grows with the corpus, and no key is shared by more than a group.
+room in steps of the tree's height. No group grows with the corpus, whatever ids and texts its rows have.
 
 Defined cases: null and empty texts are one token, the end-of-document id. Empty tables give empty results.
 Repeated rows are packed one by one, each with pieces of its own. Pieces of equal length go by document and
@@ -93,5 +93,6 @@ def pack(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = END
         places = first_fit_decreasing(rows["length"].tolist(), capacity)
         return rows.assign(sequence_id=[(int(g) << 32) + p for g, (p, _) in zip(rows["pack_group"], places, strict=True)], offset=[o for _, o in places]).drop(columns="pack_group")
 
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    # The row's number in the stored table is the same whenever a task runs again.
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(packed, PIECES + ", sequence_id long, offset long")
