@@ -4,8 +4,8 @@ Each rule looks at one feature of a whole text and votes "good" (2), "bad" (0) o
 are good is a hidden variable; expectation-maximisation over the counts of vote patterns estimates how often
 every rule is right for good and for bad documents, and the posterior probability of "good" decides.
 
-One pass counts patterns: at most 3 ** len(RULES) rows, whatever the corpus, so they go to the driver and the
-posteriors go back as a table of that size. Nothing else is gathered.
+One pass over the texts writes the features; patterns are then counted: at most 3 ** RULES rows, whatever the corpus, so they go
+to the driver and the posteriors go back as a table of that size. Nothing else is gathered.
 
 Defined cases: a null text counts as empty (no words, base rule failed, not kept). Empty tables give empty
 results. Repeated rows are judged one by one and equally. Other columns, whatever their names, are not looked at.
@@ -14,13 +14,15 @@ results. Repeated rows are judged one by one and equally. Other columns, whateve
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panweave.llm.common import cut, keep_rows, map_texts
+from panweave.llm.common import cut, map_texts, sliced, stored
 
 SYMBOLS = "#*$%&|<>"
 UPPER = bytes(range(0x41, 0x5B))
@@ -110,8 +112,8 @@ def fit(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
     """Posterior probability of "good" for every vote pattern, by expectation-maximisation.
 
     counts: documents by pattern. A rule speaks of one kind of fault, so it may well call most bad documents
-    good; it is only taken to be better than chance (right_good + right_bad >= 1), and good documents to be at
-    least half. Then the classes can't swap and a document without a bad vote is never rejected.
+    good; it is only taken to be better than chance (right_good + right_bad >= 1), so the classes can't swap. How many documents are
+    good is left open. A pattern without any bad vote says nothing against a document and isn't rejected.
     """
     if not counts:
         return {}
@@ -128,7 +130,8 @@ def fit(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
         g, b = weight * post, weight * (1 - post)
         right_bad = np.clip((b @ says_bad + z * pseudo) / (b @ (says_good + says_bad) + pseudo), 0.001, 0.999)
         right_good = np.clip((g @ says_good + a * pseudo) / (g @ (says_good + says_bad) + pseudo), 1 - right_bad, 0.9999)
-        prior = float(np.clip((g.sum() + 0.85 * pseudo) / (weight.sum() + pseudo), 0.5, 0.999))
+        prior = float(np.clip((g.sum() + 0.85 * pseudo) / (weight.sum() + pseudo), 0.001, 0.999))
+    post = np.where(says_bad.any(1), post, np.maximum(post, 0.5))
     return dict(zip(codes, post.tolist(), strict=True))
 
 
@@ -138,22 +141,32 @@ def posteriors(feats: DataFrame) -> dict[int, float]:
     return fit({r["votes"]: r["count"] for r in rows})
 
 
+def judged(feats: DataFrame) -> DataFrame:
+    """``feats`` with quality and kept."""
+    spark = feats.sparkSession
+    # At most 3 ** RULES rows.
+    known = spark.createDataFrame(list(posteriors(feats).items()), "votes int, quality double")
+    each = feats.join(F.broadcast(known), "votes", "left").select(*feats.columns, F.when(F.col("base_failed"), F.lit(0.0)).otherwise(F.coalesce("quality", F.lit(0.0))).alias("quality"))
+    return each.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+
+
 def score_quality(docs: DataFrame) -> DataFrame:
     """doc_id, the features, quality (posterior, 0 to 1) and kept of every document."""
-    feats = cut(quality_features(docs))
-    by_code = posteriors(feats)
-    known = F.create_map(*(F.lit(x) for kv in by_code.items() for x in kv)) if by_code else F.create_map().cast("map<int,double>")
-    quality = F.coalesce(known[F.col("votes")], F.lit(0.0))
-    out = feats.withColumn("quality", F.when(F.col("base_failed"), F.lit(0.0)).otherwise(quality))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+    return judged(cut(quality_features(docs)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that score_quality() keeps, with all their columns."""
-    by_code = posteriors(quality_features(docs))
-
-    def keeps(texts: list) -> list[bool]:
-        rows = [features(x) for x in texts]
-        return [not r[5] and by_code.get(r[6], 0.0) >= 0.5 for r in rows]
-
-    return keep_rows(docs, keeps)
+    """The documents that score_quality() keeps, with all their columns. They are stored beside their votes, so that each is
+    looked at once."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    fields = [T.StructField(n, f.dataType, True) for n, f in zip(names, docs.schema, strict=True)]
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = [features(None if x is None else str(x)) for x in batch.column(at).to_pylist()]
+            made = [pa.array([r[5] for r in rows], pa.bool_()), pa.array([r[6] for r in rows], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, "base_failed", "votes"])
+
+    rows = stored(docs.toDF(*names).mapInArrow(run, T.StructType([*fields, *T._parse_datatype_string("base_failed boolean, votes int")])), "quality")
+    return judged(rows).filter("kept").select(*names).toDF(*docs.columns)
