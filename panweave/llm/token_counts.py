@@ -13,12 +13,14 @@ the last separator of a file are a last document with ended = false. Other colum
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,9 +30,20 @@ from panweave.llm.word_tokens import word_tokens
 BLOCK, SEGMENT, SEPARATOR, WIDTH = 1 << 16, 256, 49407, 2
 #: Texts encoded together: the more, the more runs they share; the fewer, the less memory.
 TEXTS = 5000
+#: Blocks that a task reads from raw files.
+BLOCKS_OF_A_TASK = 512
 ROWS = "file long, place long, data binary, doc_id long"
 
 
+def narrowed(ids: np.ndarray, width: int, separator: int) -> bytes:
+    """Ids of this many bytes each."""
+    if len(ids) and int(ids.max()) >= 1 << 8 * width:
+        raise ValueError(f"an id doesn't fit {width} bytes")
+    if (ids == separator).any():
+        raise ValueError("the separator is an id of a text")
+    return ids.astype(f"<u{width}").tobytes()
+
+
 def write_token_files(docs: DataFrame, path: str, *, separator: int = SEPARATOR, width: int = WIDTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Token files, one for each partition of the documents: their blocks (file, block, data), and their order of
     documents (file, ordinal, doc_id), which the scan doesn't need."""
@@ -47,7 +60,7 @@ def write_token_files(docs: DataFrame, path: str, *, separator: int = SEPARATOR,
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names)
 
         for batch in sliced(batches, TEXTS):
-            made = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end for x in word_tokens(path).ids(batch.column(1))]
+            made = [narrowed(np.frombuffer(x, "<u4"), width, separator) + end for x in word_tokens(path).ids(batch.column(1))]
             data = b"".join([waiting, *made])
             full = len(data) // size
             ids = batch.column(0).to_pylist()
@@ -61,13 +74,30 @@ def write_token_files(docs: DataFrame, path: str, *, separator: int = SEPARATOR,
     return blocks, table.filter(F.col("data").isNull()).select("file", F.col("place").alias("ordinal"), "doc_id")
 
 
-def read_flat_files(spark, path: str, *, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """Blocks (file, block, data) of raw files under a path; file is a hash of the file's name."""
+def read_flat_files(spark: SparkSession, path: str, *, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """Blocks (file, block, data) of raw files under a path; file is a hash of the file's name.
+
+    Spark lists the files; each task reads the ranges of its blocks, so a file of any size is shared out. A file that ends
+    within an id raises ValueError. Paths must be of a file system that pyarrow knows."""
     size = block * width
-    files = spark.read.format("binaryFile").load(path)
-    at = F.explode(F.sequence(F.lit(0), F.ceil(F.col("length") / size).cast("int") - 1))
-    cut = files.filter("length > 0").select(F.xxhash64("path").alias("file"), "content", at.alias("block"))
-    return cut.select("file", F.col("block").cast("long").alias("block"), F.expr(f"substring(content, block * {size} + 1, {size})").alias("data"))
+    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")  # not their contents
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("length") / size) - 1)).alias("block"))
+    tasks = max(1, (ranges.agg(F.sum("length")).first()[0] or 0) and -(-ranges.count() // BLOCKS_OF_A_TASK))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for name, length, number in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if length % width:
+                    raise ValueError(f"{name} ends within an id")
+                system, place = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", name))
+                with system.open_input_file(place) as f:
+                    data = f.read_at(min(size, length - number * size), number * size)
+                file = xxhash.xxh64_intdigest(name.encode()) - 2**63
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([number], pa.int64()), pa.array([data], pa.binary())], ["file", "block", "data"])
+
+    return ranges.repartition(tasks).mapInArrow(run, "file long, block long, data binary")
 
 
 def find_separators(blocks: DataFrame, *, separator: int = SEPARATOR, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
