@@ -6,8 +6,9 @@ of the page's host. Host priors are soft counts of the text's posteriors, smooth
 which are smoothed towards all pages'; a page's own count is taken out. How far declarations and addresses can be
 trusted is estimated from all pages in the same way. All counts are grouped aggregations over all pages.
 
-Trigrams are counted in at most SAMPLE labelled documents, those of the smallest hash; at most TRIGRAMS of them are
-kept. This is the only sample; it bounds what goes to the driver.
+Trigrams are counted in at most SAMPLE labelled documents of each language, those of the smallest hash, and the TRIGRAMS most
+frequent ones of each language are kept: a rare language is learned as well as a frequent one. This is the only sample; it bounds
+what goes to the driver.
 
 Defined cases: null and empty pages have no text evidence and get the language of the other evidence, in the end
 of the host or of all pages. A null address is a host of its own (""). Without labelled documents there are no
@@ -28,31 +29,72 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panweave.llm.common import cut, sliced, stored
 
-SAMPLE, TRIGRAMS, SMOOTH, TEMPER = 4000, 20_000, 0.5, 200
+SAMPLE, TRIGRAMS, SMOOTH, TEMPER = 1000, 10_000, 0.5, 200
 #: Soft counts with which a host leans on its domain, a domain on all pages, and evidence on being right.
 LEAN, TRUST, OTHER = 5.0, 20.0, "other"
 
-HIDDEN = re.compile(r"(?is)<(script|style|nav|header|footer|noscript)\b.*?</\1\s*>|<!--.*?-->|<div[^>]*\bclass=[\"']?ad\b.*?</div>")
-ANY_TAG = re.compile(r"<[^>]*>")
-DECLARED = re.compile(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
-META = re.compile(r"(?i)<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?([a-z]{2,3})")
+# Elements that aren't running text; second labels under which countries register domains; languages of countries.
+HIDDEN = {"script", "style", "nav", "header", "footer", "noscript"}
+SECOND = {"ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "ne", "net", "or", "org"}
+COUNTRIES = {
+    "ar": "es", "at": "de", "au": "en", "bo": "es", "br": "pt", "cl": "es", "cn": "zh", "co": "es", "cr": "es", "cz": "cs", "de": "de", "dk": "da", "ec": "es",
+    "es": "es", "fr": "fr", "gr": "el", "gt": "es", "hu": "hu", "ie": "en", "il": "he", "in": "hi", "ir": "fa", "it": "it", "jp": "ja", "kr": "ko", "li": "de", "mx": "es",
+    "nl": "nl", "no": "no", "nz": "en", "pe": "es", "pl": "pl", "pt": "pt", "py": "es", "ro": "ro", "ru": "ru", "se": "sv", "tr": "tr", "ua": "uk", "uk": "en", "us": "en",
+    "uy": "es", "ve": "es",
+}
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b([^<>]*)>|<[^<>]*>")
+AD = re.compile(r"\bclass\s*=\s*[\"']?ad\b", re.I)
+LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})\b")
+CONTENT = re.compile(r"(?i)\bcontent\s*=\s*[\"']?([a-z]{2,3})\b")
 LETTERS = re.compile(r"[\W\d_]+")
 
 
 def visible(page: str | None) -> str:
-    return html.unescape(ANY_TAG.sub(" ", HIDDEN.sub(" ", page or "")))
+    """The running text of a page, in one pass: what no closing tag has been found for once isn't searched for again."""
+    page, out, at, missing = page or "", [], 0, set()
+    low = page.lower()
+    low = low if len(low) == len(page) else "".join(c.lower() if c.isascii() else c for c in page)
+    while (start := page.find("<", at)) >= 0:
+        out += (page[at:start], " ")
+        at, end = start + 1, None
+        if page.startswith("<!--", start):
+            end = "-->"
+        elif found := TAG.match(page, start):
+            at = found.end()
+            name = (found[2] or "").lower()
+            if not found[1] and (name in HIDDEN or (name == "div" and AD.search(found[3]))):
+                end = f"</{name}"
+        else:
+            out.append("<")
+        if end and end not in missing:
+            if (stop := low.find(end, at)) < 0:
+                missing.add(end)
+            else:
+                at = stop + len(end)
+                if end != "-->" and (found := TAG.match(page, stop)):
+                    at = found.end()
+    return html.unescape("".join([*out, page[at:]]))
 
 
 def declared(page: str | None) -> str | None:
-    found = DECLARED.search(page or "") or META.search(page or "")
-    return found[1].lower() if found else None
+    """The language that the root element names, else that of a content-language element."""
+    meta = None
+    for found in TAG.finditer(page or ""):
+        name = (found[2] or "").lower()
+        if name == "html" and not found[1] and (lang := LANG.search(found[3])):
+            return lang[1].lower()
+        if name == "meta" and meta is None and "content-language" in found[3].lower() and (lang := CONTENT.search(found[3])):
+            meta = lang[1].lower()
+    return meta
 
 
 def address(url: str | None, languages: list[str]) -> tuple[str, str, str | None]:
-    """Host, registered domain (the last two labels) and the language that the address names."""
+    """Host, registered domain and the language that the address names: a part of the path, the first label of the host, or its
+    last one, which may be a language or a country."""
     try:
         parts = urlsplit(url or "")
         host = (parts.hostname or "").lower()
@@ -61,7 +103,11 @@ def address(url: str | None, languages: list[str]) -> tuple[str, str, str | None
     labels = host.split(".")
     known = set(languages)
     named = next((x for x in parts.path.lower().split("/")[1:3] if x in known), None)
-    return host, ".".join(labels[-2:]), named or (labels[-1] if labels[-1] in known else None)
+    if named is None and len(labels) > 2 and labels[0] in known:
+        named = labels[0]
+    if named is None:
+        named = next((x for x in (COUNTRIES.get(labels[-1]), labels[-1]) if x in known), None)
+    return host, ".".join(labels[-3 if len(labels[-1]) == 2 and labels[-2:-1] and labels[-2] in SECOND else -2 :]), named
 
 
 def trigrams(text: str) -> Counter:
@@ -110,9 +156,11 @@ class TextModel:
 
 
 def learn(docs: DataFrame) -> TextModel:
-    """A text model from at most SAMPLE labelled documents (text, lang)."""
+    """A text model from at most SAMPLE labelled documents (text, lang) of each language."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("lang")).alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
-    picked = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    # Spark keeps the SAMPLE first of a language in each task before the shuffle.
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = known.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("lang", "doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -122,11 +170,13 @@ def learn(docs: DataFrame) -> TextModel:
             rows = [(lang, g, n) for lang, c in by_lang.items() for g, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
 
-    # At most SAMPLE ids are broadcast.
-    counts = known.join(F.broadcast(picked), "doc_id", "left_semi").select("lang", "text").mapInArrow(run, "lang string, gram string, n long")
-    best = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grouped = best.groupBy("gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("total"), "gram").limit(TRIGRAMS)
-    rows = grouped.collect()
+    # At most SAMPLE ids of each language are broadcast. A language's texts with one id count as one document's.
+    texts = known.join(F.broadcast(picked), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    counts = cut(texts.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    most = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    best = counts.withColumn("at", F.row_number().over(most)).filter(F.col("at") <= TRIGRAMS).select("gram").distinct()
+    grouped = counts.join(F.broadcast(best), "gram", "left_semi").groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
+    rows = sorted(grouped.collect())  # TRIGRAMS rows for each language at most
     languages = sorted({x["lang"] for r in rows for x in r["by"]})
     return TextModel(languages, {r["gram"]: [next((x["n"] for x in r["by"] if x["lang"] == lang), 0) for lang in languages] for r in rows})
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panweave.llm import bpe, language, licenses, line_dedup, media, packing, quality, simhash, token_counts, toxicity
-from panweave.llm.common import documents, table
+from panweave.llm.common import dealt, documents, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return language.identify(dealt(table(spark, sf_dir, "pages").select("page_id", "url", "html")), table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_media_columns, op4_token_counts, op5_line_dedup, op6_byte_bpe, op7_packing, op8_language_id, op9_simhash, op10_toxicity)}

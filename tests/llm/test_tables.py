@@ -238,6 +238,15 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), WORDS).collect() == []
 
 
+def test_packing_of_rows_that_share_an_id(spark):
+    rows = [(None, "the same text")] * 3000 + [(7, "the same text")] * 500
+    out = packing.pack(docs(spark, rows), WORDS, group=100).toPandas()
+    sizes = (out["sequence_id"] // 2**32).value_counts()
+    assert len(out) == 3500 and len(sizes) == 35 and sizes.max() < 200
+    for _, s in out.groupby("sequence_id"):
+        assert sorted(s["offset"]) == [i * int(s["length"].iloc[0]) for i in range(len(s))]
+
+
 def test_first_fit():
     rng = random.Random(4)
     lengths = sorted((rng.randint(1, 100) for _ in range(400)), reverse=True)
@@ -276,6 +285,36 @@ def test_separator_scan(spark, block):
     assert {tuple(r) for r in token_counts.count_tokens(table, separator=0, block=block).collect()} == want
 
 
+def test_raw_token_files(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    want = set()
+    for name, n in (("a", 1), ("b", 5000), ("c", 0), ("d", 4096)):
+        ids = rng.integers(0, 9, n).astype("<u2")
+        ids.tofile(tmp_path / name)
+        ends = np.flatnonzero(ids == 0)
+        starts = np.concatenate([[0], ends + 1])
+        want |= {(i, int(a), int(b - a), True) for i, (a, b) in enumerate(zip(starts, ends, strict=False))}
+        want |= {(len(ends), int(starts[-1]), int(n - starts[-1]), False)} if starts[-1] < n else set()
+    blocks = token_counts.read_flat_files(spark, str(tmp_path), block=64)
+    found = token_counts.count_tokens(blocks, separator=0, block=64).collect()
+    assert {tuple(r)[1:] for r in found} == want and len({r["file"] for r in found}) == 3
+    (tmp_path / "e").write_bytes(b"abc")
+    with pytest.raises(Exception, match="ends within an id"):
+        token_counts.read_flat_files(spark, str(tmp_path), block=64).collect()
+    with pytest.raises(ValueError, match="doesn't fit"):
+        token_counts.narrowed(np.array([1, 70000], "<u4"), 2, 0)
+
+
+def test_media_column(spark):
+    table = media.store_media(docs(spark))
+    read = media.read_media(table).collect()
+    texts = sorted((t or "").encode() for _, t in HARD)
+    assert sorted(r["payload"].rstrip(b" ") for r in read) == sorted(t.rstrip(b" ") for t in texts)
+    assert all(r["timestamps"] == [i * media.PTS_STEP for i in range(len(r["timestamps"]))] and r["continuity_errors"] == 0 for r in read)
+    none = media.read_media(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first()
+    assert none["payload"] is None and none["timestamps"] is None
+
+
 def test_line_alignment():
     assert line_dedup.longest_chain([3, 1, 2, 5, 4, 6]) in ([1, 2, 3, 5], [1, 2, 4, 5])
     assert line_dedup.longest_chain([]) == []
@@ -413,6 +452,49 @@ def test_language(spark):
     assert len(none) == 4 and all(r["lang"] is None for r in none)
 
 
+def test_language_fusion_against_a_plain_version(spark):
+    """The fusion written out page by page, from the same evidence."""
+    docs_, pages = common.table(spark, SF, "documents"), common.table(spark, SF, "pages")
+    pages = pages.unionByName(pages.limit(3)).unionByName(spark.createDataFrame([(900, None, None), (901, "https://x.co.uk/", "<html lang=zz>"), (902, "https://y.co.uk/", "")], "page_id long, url string, html string")).withColumn("P", F.lit(1))
+    model = language.learn(docs_)
+    names, n = model.languages, len(model.languages)
+    rows = [r.asDict() for r in language.evidence(pages, model).collect()]
+    total = np.sum([r["p"] for r in rows], 0)
+    everywhere = (total + 1) / (len(rows) + n)
+    hosts, domains = defaultdict(list), defaultdict(list)
+    for r in rows:
+        hosts[r["domain"], r["host"]].append(r["p"])
+        domains[r["domain"]].append(r["p"])
+
+    def trust(column, value, i):
+        values = [*names, language.OTHER]
+        counts = {v: sum(r["p"][i] for r in rows if r[column] == v) + language.TRUST * (0.9 if v == names[i] else 0.1 / n) for v in values}
+        return 1.0 if value is None else counts[value] / sum(counts.values())
+
+    want = defaultdict(list)
+    for r in rows:
+        p = np.array(r["p"])
+        d, h = np.array(domains[r["domain"]]), np.array(hosts[r["domain"], r["host"]])
+        of_domain = (d.sum(0) - p + language.LEAN * everywhere) / (len(d) - 1 + language.LEAN)
+        of_host = (h.sum(0) - p + language.LEAN * of_domain) / (len(h) - 1 + language.LEAN)
+        joint = np.maximum(of_host, 1e-9) * np.maximum(p, 1e-12) * [trust("declared", r["declared"], i) * trust("named", r["named"], i) for i in range(n)]
+        want[r["page_id"]].append((names[int(joint.argmax())], joint.max() / joint.sum()))
+    got = defaultdict(list)
+    for r in language.identify(pages, docs_).collect():
+        got[r["page_id"]].append((r["lang"], r["confidence"]))
+    assert got.keys() == want.keys() and sum(map(len, got.values())) == len(rows)
+    for i, found in got.items():
+        assert [x for x, _ in sorted(found)] == [x for x, _ in sorted(want[i])] and [c for _, c in sorted(found)] == pytest.approx([c for _, c in sorted(want[i])])
+
+
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choices(letters, k=5))
+    rows = [(i, "aa", " ".join(word("abcde") for _ in range(30))) for i in range(1500)] + [(9000 + i, "bb", " ".join(word("vwxyz") for _ in range(30))) for i in range(2)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert model.languages == ["aa", "bb"] and model.posterior("vwxyz zyxwv").argmax() == 1
+
+
 def test_language_of_documents(spark):
     table = common.table(spark, "/root/testdata/sf0.01", "documents")
     model = language.learn(table)

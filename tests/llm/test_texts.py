@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from panweave.llm import bpe, licenses, media, quality, toxicity
+from panweave.llm import bpe, language, licenses, media, quality, toxicity
 from panweave.llm.word_tokens import WordTokens
 
 ODD = [None, "", " ", "\n\n", "a", "ab " * 40, "é ü x", "x" * 5000, "naïve\x1cname\x85end", "🙂 漢字 ́e", "a\r\nb\vc\fd\te"]
@@ -44,6 +44,8 @@ def test_label_model():
     posts = quality.fit({good: 900, junk: 80, good - 2: 20})
     assert posts[good] > 0.9 and posts[junk] < 0.1
     assert quality.fit({}) == {}
+    mostly_junk = quality.fit({good: 100, junk: 850, good - 2: 50})
+    assert mostly_junk[good] > 0.9 and mostly_junk[junk] < 0.01
     neutral = sum(3**i for i in range(9))
     assert quality.fit({neutral: 5})[neutral] >= 0.5  # no bad vote, no rejection
 
@@ -75,6 +77,14 @@ def test_license_expressions():
         with pytest.raises(ValueError):
             licenses.evaluate(bad)
     assert "unparsed" in licenses.scan("SPDX-License-Identifier: MIT OR")[5]
+    label = lambda text: licenses.scan(text)[5::2]
+    assert label("SPDX License Identifier: MIT") == label("// spdx-license-identifier : MIT -->\nGPL") == label("x\nSPDX-License-Identifier: MIT see the file") == ("mit", 1)
+    assert label("/* SPDX-License-Identifier: (MIT or Apache-2.0) and BSD-3-Clause. */") == ("apache,bsd,mit", 1)
+    assert label("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: GPL-2.0-only WITH x-exception") == ("gpl,mit", 2)
+    assert label("the SPDX license identifier is missing") == ("", 0) and label("SPDX-License-Identifier:") == ("unparsed", 1)
+    assert licenses.scan("SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND MIT")[6] == 1.0 and licenses.scan("SPDX-License-Identifier: MIT AND GPL-2.0-only")[6] == 0.4
+    long = "SPDX-License-Identifier: MIT\nmit license " * 20_000
+    assert licenses.scan(long)[1:4] == (20_000, 4, 6 * 20_000 - 2) and licenses.scan(long)[7] == 20_000
     assert licenses.scan(None) == (0, 0, None, None, "", "", 0.0, 0)
 
 
@@ -104,6 +114,46 @@ def test_media_faults_and_digest():
         assert row[:4] == (n, len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
 
 
+def packets(stored):
+    return [stored[i : i + 188] for i in range(0, len(stored), 188)]
+
+
+def test_media_that_others_write():
+    """What the format allows, put together by hand."""
+    payload = random.Random(2).randbytes(media.UNIT * 2 + 100)
+    all_ = packets(media.mux(payload))
+    head, own = all_[:2], all_[2:]
+    want = media.demux(b"".join(all_))
+    assert want.payload == payload
+    twice = [p for i, p in enumerate(own) for p in ([p, p] if i % 5 == 0 else [p])]  # packets sent twice
+    idle = lambda counter: media.packet(media.STREAM_PID, False, counter, b"")[:3] + bytes([0x20 | counter, 183, 0]) + b"\xff" * 182
+    filled = [x for p in own for x in (p, idle(p[3] & 15))]  # packets with an adaptation field alone
+    null = bytes([0x47, 0x1F, 0xFF, 0x10]) + b"\xff" * 184
+    for kind in (twice, filled, [x for p in own for x in (null, p)]):
+        assert media.demux(b"".join([*head, *kind])) == want
+    starts = [i for i, p in enumerate(own) if p[1] & 0x40]
+    open_ = [p if i not in starts else p[: (at := p.index(b"\x00\x00\x01")) + 4] + b"\x00\x00" + p[at + 6 :] for i, p in enumerate(own)]
+    assert media.demux(b"".join([*head, *open_])) == want  # elementary packets of unstated length
+    jump = [bytes([*p[:3], p[3] & 0xF0 | (p[3] + 5 * (i >= starts[1])) & 15, *p[4:]]) for i, p in enumerate(own)]
+    assert media.demux(b"".join([*head, *jump])).continuity_errors == 1
+    bad = [*own[:3], bytes([*own[3][:1], own[3][1] | 0x80, *own[3][2:]]), *own[4:]]
+    assert media.demux(b"".join([*head, *bad])).continuity_errors == 2  # a faulty packet, and the gap
+
+
+def test_media_tables_of_many_packets():
+    """A program map that spans packets, with other streams and descriptors before ours, and a network entry before the program."""
+    payload = random.Random(3).randbytes(500)
+    own = packets(media.mux(payload))[2:]
+    entry = lambda kind, pid, info: bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + (0xF000 | len(info)).to_bytes(2, "big") + info
+    body = (0xE000 | media.STREAM_PID).to_bytes(2, "big") + (0xF000 | 7).to_bytes(2, "big") + b"abcdefg"
+    body += b"".join(entry(0x1B, 0x200 + i, b"d" * 9) for i in range(25)) + entry(media.PRIVATE_DATA, media.STREAM_PID, b"xyz")
+    section = b"\x00" + media.section(2, 1, body)
+    program = media.section(0, 1, bytes([0, 0, 0xE0, 0x10]) + media.PROGRAM.to_bytes(2, "big") + (0xE000 | media.PMT_PID).to_bytes(2, "big"))
+    tables = [media.packet(0, True, 0, (b"\x00" + program).ljust(184, b"\xff"))]
+    tables += [media.packet(media.PMT_PID, i == 0, i, section[184 * i : 184 * (i + 1)].ljust(184, b"\xff")) for i in range(-(-len(section) // 184))]
+    assert len(tables) > 2 and media.demux(b"".join([*tables, *own])).payload == payload
+
+
 BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -132,6 +182,33 @@ def test_bpe_equals_the_library(pair):
     assert own.digest(None) == own.digest("") and own.digest(None)[0] == 0
 
 
+@pytest.mark.parametrize("text", ["title\n" + "—" * 100, "x " + "。" * 80, "…" * 333, "█" * 1000, "あ" * 2000, "\u0301" * 300, "=" * 5000, "ab" * 5000, "ÿ" * 999, "\x00" * 400])
+def test_bpe_of_long_runs(pair, text):
+    own, library = pair
+    assert own.encode(text) == library.encode_ordinary(text) and own.decode(own.encode(text)) == text.encode()
+
+
+def test_merges_with_and_without_a_heap(pair, monkeypatch):
+    own, _ = pair
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    rng = random.Random(8)
+    for n in range(60):
+        data = bytes(rng.choices(rng.choice([b"aeiountsr ", bytes(range(256)), b"=- "]), k=n))
+        assert own.merge(data) == own.leaf(data)
+
+
+def test_unsound_tokens_are_never_stable():
+    """A token that merges don't reach: its pairs aren't trusted, and the encoding is still that of plain merges."""
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"bc": 257, b"abcd": 258, b"cd": 259}
+    own = bpe.Encoder(ranks, r".+")
+    assert not own.is_sound(258) or own.leaf(b"abcd") == (258,)
+    rng = random.Random(1)
+    for n in range(80):
+        data = bytes(rng.choices(b"abcd", k=n))
+        if data not in ranks:
+            assert own.encode_piece(data) == own.leaf(data)
+
+
 @given(st.text(max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_units_end_where_pieces_end(pair, text):
@@ -212,3 +289,26 @@ def test_choosing_terms():
     assert words == pytest.approx({"bad": odds(30, 0), "badly": odds(12, 1)})
     assert stems == pytest.approx({"zor": odds(60, 2), "zorg": odds(20, 1), "zork": odds(20, 1)})
     assert toxicity.choose_terms(counts, np.array([900, 0])) == ({}, {})
+
+
+def test_visible_text():
+    page = "a<nav x>menu<b>y</b></nav >b<!-- <p>hidden --><script>1 < 2</script>c<div class='ad big'>buy</div>d &amp; e<NAV>open <p>f<br/>1 < 2"
+    assert language.visible(page).split() == ["a", "b", "c", "d", "&", "e", "open", "f", "1", "<", "2"]
+    assert language.visible(None) == ""
+    for part in ("<nav ", "<nav>", "<!--", "<", "<div class=ad>", "</nav>", "<html lang"):
+        import time
+
+        begin = time.process_time()
+        language.visible(part * 200_000)
+        language.declared(part * 200_000)
+        assert time.process_time() - begin < 8
+
+
+def test_evidence_of_pages():
+    assert language.declared("<HTML dir=ltr LANG='FR-ca'>") == "fr" and language.declared('<meta http-equiv="content-language" content="de">') == "de"
+    assert language.declared("<p lang=es>") is None and language.declared(None) is None
+    languages = ["de", "en", "es", "fr", "pt"]
+    place = lambda url: language.address(url, languages)
+    assert place("https://www.a.co.uk/x") == ("www.a.co.uk", "a.co.uk", "en") and place("https://b.co.uk")[1] == "b.co.uk"
+    assert place("https://shop.c.at/fr/1") == ("shop.c.at", "c.at", "fr") and place("https://c.at")[2] == "de" and place("http://d.com.br/")[1:] == ("d.com.br", "pt")
+    assert place("https://es.e.org/") == ("es.e.org", "e.org", "es") and place("https://e.org/")[2] is None and place("x")[0] == "" and place(None) == ("", "", None)
