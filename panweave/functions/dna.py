@@ -30,7 +30,8 @@ def iupac_clean(seq: Column) -> Column:
 
     Letters that are no code become null, as a cell of unknown content isn't a sequence.
     """
-    chars = F.split(F.upper(seq), "")
+    plain = F.upper(seq)
+    chars = F.split(plain, "")
     sets = F.create_map(*(F.lit(x) for kv in IUPAC.items() for x in kv))
 
     def member(char: Column, place: Column) -> Column:
@@ -39,7 +40,8 @@ def iupac_clean(seq: Column) -> Column:
         return F.when(char.isin("A", "C", "G", "T"), char).otherwise(chosen)
 
     cleaned = F.transform(chars, member)
-    return F.when(F.upper(seq).rlike("^[ACGTRYMKSWHBVDN]*$"), F.array_join(cleaned, ""))
+    # Characters become cells only where there is a code among them.
+    return F.when(plain.rlike("^[ACGT]*$"), plain).when(plain.rlike("^[ACGTRYMKSWHBVDN]*$"), F.array_join(cleaned, ""))
 
 
 def kmer_code(kmer: Column) -> Column:
@@ -47,6 +49,30 @@ def kmer_code(kmer: Column) -> Column:
     return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
 
 
+def kmer_text(code: Column, k: int) -> Column:
+    """The k-mer of a code."""
+    return F.translate(F.lpad(F.conv(code, 10, 4), k, "0"), "0123", "ACGT")
+
+
+def base_code(base: Column) -> Column:
+    return F.translate(base, "ACGT", "0123").cast("long")
+
+
+def push_right(code: Column, base: Column, k: int) -> Column:
+    """The code of the k-mer without its first base and with this one after its last."""
+    return F.shiftleft(code, 2).bitwiseAND(F.lit((1 << 2 * k) - 1)).bitwiseOR(base_code(base))
+
+
+def push_left(code: Column, base: Column, k: int) -> Column:
+    """The code of the k-mer without its last base and with this one before its first."""
+    return F.shiftright(code, 2).bitwiseOR(base_code(base) * F.lit(1 << 2 * (k - 1)))
+
+
+def peek(code: Column, i: int, k: int) -> Column:
+    """The base at place i of a k-mer."""
+    return F.substring(F.lit("ACGT"), (F.shiftright(code, 2 * (k - 1 - i)).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1))
+
+
 def canonical(kmer: Column) -> Column:
     return F.least(kmer, revcomp(kmer))
 

@@ -83,6 +83,7 @@ TABLES = {
     ("01star0_adapted", 4): "012345 000004 012444, 123450 000033 012334, 234510 000222 012244, 345210 001111 011444, 453210 000000 003444",
     ("01star0_adapted", 5): "0123456 0000004 0123555, 1234560 0000045 0124445, 2345610 0000333 0123355, 3456210 0002222 0122555, 4563210 0011111 0115555, 5643210 0000000 0035555",
     ("pigeon", 3): "0123 0000 0333, 1023 0000 0333, 2310 0000 0333, 3210 0000 0333",
+    ("pigeon_adapted", 3): "0123 0000 0333, 1023 0000 0333, 2310 0000 0333, 3210 0000 0333",
     ("pigeon_adapted", 4): "01234 00002 01344, 12340 00011 01334, 23410 00000 01244, 34210 00123 01444, 43210 01234 02344",
     ("pigeon_adapted", 5): "012345 000001 012555, 234510 000112 013355, 123450 000023 013445, 453210 001234 014555, 345210 000000 012555, 543210 012345 023555",
 }
@@ -92,7 +93,7 @@ STATIC = {
     ("kianfar", 1): "0.5", ("kianfar", 2): "0.30 0.60", ("kianfar", 3): "0.17 0.69 0.96", ("kianfar", 4): "0.2 0.5 0.6 0.8",
     ("kuch_k+1", 1): "0.5", ("kuch_k+1", 2): "0.41 0.7", ("kuch_k+1", 3): "0.25 0.50 0.75", ("kuch_k+1", 4): "0.27 0.47 0.62 0.81",
     ("kuch_k+2", 1): "0.47 0.94", ("kuch_k+2", 2): "0.35 0.50 0.65", ("kuch_k+2", 3): "0.22 0.44 0.66 0.88", ("kuch_k+2", 4): "0.18 0.37 0.53 0.69 0.83",
-    ("manbest", 4): "0.24 0.43 0.62 0.73 0.77",
+    ("kuch_k+1_adapted", 3): "0.25 0.50 0.76", ("kuch_k+1_adapted", 4): "0.25 0.44 0.61 0.81", ("manbest", 4): "0.24 0.43 0.62 0.73 0.77",
 }
 LARGEST = {"01star0": 5, "01star0_adapted": 5, "pigeon": 5, "pigeon_adapted": 5}
 NAMES = ("01star0", "01star0_adapted", "kianfar", "kuch_k+1", "kuch_k+1_adapted", "kuch_k+2", "kuch_k+2_adapted", "manbest", "pigeon", "pigeon_adapted")
@@ -123,7 +124,7 @@ def supported() -> list[tuple[str, int]]:
 def static_begins(name: str, k: int) -> list[float]:
     """Begins of all parts but the first, as fractions."""
     parts = len(searches(name, k)[0].order)
-    text = STATIC.get((name.removesuffix("_adapted"), k))
+    text = STATIC.get((name, k)) or STATIC.get((name.removesuffix("_adapted"), k))
     return list(map(float, text.split())) if text else [i / parts for i in range(1, parts)]
 
 

@@ -13,6 +13,8 @@ from panweave.functions.dna import dna, revcomp
 from panweave.operators.ranking import few_or_many, numbered, prefix_sums
 
 BLOCK = 1 << 14
+#: Reads that one item may be cut into.
+PARTS = 1_000_000
 
 
 def strains_of(docs: DataFrame, k: int, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -72,13 +74,13 @@ def windows(strains: DataFrame, width: int, *, neighbours: bool = False) -> Data
 
 
 def reads_of(rows: DataFrame, length: int, *, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """read_id and seq: consecutive pieces of this length of each row's bases; the last one takes the rest."""
+    """read_id (item * PARTS + number) and seq: consecutive pieces of this length of each row's bases; the last one takes the rest."""
     seq = rows.select(F.col(id_column).cast("long").alias("item"), dna(F.col(text_column)).alias("seq"))
     count = F.greatest(F.floor(F.length("seq") / length), F.lit(1)).cast("int")
     pieces = seq.withColumn("count", count).select("item", "seq", "count", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("part"))
     size = F.when(F.col("part") + 1 < F.col("count"), length).otherwise(F.length("seq"))
     read = F.substring(F.col("seq"), F.col("part") * length + 1, size)
-    return pieces.select((F.col("item") * 1000 + F.col("part")).alias("read_id"), read.alias("seq")).filter("seq <> ''")
+    return pieces.select((F.col("item") * PARTS + F.col("part")).alias("read_id"), read.alias("seq")).filter("seq <> ''")
 
 
 def mutated(reads: DataFrame) -> DataFrame:

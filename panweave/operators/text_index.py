@@ -16,6 +16,8 @@ from panweave.operators.sequences import with_starts
 
 #: Characters that the first ranks compare.
 FIRST = 16
+#: All characters in order.
+LETTERS = "$%ACGT"
 
 
 def characters(texts: DataFrame, *, order: str = "strain", text: str = "seq") -> DataFrame:
@@ -58,7 +60,7 @@ def bwt(array: DataFrame, chars: DataFrame) -> DataFrame:
 def occurrences(transform: DataFrame) -> DataFrame:
     """row, ch and occ: how often the row's character stands in the rows above it."""
     counted = None
-    for c in "$%ACGT":
+    for c in LETTERS:
         one = prefix_sums(transform.withColumn("_is", (F.col("ch") == c).cast("long")), "_is", "row").filter(F.col("ch") == c).select("row", "ch", F.col("before").alias("occ"))
         counted = one if counted is None else counted.unionByName(one)
     return counted
@@ -87,3 +89,43 @@ def grams(chars: DataFrame, width: int) -> DataFrame:
     spread = chars.select(F.col("ch"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.struct((F.col("pos") - i).alias("pos"), i.alias("i")))).alias("x"))
     found = spread.filter("x.pos >= 0").groupBy(F.col("x.pos").alias("pos")).agg(F.array_sort(F.collect_list(F.struct(F.col("x.i").alias("i"), "ch"))).alias("c"))
     return found.select("pos", F.array_join(F.transform("c", lambda y: y["ch"]), "").alias("gram"))
+
+
+def rank_table(transform: DataFrame) -> DataFrame:
+    """row, ch, occ and cum_occ for every row and each of the six characters: how often the character, and how often smaller
+    ones, stand in the rows above."""
+    wide = transform.select("row", "ch")
+    for c in LETTERS:
+        wide = prefix_sums(wide.withColumn("_is", (F.col("ch") == c).cast("long")), "_is", "row").withColumnRenamed("before", f"n{ord(c)}").drop("_is")
+    each = []
+    for i, c in enumerate(LETTERS):
+        smaller = sum((F.col(f"n{ord(x)}") for x in LETTERS[:i]), F.lit(0).cast("long"))
+        each.append(F.struct(F.lit(c).alias("ch"), F.col(f"n{ord(c)}").alias("occ"), smaller.alias("cum_occ")))
+    return wide.select("row", F.inline(F.array(*each)))
+
+
+def find_positions(rows: DataFrame, lf: DataFrame, sparse: DataFrame, factor: int) -> DataFrame:
+    """row and pos of the rows asked for, by walking to the row of the suffix that is one longer until a sampled one is met.
+
+    sparse: row and pos of the suffixes whose place is a multiple of ``factor``, so a walk has fewer steps than that."""
+    step = lf.select(F.col("row").alias("at"), F.col("lf").alias("next"))
+    known = sparse.select(F.col("row").alias("at"), F.col("pos").alias("found"))
+    left, out = rows.select("row", F.col("row").alias("at")), None
+    for walked in range(factor):
+        met = cut(left.join(known, "at", "left"))
+        done = met.filter("found is not null").select("row", (F.col("found") + walked).alias("pos"))
+        out = done if out is None else out.unionByName(done)
+        left = met.filter("found is null").join(step, "at").select("row", F.col("next").alias("at"))
+    return out
+
+
+def check_index(chars: DataFrame, array: DataFrame) -> None:
+    """Raises ValueError unless the text ends in "$", which stands nowhere else, and the array holds every place once."""
+    text = chars.agg(F.count("*").alias("n"), F.max_by("ch", "pos").alias("last"), F.sum((F.col("ch") == "$").cast("long")).alias("ends")).first()
+    if not text["n"] or text["last"] != "$" or text["ends"] != 1:
+        raise ValueError("the text must end in $, and hold it only there")
+    rows = array.agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high")).first()
+    if rows["n"] != text["n"]:
+        raise ValueError("text and suffix array differ in length")
+    if (rows["low"], rows["high"]) != (0, text["n"] - 1) or array.select("pos").distinct().count() != text["n"]:
+        raise ValueError("the suffix array must hold every place of the text once")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panweave.functions import dna as D
 from panweave.operators import matching as M
 from panweave.operators import paths as P
 from panweave.operators import schemes
@@ -21,7 +22,7 @@ def _reads_sql(changed: bool) -> str:
     at = "CAST((read_id * 7) % len(seq) AS BIGINT)"
     change = f"left(seq, {at}) || translate(seq[{at} + 1 : {at} + 1], 'ACGT', 'CGTA') || seq[{at} + 2 : len(seq)]"
     return f"""reads AS MATERIALIZED (SELECT read_id, {change if changed else 'seq'} AS seq FROM (
-  SELECT item_id * 1000 + part AS read_id, CASE WHEN part + 1 < n THEN seq[part * {LENGTH} + 1 : part * {LENGTH} + {LENGTH}] ELSE seq[part * {LENGTH} + 1 : len(seq)] END AS seq
+  SELECT item_id * 1000000 + part AS read_id, CASE WHEN part + 1 < n THEN seq[part * {LENGTH} + 1 : part * {LENGTH} + {LENGTH}] ELSE seq[part * {LENGTH} + 1 : len(seq)] END AS seq
   FROM (SELECT *, unnest(range(n)) AS part FROM (SELECT item_id, seq, greatest(len(seq) // {LENGTH}, 1) AS n FROM (SELECT item_id, {O.dna('text')} AS seq FROM benchmark)))) WHERE seq <> ''),
 ways AS MATERIALIZED (SELECT read_id, 0 AS rc, seq FROM reads UNION ALL SELECT read_id, 1, {O.revcomp('seq')} FROM reads)"""
 
@@ -183,14 +184,17 @@ def seed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("read_id", "rc", "strain", (F.col("pos") - F.col("offset")).alias("begin")).distinct()
 
 
-@query(f"WITH {_EDIT}, {_FOLD} SELECT (SELECT count(*) FROM found) AS n_verified, (SELECT count(*) FROM (SELECT DISTINCT read_id, rc, strain, begin FROM found)) AS n_begins, (SELECT count(*) FROM mapped) AS n_kept")
+@query(f"WITH {_EDIT}, {_FOLD} SELECT (SELECT count(*) FROM (SELECT DISTINCT read_id, rc, strain, pos - o AS begin FROM seeds JOIN words USING (gram))) AS n_candidates, (SELECT count(*) FROM (SELECT DISTINCT read_id, rc, strain, begin FROM near)) AS n_places, (SELECT count(*) FROM found) AS n_verified, (SELECT count(*) FROM (SELECT DISTINCT read_id, rc, strain, begin FROM found)) AS n_begins, (SELECT count(*) FROM mapped) AS n_kept")
 def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches after each step of the mapping."""
+    """Work and matches of each step of the mapping: candidates by seeds, places looked at, matches, begins, matches kept."""
     from panweave.operators.ranking import cut
 
+    near = cut(seed_candidates(spark, sf_dir))
+    places = near.select("read_id", "rc", "strain", F.explode(F.sequence(F.col("begin") - ERRORS, F.col("begin") + ERRORS)).alias("begin")).filter("begin >= 0").distinct()
+    work = near.agg(F.count("*").alias("n_candidates")).crossJoin(places.agg(F.count("*").alias("n_places")))  # one row each
     found = cut(_edit(spark, sf_dir))
     kept = M.dedup_positions(found, _starts(spark, sf_dir), ERRORS).agg(F.count("*").alias("n_kept"))
-    return found.agg(F.count("*").alias("n_verified"), F.count_distinct("read_id", "rc", "strain", "begin").alias("n_begins")).crossJoin(kept)  # one row each
+    return found.agg(F.count("*").alias("n_verified"), F.count_distinct("read_id", "rc", "strain", "begin").alias("n_begins")).crossJoin(kept).crossJoin(work)  # one row each
 
 
 _NAMES = f"names AS (SELECT n_nationkey AS read_id, {O.dna('n_name')} AS seq FROM nation)"
@@ -207,12 +211,21 @@ def edit_match_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.naive_edit_occurrences(reads, passages, 1).select(*COLUMNS)
 
 
-@query(f"WITH {O.strains(K)}, {O.starts()}, {_reads_sql(False)} SELECT read_id, seq, len(seq) <= {(ERRORS + 1) * ERRORS} OR len(seq) < {(ERRORS + 2) * 4} AS naive FROM reads")
+_SHORT = "words AS (SELECT DISTINCT dense_rank() OVER (ORDER BY seq) AS read_id, seq FROM (SELECT seq[1 : n] AS seq FROM names, (SELECT unnest([3, 5, 9]) AS n)))"
+
+
+@query(f"""WITH {_NAMES}, {_PASSAGES}, {_SHORT}, places AS (SELECT r.read_id, r.seq, p.strain, p.seq AS text, unnest(range(len(p.seq))) AS begin FROM words r, passages p WHERE len(p.seq) > 0),
+texts AS (SELECT *, text[begin + 1 : begin + l] AS matched FROM (SELECT *, unnest(range(greatest(len(seq) - 2, 1), len(seq) + 3)) AS l FROM places))
+SELECT CAST(read_id AS BIGINT) AS read_id, 0 AS rc, strain, begin, CAST(l AS INTEGER) AS length, CAST(levenshtein(matched, seq) AS INTEGER) AS ed FROM texts WHERE len(matched) = l AND levenshtein(matched, seq) <= 2""")
 def short_read_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which reads are too short for the scheme's seeds."""
-    reads = T.reads(spark, sf_dir, LENGTH)
-    short = M.short_reads(reads, ERRORS, SCHEME).select("read_id", F.lit(True).alias("naive"))
-    return reads.join(short, "read_id", "left").select("read_id", "seq", F.coalesce("naive", F.lit(False)).alias("naive"))
+    """Words of up to nine bases, some with fewer bases than the scheme has parts, by the mapper for all reads."""
+    names = T.table(spark, sf_dir, "nation").select(S.dna(F.col("n_name")).alias("name"))
+    words = names.select(F.explode(F.array(*(F.substring("name", 1, n) for n in (3, 5, 9)))).alias("seq")).distinct()
+    from pyspark.sql.window import Window
+
+    reads = words.select(F.dense_rank().over(Window.orderBy("seq")).cast("long").alias("read_id"), F.lit(0).alias("rc"), "seq")  # a row for each nation and length
+    passages = S.strains_of(T.table(spark, sf_dir, "benchmark"), 1, id_column="item_id")
+    return M.occurrences(reads, passages, 2, "edit", "01star0").select(*COLUMNS)
 
 
 @query(f"""WITH {O.strains(K)}, {O.starts()} SELECT c.position, s.strain, c.position - s.start AS begin FROM (SELECT c_custkey * 1009 AS position FROM customer) c
@@ -230,6 +243,24 @@ def nodes_under_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", P.path_string(F.col("nodes"), F.length("word"), K).alias("nodes"))
 
 
-@query(f"SELECT read_id, seq FROM (WITH {_reads_sql(False)} SELECT * FROM reads) WHERE NOT contains(seq, 'N')")
+@query(f"SELECT read_id, seq FROM (WITH {_reads_sql(False)} SELECT * FROM reads) WHERE NOT (read_id % 3 = 0 OR read_id % 10 = 7)")
 def reads_without_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.without_n(T.reads(spark, sf_dir, LENGTH))
+    """Of reads of which some got an N, at the begin or within, those without."""
+    reads, at = T.reads(spark, sf_dir, LENGTH), F.when(F.col("read_id") % 3 == 0, 0).when(F.col("read_id") % 10 == 7, F.length("seq") - 1)
+    spoilt = reads.withColumn("seq", F.when(at.isNull(), F.col("seq")).otherwise(F.concat(F.substring(F.col("seq"), F.lit(1), at), F.lit("N"), F.expr("substring(seq, 2)"))))
+    return S.without_n(spoilt)
+
+
+@query(f"""WITH {O.strains(K)}, {O.kmers(WORD)} SELECT DISTINCT gram AS kmer, gram[2 : {WORD}] || 'G' AS pushed_right, 'T' || gram[1 : {WORD - 1}] AS pushed_left, gram[3 : 3] AS third FROM kmers""")
+def kmer_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct k-mers by their codes, moved by one base to either side."""
+    codes = S.windows(T.strains(spark, sf_dir, K), WORD).select(D.kmer_code(F.col("gram")).alias("code")).distinct()
+    text = lambda code: D.kmer_text(code, WORD)
+    code = F.col("code")
+    return codes.select(text(code).alias("kmer"), text(D.push_right(code, F.lit("G"), WORD)).alias("pushed_right"), text(D.push_left(code, F.lit("T"), WORD)).alias("pushed_left"), D.peek(code, 2, WORD).alias("third"))
+
+
+@query()
+def cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the best match of each begin is made of its read."""
+    return M.with_cigars(M.best_per_begin(_edit(spark, sf_dir)), _both(spark, sf_dir)).select(*COLUMNS, "cigar")

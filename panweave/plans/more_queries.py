@@ -17,6 +17,7 @@ from panweave.operators.graph import Graph
 from panweave.operators.ranking import cut
 from panweave.plans import match_queries as Q
 from panweave.plans import oracle as O
+from panweave.plans import scheme_values as V
 from panweave.plans.catalog import query
 from panweave.plans.graph_queries import K, graph
 from panweave.sources import files
@@ -26,20 +27,15 @@ from panweave.streaming import reads as R
 # Search schemes
 
 
-def _values() -> str:
-    rows = [f"('{n}', {k}, {i}, {list(s.order)}, {list(s.lower)}, {list(s.upper)})" for n, k in schemes.supported() for i, s in enumerate(schemes.searches(n, k))]
-    return f"scheme(scheme, k, search_no, ord, lo, hi) AS (VALUES {', '.join(rows)})"
-
-
 _TEXT = "list_transform({}, lambda x: CAST(x AS VARCHAR))"
 
 
-@query(f"WITH {_values()} SELECT scheme, CAST(k AS INTEGER) AS k, CAST(search_no AS INTEGER) AS search_no, " + ", ".join(f"array_to_string({c}, ',') AS {c}" for c in ("ord", "lo", "hi")) + " FROM scheme")
+@query(f"WITH {V.values_sql()} SELECT scheme, CAST(k AS INTEGER) AS k, CAST(search_no AS INTEGER) AS search_no, " + ", ".join(f"array_to_string({c}, ',') AS {c}" for c in ("ord", "lo", "hi")) + " FROM scheme")
 def scheme_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemes.scheme_table(spark).select("scheme", "k", "search_no", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("ord", "lo", "hi")))
 
 
-@query(f"""WITH RECURSIVE {_values()}, sizes AS (SELECT scheme, k, max(len(ord)) AS parts, count(*) AS searches FROM scheme GROUP BY scheme, k),
+@query(f"""WITH RECURSIVE {V.values_sql()}, sizes AS (SELECT scheme, k, max(len(ord)) AS parts, count(*) AS searches FROM scheme GROUP BY scheme, k),
 spread(scheme, k, parts, pattern, used) AS (SELECT scheme, k, parts, CAST([] AS INTEGER[]), 0 FROM sizes
   UNION ALL SELECT scheme, k, parts, list_append(pattern, CAST(e AS INTEGER)), used + CAST(e AS INTEGER) FROM spread, (SELECT unnest(range(6)) AS e) WHERE len(pattern) < parts AND used + e <= k),
 held AS (SELECT p.scheme, p.k, p.pattern, len(list_filter(range(1, p.parts + 1), lambda i: NOT (list_sum(list_transform(ord[1 : i], lambda o: pattern[o + 1])) BETWEEN lo[i] AND hi[i]))) = 0 AS ok
@@ -51,10 +47,19 @@ def scheme_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemes.coverage(schemes.scheme_table(spark))
 
 
-@query(f"WITH {_values()} SELECT scheme, CAST(k AS INTEGER) AS k, CAST(0 AS BIGINT) AS n_faults FROM scheme GROUP BY scheme, k")
+def _validation_sql() -> str:
+    rows = ", ".join(f"('{name}', {k}, '{kinds}')" for name, k, _, kinds in V.bad_rows())
+    return f"WITH {V.values_sql()} SELECT scheme, CAST(k AS INTEGER) AS k, '' AS faults FROM scheme GROUP BY scheme, k UNION ALL SELECT * FROM (VALUES {rows}) AS b(scheme, k, faults)"
+
+
+@query(_validation_sql())
 def scheme_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults found in each built-in scheme."""
-    return spark.createDataFrame([(n, k, len(schemes.validate(schemes.searches(n, k), k))) for n, k in schemes.supported()], "scheme string, k int, n_faults long")
+    """Kinds of faults found in each built-in scheme, and in some made with faults."""
+    rows = [(n, k, schemes.searches(n, k)) for n, k in schemes.supported()]
+    digits = lambda x: tuple(map(int, x))
+    rows += [(name, k, [schemes.Search(*map(digits, s.split("-"))) for s in text]) for name, k, text, _ in V.bad_rows()]
+    kinds = lambda found: ",".join(sorted({x.rpartition(": ")[2].replace(" ", "_") if x.startswith("search") else x.partition(":")[0] for x in found}))
+    return spark.createDataFrame([(n, k, kinds(schemes.validate(s, k))) for n, k, s in rows], "scheme string, k int, faults string")
 
 
 _PARTS = 4
@@ -66,13 +71,14 @@ def partition_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.reads(spark, sf_dir, Q.LENGTH).select("read_id", F.inline(schemes.uniform_parts(F.length("seq"), _PARTS)))
 
 
-_BEGINS = schemes.static_begins("kuch_k+1", 3)
+#: Begins of the parts of the scheme that the query uses, as fractions.
+_BEGINS = [0.25, 0.44, 0.61, 0.81]
 
 
 @query(f"""WITH {Q._reads_sql(False)}, f AS (SELECT unnest([0.0, {', '.join(map(str, _BEGINS))}]) AS f, unnest(range({len(_BEGINS) + 1})) AS i, unnest([{', '.join(map(str, _BEGINS))}, 1.0]) AS g)
 SELECT read_id, CAST(i AS INTEGER) AS part, CAST(floor(len(seq) * CAST(f AS DOUBLE)) AS INTEGER) AS begin, CAST(floor(len(seq) * CAST(g AS DOUBLE)) AS INTEGER) AS "end" FROM reads, f""")
 def partition_static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.reads(spark, sf_dir, Q.LENGTH).select("read_id", F.inline(schemes.static_parts(F.length("seq"), _BEGINS)))
+    return T.reads(spark, sf_dir, Q.LENGTH).select("read_id", F.inline(schemes.static_parts(F.length("seq"), schemes.static_begins("kuch_k+1_adapted", 4))))
 
 
 def _dynamic_sql() -> str:
@@ -295,6 +301,24 @@ def lcp_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.lcp_classes(X.suffix_array(chars), X.grams(chars, LCP_K + 1), LCP_K)
 
 
+@query(f"""WITH {_text_sql()}, letters AS (SELECT unnest(['$', '%', 'A', 'C', 'G', 'T']) AS ch),
+above AS (SELECT t.row, l.ch, CAST(coalesce(sum(CASE WHEN t.ch = l.ch THEN 1 ELSE 0 END) OVER (PARTITION BY l.ch ORDER BY t.row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS occ FROM transform t, letters l)
+SELECT row, ch, occ, CAST(coalesce(sum(occ) OVER (PARTITION BY row ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum_occ FROM above""")
+def bwt_rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = _chars(spark, sf_dir)
+    return X.rank_table(cut(X.bwt(X.suffix_array(chars), chars)))
+
+
+@query(f"WITH {_text_sql()} SELECT row, pos FROM suffixes")
+def find_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of all rows from the sampled ones, by walks through the transform."""
+    chars = _chars(spark, sf_dir)
+    array = cut(X.suffix_array(chars))
+    X.check_index(chars, array)
+    lf = cut(X.last_to_first(cut(X.bwt(array, chars))))
+    return X.find_positions(array.select("row"), lf, array.filter(F.col("pos") % SPARSE == 0), SPARSE)
+
+
 # Files and streams
 
 
@@ -306,14 +330,12 @@ def _folder(spark: SparkSession, name: str) -> str:
 _READS_TEXT = f"SELECT CAST(read_id AS VARCHAR) AS read_id, seq FROM (WITH {Q._reads_sql(False)} SELECT * FROM reads)"
 
 
-@query(_READS_TEXT)
+@query(_READS_TEXT.replace("CAST(read_id AS VARCHAR)", "read_id || ' A->G'"))
 def fasta_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads written as FASTA and read back."""
+    """Reads written as FASTA and read back; headers hold the character that records begin with."""
     path = _folder(spark, "reads")
-    text = T.reads(spark, sf_dir, Q.LENGTH).select(F.concat(F.lit(">"), F.col("read_id").cast("string"), F.lit("\n"), F.col("seq")).alias("value"))
-    text.write.text(path)
-    rows = spark.read.option("lineSep", ">").text(path).filter("trim(value) <> ''")
-    return rows.select(F.substring_index("value", "\n", 1).alias("read_id"), F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 1)"), "[\\r\\n]", "").alias("seq"))
+    files.write_fasta(T.reads(spark, sf_dir, Q.LENGTH).withColumn("read_id", F.concat(F.col("read_id").cast("string"), F.lit(" A->G"))), path)
+    return files.fasta_reads(spark, path, glob="*")
 
 
 @query(_READS_TEXT)
@@ -335,21 +357,20 @@ def csv_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT CAST(item_id AS VARCHAR) AS name, {O.dna('text')} AS seq FROM benchmark")
 def fasta_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages written as FASTA and read back, each record a strain of its own."""
-    path = f"{_folder(spark, 'genomes')}"
-    rows = T.table(spark, sf_dir, "benchmark").select(F.concat(F.lit(">"), F.col("item_id").cast("string"), F.lit("\n"), D.dna(F.col("text"))).alias("value"))
-    rows.write.text(path)
-    found = spark.read.option("lineSep", ">").text(path).filter("trim(value) <> ''")
-    return found.select(F.substring_index("value", "\n", 1).alias("name"), D.iupac_clean(F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 1)"), "[\\r\\n]", "")).alias("seq"))
+    path = _folder(spark, "genomes")
+    files.write_fasta(T.table(spark, sf_dir, "benchmark").select("item_id", D.dna(F.col("text")).alias("seq")), path, header="item_id")
+    return files.fasta_contigs(spark, path, glob="*").select("name", "seq")
 
 
-@query(_READS_TEXT)
+@query(f"WITH {Q._EXACT} SELECT CAST(read_id AS VARCHAR) AS read_id, CAST(rc AS INTEGER) AS rc, strain, CAST(begin AS BIGINT) AS begin FROM found")
 def stream_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads written as FASTA and read as a stream, batch by batch."""
+    """Reads written as FASTA, read as a stream and mapped batch by batch."""
     path, out = _folder(spark, "reads"), _folder(spark, "stream")
-    text = T.reads(spark, sf_dir, Q.LENGTH).select(F.concat(F.lit(">"), F.col("read_id").cast("string"), F.lit("\n"), F.col("seq")).alias("value"))
-    text.write.text(path)
-    R.map_stream(R.stream_fasta(spark, path), lambda rows: rows, out, f"{out}-progress", once=True).awaitTermination()
-    return spark.read.parquet(out).select("read_id", "seq")
+    files.write_fasta(T.reads(spark, sf_dir, Q.LENGTH), path)
+    strains = T.strains(spark, sf_dir, K)
+    mapped = lambda rows: Q.M.exact_occurrences(S.both_ways(S.without_n(rows)), strains)
+    R.map_stream(R.stream_fasta(spark, path), mapped, out, f"{out}-progress", once=True).awaitTermination()
+    return spark.read.parquet(out).select("read_id", "rc", "strain", "begin")
 
 
 # Parts of results by themselves
@@ -393,15 +414,27 @@ def visualize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat("path", F.lit("_Edge"), number.cast("string")).alias("edge_key"), "path", "src", "dst", F.col("color").cast("long").alias("color"), "multiplicity")
 
 
-@query(f"""WITH {_PATHS}, {_AROUND} SELECT p.read_id, p.n_paths, CAST(count(DISTINCT a.node_id) AS BIGINT) AS n_nodes, (SELECT CAST(coalesce(sum(e.multiplicity), 0) AS BIGINT) FROM edges e JOIN around x ON x.node_id = e.src AND x.read_id = p.read_id JOIN around y ON y.node_id = e.dst AND y.read_id = p.read_id) AS n_steps
-  FROM (SELECT read_id, count(DISTINCT rc || ':' || path) AS n_paths FROM paths GROUP BY read_id) p JOIN around a USING (read_id) GROUP BY p.read_id, p.n_paths""")
+_PICTURES = f"""{Q._EXACT}, {Q._GRAPH}, {Q._paths_sql('found')},
+pictures AS MATERIALIZED (SELECT DISTINCT read_id, sid, nodes FROM (SELECT read_id, nodes, dense_rank() OVER (PARTITION BY read_id ORDER BY rc, nodes) - 1 AS sid FROM paths)),
+path_nodes AS MATERIALIZED (SELECT DISTINCT read_id, sid, unnest(nodes) AS node_id FROM pictures),
+both_ways AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT DISTINCT dst, src FROM edges),
+around1 AS MATERIALIZED (SELECT * FROM path_nodes UNION SELECT read_id, sid, b FROM path_nodes JOIN both_ways ON a = node_id),
+around AS MATERIALIZED (SELECT * FROM around1 UNION SELECT read_id, sid, b FROM around1 JOIN both_ways ON a = node_id),
+inside AS MATERIALIZED (SELECT x.read_id, x.sid, src, dst, strain, multiplicity FROM edges JOIN around x ON x.node_id = src JOIN around y ON y.node_id = dst AND y.read_id = x.read_id AND y.sid = x.sid)"""
+
+
+@query(f"""WITH {_PICTURES} SELECT i.read_id, 'Subgraph' || i.sid || '_Edge' || (row_number() OVER (PARTITION BY i.read_id, i.sid ORDER BY i.src, i.dst, i.strain) - 1) AS "EdgeKey", CAST(i.src AS BIGINT) AS "Source",
+  {_LABEL.format('a.omega')} AS "SourceOmegaShort", a.omega AS "SourceOmegaFull", EXISTS (SELECT 1 FROM path_nodes p WHERE p.read_id = i.read_id AND p.sid = i.sid AND p.node_id = i.src) AS "SourcePartOfPath",
+  CAST(i.dst AS BIGINT) AS "Target", {_LABEL.format('b.omega')} AS "TargetOmegaShort", b.omega AS "TargetOmegaFull", EXISTS (SELECT 1 FROM path_nodes p WHERE p.read_id = i.read_id AND p.sid = i.sid AND p.node_id = i.dst) AS "TargetPartOfPath",
+  CAST(i.strain AS VARCHAR) AS "Color", CAST(i.multiplicity AS BIGINT) AS "EdgeMultiplicity" FROM inside i JOIN nodes a ON a.node_id = i.src JOIN nodes b ON b.node_id = i.dst""")
 def visualize_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of each read's picture: its paths, the nodes around them, and the steps of strains among these."""
-    g, starts, nodes = _around(spark, sf_dir)
-    ways = _path_nodes(spark, sf_dir, g).groupBy("read_id").agg(F.count_distinct("subgraph_id").alias("n_paths"))
-    edges = G.subgraph_edges(nodes, g, starts, keys=("read_id",)).groupBy("read_id").agg(F.sum("multiplicity").alias("n_steps"))
-    sizes = nodes.groupBy("read_id").agg(F.count("*").alias("n_nodes"))
-    return ways.join(sizes, "read_id").join(edges, "read_id", "left").select("read_id", "n_paths", "n_nodes", F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
+    """The pictures of each read: for each of its paths (numbered as in ``subgraph_overview``) the edges around it, as an edge file has them."""
+    g, keys = graph(spark, sf_dir), ("read_id", "subgraph_id")
+    starts = cut(_path_nodes(spark, sf_dir, g).select(*keys, F.explode("path").alias("node_id")).distinct())
+    edges = G.subgraph_edges(G.neighbourhood(starts, g, DEPTH, keys=keys), g, starts, keys=keys)
+    named = G.keyed_edges(edges, *keys, prefix=F.concat(F.lit("Subgraph"), F.col("subgraph_id").cast("string"), F.lit("_")))
+    sides = [F.col(f"{side}{was}").alias(f"{to}{name}") for side, to in (("src", "Source"), ("dst", "Target")) for was, name in (("", ""), ("_omega_short", "OmegaShort"), ("_omega_full", "OmegaFull"), ("_part_of_path", "PartOfPath"))]
+    return named.select("read_id", F.col("edge_key").alias("EdgeKey"), *sides, F.col("color").alias("Color"), F.col("multiplicity").alias("EdgeMultiplicity"))
 
 
 @query(f"""WITH {Q._EDIT}, {Q._BEST}, beside AS (SELECT *, lag(ed) OVER w AS l, lag(begin) OVER w AS lb, lead(ed) OVER w AS r, lead(begin) OVER w AS rb FROM best WINDOW w AS (PARTITION BY read_id, rc, strain ORDER BY begin))
@@ -416,7 +449,7 @@ def local_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("b0", beaten(F.lag, -1)).withColumn("b1", beaten(F.lead, 1)).filter("not b0 and not b1").select(*Q.COLUMNS)
 
 
-@query(f"WITH {_values()} SELECT CAST(k AS INTEGER) AS k, CAST(search_no AS INTEGER) AS search_no, " + ", ".join(f"array_to_string({c}, ',') AS {c}" for c in ("ord", "lo", "hi")) + " FROM scheme WHERE scheme = 'kuch_k+2'")
+@query(f"WITH {V.values_sql()} SELECT CAST(k AS INTEGER) AS k, CAST(search_no AS INTEGER) AS search_no, " + ", ".join(f"array_to_string({c}, ',') AS {c}" for c in ("ord", "lo", "hi")) + " FROM scheme WHERE scheme = 'kuch_k+2'")
 def custom_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scheme folder written on the driver, read back and validated."""
     import os

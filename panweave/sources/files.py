@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,31 +14,37 @@ from pyspark.sql.window import Window
 from panweave.functions.dna import iupac_clean
 
 FASTA, FASTQ = (".fasta", ".fa", ".fna"), (".fastq", ".fq")
+GENOMES = "*.{fasta,fa,fna,FASTA}"
 
 
-def fasta_records(spark: SparkSession, path: str) -> DataFrame:
-    """file, header and seq of every record; a path may be a folder, of which FASTA files are read.
+def fasta_records(spark: SparkSession, path: str, *, glob: str = GENOMES) -> DataFrame:
+    """file, header and seq of every record; a path may be a folder, of which the files that ``glob`` names are read.
 
-    Records are split by the reader at ">", so a large file is read by many tasks."""
-    reader = spark.read.option("lineSep", ">").option("pathGlobFilter", "*.{fasta,fa,fna,FASTA}")
-    rows = reader.text(path).select(F.input_file_name().alias("file"), "value").filter("trim(value) <> ''")
+    The reader splits records at ">" at the start of a line, so a large file is read by many tasks, and headers may
+    hold that character."""
+    return _records(spark, path, glob).select("file", "header", "seq")
+
+
+def _records(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """The same with at: records of a file rise by it."""
+    reader = spark.read.option("lineSep", "\n>").option("pathGlobFilter", glob)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = reader.text(path).select(F.input_file_name().alias("file"), at.alias("at"), "value").filter("trim(value) <> ''")
     head = F.substring_index("value", "\n", 1)
-    body = F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 1)")
-    return rows.select("file", F.regexp_replace(head, "\r$", "").alias("header"), F.regexp_replace(body, "[\\r\\n]", "").alias("seq"))
+    body = F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)")
+    return rows.select("file", "at", F.regexp_replace(head, "^>|\r$", "").alias("header"), F.regexp_replace(body, "[\r\n]", "").alias("seq"))
 
 
-def fasta_strains(spark: SparkSession, path: str) -> DataFrame:
+def fasta_strains(spark: SparkSession, path: str, *, glob: str = GENOMES) -> DataFrame:
     """strain, name and seq: each file is a strain, its contigs put together in order, ambiguity codes resolved."""
-    whole = spark.read.option("pathGlobFilter", "*.{fasta,fa,fna,FASTA}").text(path, wholetext=True)
-    parts = whole.select(F.input_file_name().alias("name"), "value")
-    bodies = F.transform(F.slice(F.split("value", ">"), 2, 1 << 30), lambda x: F.regexp_replace(F.regexp_replace(x, "^[^\n]*", ""), "[\\r\\n]", ""))
-    strains = parts.select("name", iupac_clean(F.array_join(bodies, "")).alias("seq"))
-    return _numbered(strains, "name")
+    contigs = F.array_sort(F.collect_list(F.struct("at", "seq")))
+    strains = _records(spark, path, glob).groupBy(F.col("file").alias("name")).agg(F.array_join(F.transform(contigs, lambda x: x["seq"]), "").alias("seq"))
+    return _numbered(strains.select("name", iupac_clean(F.col("seq")).alias("seq")), "name")
 
 
-def fasta_contigs(spark: SparkSession, path: str) -> DataFrame:
+def fasta_contigs(spark: SparkSession, path: str, *, glob: str = GENOMES) -> DataFrame:
     """strain, name and seq: each record is a strain."""
-    records = fasta_records(spark, path)
+    records = fasta_records(spark, path, glob=glob)
     return _numbered(records.select("file", F.col("header").alias("name"), iupac_clean(F.col("seq")).alias("seq")), "file", "name").drop("file")
 
 
@@ -62,17 +70,24 @@ def check_strains(strains: DataFrame) -> None:
         raise ValueError(f"{found['bad']} strains have characters other than A, C, G and T")
 
 
-def fasta_reads(spark: SparkSession, path: str) -> DataFrame:
+def fasta_reads(spark: SparkSession, path: str, *, glob: str = GENOMES) -> DataFrame:
     """read_id (the whole header) and seq."""
-    return fasta_records(spark, path).select(F.col("header").alias("read_id"), F.upper("seq").alias("seq"))
+    return fasta_records(spark, path, glob=glob).select(F.col("header").alias("read_id"), F.upper("seq").alias("seq"))
 
 
 def fastq_reads(spark: SparkSession, path: str) -> DataFrame:
-    """read_id and seq of records of four lines. A quality line may begin with "@": lines go by their number."""
-    whole = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n+$", ""), "\n").alias("l"))
-    starts = F.explode(F.sequence(F.lit(1), F.size("l"), F.lit(4)))
-    each = whole.select("l", starts.alias("i"))
-    return each.select(F.expr("substring(l[i - 1], 2)").alias("read_id"), F.upper(F.expr("get(l, i)")).alias("seq")).filter("seq is not null")
+    """read_id and seq of records of four lines. A quality line may begin with "@": lines go by their number.
+
+    Lines are numbered from the sizes of the reader's splits, so neither a file nor its lines meet in one task."""
+    place = F.monotonically_increasing_id()  # rises by one within a split
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("split"), place.alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    splits = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # a row for each split
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.join(splits.select("file", "split", "first", before.alias("before")), ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("i"), "line")
+    kind = F.col("i") % 4
+    heads = F.max(F.when(kind == 0, F.expr("substring(line, 2)")))
+    reads = numbered.filter(kind < 2).groupBy("file", F.floor(F.col("i") / 4).alias("record")).agg(heads.alias("read_id"), F.max(F.when(kind == 1, F.upper("line"))).alias("seq"))
+    return reads.filter("seq is not null").select("read_id", "seq")
 
 
 def csv_reads(spark: SparkSession, path: str) -> DataFrame:
@@ -94,9 +109,9 @@ def read_reads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_fasta(rows: DataFrame, path: str, *, header: str = "read_id", seq: str = "seq") -> None:
-    """Records of two lines, in files *.fasta under ``path``."""
+    """Records of two lines, in files under ``path``."""
     text = rows.select(F.concat(F.lit(">"), F.col(header).cast("string"), F.lit("\n"), F.col(seq)).alias("value"))
-    text.write.option("lineSep", "\n").text(path)
+    text.write.text(path)
 
 
 def write_table(rows: DataFrame, path: str) -> None:
@@ -109,11 +124,16 @@ EDGE_COLUMNS = ["EdgeKey", "Source", "OmegaShort", "OmegaFull", "PartOfPath", "T
 
 
 def write_edges(edges: DataFrame, path: str) -> None:
-    """Edges of a subgraph as tab-separated lines under the header that graph viewers expect."""
+    """Edges of a subgraph as tab-separated lines; each file has the header that graph viewers expect."""
     order = ["edge_key", "src", "src_omega_short", "src_omega_full", "src_part_of_path", "dst", "dst_omega_short", "dst_omega_full", "dst_part_of_path", "color", "multiplicity"]
     lines = edges.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in order)).alias("value"))
-    lines.write.mode("overwrite").text(path)
-    lines.sparkSession.createDataFrame([("\t".join(EDGE_COLUMNS),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.header")
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(["\t".join(EDGE_COLUMNS)])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+    lines.mapInArrow(headed, "value string").write.mode("overwrite").text(path)
 
 
 def write_style(path: str, n_strains: int, name: str = "pan-genome") -> None:
@@ -139,8 +159,12 @@ def write_style(path: str, n_strains: int, name: str = "pan-genome") -> None:
 
 
 def save_index(graph, path: str) -> None:
-    """Strains, and the graph's tables under a folder for k: other k's tables, and the strains, stay."""
+    """Strains, and the graph's tables under a folder for k: other k's tables, and the strains, stay. An index of other
+    strains raises ValueError."""
+    mark = lambda rows: tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("strain", "seq").cast("decimal(38,0)"))).first())
     graph.strains.write.mode("ignore").parquet(f"{path}/strains")
+    if mark(graph.strains.sparkSession.read.parquet(f"{path}/strains")) != mark(graph.strains):
+        raise ValueError(f"{path} is an index of other strains")
     for name in ("nodes", "node_occ", "edges"):
         getattr(graph, name).write.mode("overwrite").parquet(f"{path}/{name}/k={graph.k}")
 

@@ -11,9 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 def stream_fasta(spark: SparkSession, folder: str, *, files_at_once: int = 100) -> DataFrame:
     """read_id and seq of FASTA files that appear in a folder."""
-    lines = spark.readStream.option("lineSep", ">").option("maxFilesPerTrigger", files_at_once).text(folder)
+    lines = spark.readStream.option("lineSep", "\n>").option("maxFilesPerTrigger", files_at_once).text(folder)
+    head = F.regexp_replace(F.substring_index("value", "\n", 1), "^>|\r$", "")
     body = F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 1)")
-    return lines.filter("trim(value) <> ''").select(F.substring_index("value", "\n", 1).alias("read_id"), F.upper(F.regexp_replace(body, "[\\r\\n]", "")).alias("seq"))
+    return lines.filter("trim(value) <> ''").select(head.alias("read_id"), F.upper(F.regexp_replace(body, "[\\r\\n]", "")).alias("seq"))
 
 
 def map_stream(reads: DataFrame, mapper: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:

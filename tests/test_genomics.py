@@ -150,6 +150,47 @@ def test_hamming_exact_and_naive(spark, mapping):
     assert {tuple(x)[:6] for x in naive.collect()} == all_matches(short, strains, 1, True)
 
 
+SHORT_READS = {(i, 0): s for i, s in enumerate(["ACGTACGGTT", "ACG", "C", "GG", "TACGATTACAGG", "ACGTA", "TTTTTTTTT"])}
+
+
+@pytest.mark.parametrize(("scheme", "k", "partition"), [("pigeon", 2, "uniform"), ("pigeon", 3, "uniform"), ("01star0", 1, "uniform"), ("kuch_k+2", 2, "static"), ("kuch_k+1_adapted", 4, "static")])
+def test_short_reads(spark, scheme, k, partition):
+    """Reads shorter than any seed, or with fewer bases than the scheme has parts, lose no match."""
+    strains = {0: TOY[0] + "CCGT", 1: "GGCATTA"}
+    r, t = read_table(spark, SHORT_READS), table(spark, strains)
+    assert {tuple(x)[:6] for x in matching.edit_occurrences(r, t, k, scheme, partition=partition).collect()} == all_matches(SHORT_READS, strains, k, True)
+    assert {tuple(x)[:6] for x in matching.hamming_occurrences(r, t, k, scheme).collect()} == all_matches(SHORT_READS, strains, k, False)
+
+
+def test_choices(spark, mapping):
+    reads, strains = mapping
+    t, r = table(spark, strains), read_table(spark, reads)
+    for metric, k in (("edit", 1), ("hamming", 1), ("edit", 0)):
+        assert {tuple(x)[:6] for x in matching.occurrences(r, t, k, metric).collect()} == all_matches(reads, strains, k, metric == "edit" and k > 0)
+    for bad in (lambda: matching.occurrences(r, t, 1, "other"), lambda: matching.edit_occurrences(r, t, 6), lambda: matching.hamming_occurrences(r, t, -1), lambda: walks.check_choice("hamming", "uniform"), lambda: walks.check_choice("edit", "dynamic")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_cigars(spark, mapping):
+    import re
+
+    reads, strains = mapping
+    r = read_table(spark, reads)
+    found = matching.with_cigars(matching.edit_occurrences(r, table(spark, strains), 2, "pigeon"), r).collect()
+    assert found
+    for x in found:
+        read, cost, out, at = reads[x["read_id"], x["rc"]], 0, "", 0
+        for n, op in re.findall(r"(\d+)([=XID])", x["cigar"]):
+            n = int(n)
+            part = x["matched"][at : at + n] if op != "I" else ""
+            own = read[len(out) : len(out) + n] if op != "D" else ""
+            assert (op != "=" or part == own) and (op != "X" or all(a != b for a, b in zip(part, own, strict=True)))
+            at, out, cost = at + len(part), out + own, cost + n * (op != "=")
+        assert out == read and at == len(x["matched"]) and cost == x["ed"]
+    assert matching.cigar("", "AC") == "2I" and matching.cigar("ACGT", "ACGT") == "4=" and matching.cigar("ACG", "AG") == "1=1D1="
+
+
 def plain_fold(items, k):
     kept = []
     for x in sorted(items):
@@ -338,3 +379,22 @@ def test_text_index(spark):
         back.append(last[row])
         row = lf[row]
     assert "".join(back[::-1])[1:] + "$" == whole
+
+
+def test_rank_table_positions_and_checks(spark):
+    texts = {0: "ACGTACGA", 1: "CCGTA", 2: "ACGTAC"}
+    whole = "%".join(texts.values()) + "$"
+    chars = text_index.characters(table(spark, texts))
+    array = text_index.suffix_array(chars)
+    order = sorted(range(len(whole)), key=lambda i: whole[i:])
+    transform = text_index.bwt(array, chars)
+    last = "".join(whole[i - 1] for i in order)
+    want = {(r, c, last[:r].count(c), sum(x < c for x in last[:r])) for r in range(len(last)) for c in "$%ACGT"}
+    assert {tuple(r) for r in text_index.rank_table(transform).collect()} == want
+    for factor in (1, 4, 8):
+        found = text_index.find_positions(array.select("row"), text_index.last_to_first(transform), array.filter(f"pos % {factor} = 0"), factor)
+        assert {tuple(r) for r in found.collect()} == set(enumerate(order))
+    text_index.check_index(chars, array)
+    for bad in ((chars.filter("ch <> '$'"), array), (chars, array.filter("row > 0")), (chars, array.withColumn("pos", array["pos"] + 1)), (chars, array.replace({3: 4}, subset=["pos"]))):
+        with pytest.raises(ValueError):
+            text_index.check_index(*bad)
