@@ -12,7 +12,7 @@ what goes to the driver.
 
 Defined cases: null and empty pages have no text evidence and get the language of the other evidence, in the end
 of the host or of all pages. A null address is a host of its own (""). Without labelled documents there are no
-languages, and lang is null. Ties go to the alphabetically first language. Empty tables give empty results.
+languages, and lang is null; labelled documents without an id aren't learned from. Ties go to the alphabetically first language. Empty tables give empty results.
 Repeated rows are judged one by one. Other columns are not looked at.
 """
 
@@ -34,6 +34,8 @@ from pyspark.sql.window import Window
 from panweave.llm.common import cut, sliced, stored
 
 SAMPLE, TRIGRAMS, SMOOTH, TEMPER = 1000, 10_000, 0.5, 200
+#: How many times SAMPLE ids are looked at to find the first ones; more than one, as ids may be repeated.
+SPARE = 4
 #: Soft counts with which a host leans on its domain, a domain on all pages, and evidence on being right.
 LEAN, TRUST, OTHER = 5.0, 20.0, "other"
 
@@ -158,9 +160,12 @@ class TextModel:
 def learn(docs: DataFrame) -> TextModel:
     """A text model from at most SAMPLE labelled documents (text, lang) of each language."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("lang")).alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
-    # Spark keeps the SAMPLE first of a language in each task before the shuffle.
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("lang", "doc_id").distinct()
+    # Some SPARE times SAMPLE ids of each language come below its bound, however many documents it has; of these the first count.
+    sizes = cut(known.groupBy("lang").agg(F.count("*").alias("size")))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    low = known.select("lang", "doc_id").join(sizes, "lang").filter(place <= F.lit(float(SPARE * SAMPLE << 40)) / F.col("size")).select("lang", "doc_id").distinct()
+    first = Window.partitionBy("lang").orderBy(place, "doc_id")
+    picked = low.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("lang", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

@@ -493,6 +493,9 @@ def test_rare_languages_are_learned(spark):
     rows = [(i, "aa", " ".join(word("abcde") for _ in range(30))) for i in range(1500)] + [(9000 + i, "bb", " ".join(word("vwxyz") for _ in range(30))) for i in range(2)]
     model = language.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
     assert model.languages == ["aa", "bb"] and model.posterior("vwxyz zyxwv").argmax() == 1
+    many = [(i % 9000, "aa", f"w{chr(97 + i % 26)}") for i in range(12000)]
+    sizes = language.learn(spark.createDataFrame(many + [(1, None, "x"), (None, "cc", "yyy")], "doc_id long, lang string, text string"))
+    assert sizes.languages == ["aa"]
 
 
 def test_language_of_documents(spark):
