@@ -8,7 +8,7 @@ cluster, not all pairs. Fingerprints under a key with more than CROWD of them ar
 by another use of the same principle: two fingerprints within four bits are both within two bits of a common
 word, so each is keyed by all words within two bits and linked to the first under the same word.
 
-near_duplicates() is for whole texts: five-word shingles and a set similarity of 0.8 or more. At 0.8, fingerprints
+drop_near_duplicates() is for whole texts: five-word shingles and a set similarity of 0.8 or more. At 0.8, fingerprints
 of 64 bits differ in ten bits or so, and no choice of blocks is both sure and selective there. So its candidates
 also come from bands of minwise hashes; every candidate pair is then held against the exact similarity of the
 shingle sets. Members of a band, or of a group of close fingerprints, that this doesn't link are searched for further
@@ -17,7 +17,7 @@ pairs by an exact prefix filter.
 Defined cases: a null text counts as empty; texts without words have the fingerprint zero, and are linked like
 any others. Empty tables give empty results. Repeated rows have one fingerprint and one component; where one of
 each group stays, one row of them stays. Ties go to the smallest doc_id; a null doc_id is never the smallest
-in op9's component_id, and counts as smaller than all ids in near_duplicates(). There, rows of one id, or of none, and
+in op9's component_id, and counts as smaller than all ids in drop_near_duplicates(). There, rows of one id, or of none, and
 different texts are different documents: only equal and similar texts are dropped. Extra columns are kept there.
 """
 
