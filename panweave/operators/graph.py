@@ -4,17 +4,16 @@ A k-mer is right-maximal if more than one character follows it somewhere, left-m
 A strain is cut after each right-maximal k-mer and before each left-maximal one; the pieces between cuts are
 node occurrences, and pieces with the same last k-mer are the same node. What is left after the last cut, with the
 separator, is the strain's end node. Only branching k-mers are joined back to their places, so of all k-mers
-just the few at cuts are ever sorted by strain.
+just the few at cuts are ever sorted, by cells of their strain; and texts are cut out of blocks, not of whole strains.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from panweave.operators.ranking import cut, few_or_many, numbered
-from panweave.operators.sequences import windows
+from panweave.operators.ranking import cut, earlier, few_or_many, numbered
+from panweave.operators.sequences import long_slices, windows
 
 RIGHT, LEFT, END = "right_maximal", "pre_left_maximal", "end"
 
@@ -30,22 +29,20 @@ def segments(strains: DataFrame, k: int) -> DataFrame:
     """strain, seg_ord, seg_start (first base), last_kmer_pos, kind, omega of every node occurrence, end nodes included."""
     kmers = windows(strains, k, neighbours=True)
     flagged = kmers.select("strain", "pos", "gram").join(few_or_many(branching(kmers)), "gram")
-    cuts = flagged.select("strain", F.explode(F.array(
+    cuts = cut(flagged.select("strain", F.explode(F.array(
         F.struct(F.when(F.col("rm"), F.col("pos")).alias("cut"), F.lit(True).alias("rm")),
         F.struct(F.when(F.col("lm") & (F.col("pos") > 0), F.col("pos") - 1).alias("cut"), F.lit(False).alias("rm")),
-    )).alias("c")).select("strain", "c.cut", "c.rm").filter("cut is not null").groupBy("strain", "cut").agg(F.max("rm").alias("rm"))
-    ordered = Window.partitionBy("strain").orderBy("cut")
-    start = F.coalesce(F.lag("cut").over(ordered) + 1, F.lit(0))
-    closed = cuts.select("strain", (F.row_number().over(ordered) - 1).alias("seg_ord"), start.alias("seg_start"), F.col("cut").alias("last_kmer_pos"), F.when(F.col("rm"), RIGHT).otherwise(LEFT).alias("kind"))
+    )).alias("c")).select("strain", "c.cut", "c.rm").filter("cut is not null").groupBy("strain", "cut").agg(F.max("rm").alias("rm")))
+    start = F.coalesce(F.col("_last") + 1, F.lit(0).cast("long"))
+    closed = earlier(cuts, ["strain"], "cut", "cut").select("strain", F.col("_before").alias("seg_ord"), start.alias("seg_start"), F.col("cut").alias("last_kmer_pos"), F.when(F.col("rm"), RIGHT).otherwise(LEFT).alias("kind"))
     tails = cuts.groupBy("strain").agg(F.max("cut").alias("cut"), F.count("*").cast("int").alias("n"))
     ends = strains.select("strain", "len").join(tails, "strain", "left").select(
         "strain", F.coalesce("n", F.lit(0)).alias("seg_ord"), (F.coalesce("cut", F.lit(-1)) + 1).alias("seg_start"), (F.col("len") - k + 1).alias("last_kmer_pos"), F.lit(END).alias("kind"),
     )
-    placed = closed.unionByName(ends).join(strains.select("strain", F.col("seq").cast("binary").alias("seq")), "strain")
-    size = (F.col("last_kmer_pos") + k - F.col("seg_start")).cast("int")
-    text = F.substring("seq", (F.col("seg_start") + 1).cast("int"), size).cast("string")
+    size = F.col("last_kmer_pos") + k - F.col("seg_start")
+    placed = long_slices(cut(closed.unionByName(ends)).withColumn("begin", F.col("seg_start")).withColumn("size", size), strains)
     # An end node's text has the separator in place of its last character.
-    omega = F.when(F.col("kind") == END, F.concat(text, F.lit("%"))).otherwise(text)
+    omega = F.when(F.col("kind") == END, F.concat("text", F.lit("%"))).otherwise(F.col("text"))
     return placed.select("strain", F.col("seg_ord").cast("int").alias("seg_ord"), "seg_start", "last_kmer_pos", "kind", omega.alias("omega"))
 
 
@@ -75,8 +72,9 @@ class Graph:
     @property
     def steps(self) -> DataFrame:
         """src, dst and strain of every step from a node occurrence to the next one."""
-        follows = Window.partitionBy("strain").orderBy("seg_ord")
-        return self.node_occ.select("strain", F.col("node_id").alias("src"), F.lead("node_id").over(follows).alias("dst")).filter("dst is not null")
+        here = self.node_occ.select("strain", "seg_ord", F.col("node_id").alias("src"))
+        there = self.node_occ.select("strain", (F.col("seg_ord") - 1).alias("seg_ord"), F.col("node_id").alias("dst"))
+        return here.join(there, ["strain", "seg_ord"]).select("strain", "src", "dst")
 
     @property
     def edges(self) -> DataFrame:

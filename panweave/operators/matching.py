@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from panweave.functions.dna import hamming
 from panweave.operators import schemes
-from panweave.operators.ranking import few_or_many
+from panweave.operators.ranking import cut, earlier, few_or_many
 from panweave.operators.sequences import slices, windows
 
 #: Lengths of words that seeds are cut to.
@@ -228,11 +228,18 @@ def fold(items, k: int):
 def dedup_positions(found: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     """Matches at text positions, best per begin, without those made redundant by a better one near.
 
-    starts: strain and start. A read whose matches all are one and the same string keeps them all."""
-    placed = best_per_begin(found).join(starts.select("strain", "start"), "strain")
-    item = F.struct((F.col("start") + F.col("begin")).alias("position"), "ed", "length", "strain", "begin")
-    strings = found.groupBy("read_id", "rc").agg(F.min("matched").alias("m0"), F.max("matched").alias("m1"))
-    groups = placed.groupBy("read_id", "rc").agg(F.array_sort(F.collect_list(item)).alias("items")).join(strings, ["read_id", "rc"])
+    starts: strain and start. A read whose matches all are one and the same string keeps them all. Where neighbours are more
+    than 2k apart, what came before doesn't matter; so only runs of close matches, never all of a read, meet in an array."""
+    keys = ["read_id", "rc"]
+    best = found.groupBy(*keys, "strain", "begin").agg(F.min(F.struct("ed", "length", "matched")).alias("best"), F.min("matched").alias("m0"), F.max("matched").alias("m1"))
+    placed = best.join(starts.select("strain", "start"), "strain").select(*keys, "strain", "begin", (F.col("start") + F.col("begin")).alias("position"), "best.ed", "best.length", "m0", "m1")
+    placed = cut(placed)
+    strings = few_or_many(placed.groupBy(*keys).agg(F.min("m0").alias("m0"), F.max("m1").alias("m1")))
+    apart = F.coalesce(F.col("position") - F.col("_last") > 2 * k, F.lit(True))
+    opened = cut(earlier(placed.drop("m0", "m1"), keys, "position", "position").withColumn("run", F.when(apart, F.col("position"))).drop("_last", "_before"))
+    runs = earlier(opened, keys, "position", "run").withColumn("run", F.coalesce("run", "_last"))
+    item = F.struct("position", "ed", "length", "strain", "begin")
+    groups = runs.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(item)).alias("items")).join(strings, keys)
     empty = F.slice("items", 1, 0)
     kept = F.when(F.col("m0") == F.col("m1"), F.col("items")).otherwise(F.aggregate("items", empty, fold("items", k)))
     return groups.select("read_id", "rc", F.inline(kept)).select("read_id", "rc", "strain", "begin", "position", "length", "ed")

@@ -51,6 +51,22 @@ def prefix_sums(rows: DataFrame, value: str, order: str, *, bucket: int = 1 << 1
     return inside.join(offsets, "_cell").withColumn("before", F.col("_offset") + F.col("_inside")).drop("_cell", "_inside", "_offset")
 
 
+def earlier(rows: DataFrame, keys: list[str], order: str, value: str, *, width: int = 1 << 16) -> DataFrame:
+    """``rows`` with _last, the greatest ``value`` among rows of the same keys and smaller ``order`` (distinct whole numbers),
+    null if there is none, and _before, the number of those rows.
+
+    In two levels, as prefix_sums(): cells of ``width`` numbers, then one summary of each cell, so that a key with very many
+    rows isn't a single task's work. ``rows`` are read twice and should be stored."""
+    cells = rows.withColumn("_cell", F.floor(F.col(order) / width))
+    up_to = lambda *by, within: Window.partitionBy(*within).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    inside, across = up_to(order, within=[*keys, "_cell"]), up_to("_cell", within=keys)
+    sums = cells.groupBy(*keys, "_cell").agg(F.max(value).alias("_max"), F.count("*").alias("_n"))
+    carried = sums.select(*keys, "_cell", F.max("_max").over(across).alias("_carried"), F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_offset"))
+    placed = cells.withColumn("_last", F.max(value).over(inside)).withColumn("_before", F.count("*").over(inside)).join(carried, [*keys, "_cell"])
+    found = placed.withColumn("_last", F.greatest("_last", "_carried")).withColumn("_before", F.col("_before") + F.col("_offset"))
+    return found.drop("_cell", "_carried", "_offset")
+
+
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     """``df`` with its rank by ``order``, from 0. Rows are range-partitioned and sorted; only the partitions' sizes
     meet in one place. Ties get any order, so ``order`` should be a key."""

@@ -441,12 +441,11 @@ def visualize_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT {Q._INTS} FROM beside WHERE NOT coalesce(lb = begin - 1 AND l < ed, false) AND NOT coalesce(rb = begin + 1 AND r < ed, false)""")
 def local_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches that no match at the next place to either side beats."""
-    from pyspark.sql.window import Window
-
-    best = Q.M.best_per_begin(Q._edit(spark, sf_dir))
-    w = Window.partitionBy("read_id", "rc", "strain").orderBy("begin")
-    beaten = lambda f, d: F.coalesce((f("begin").over(w) == F.col("begin") + d) & (f("ed").over(w) < F.col("ed")), F.lit(False))
-    return best.withColumn("b0", beaten(F.lag, -1)).withColumn("b1", beaten(F.lead, 1)).filter("not b0 and not b1").select(*Q.COLUMNS)
+    best = cut(Q.M.best_per_begin(Q._edit(spark, sf_dir)))
+    keys = ["read_id", "rc", "strain", "begin"]
+    beside = best.select(*keys[:3], F.explode(F.array(F.col("begin") - 1, F.col("begin") + 1)).alias("begin"), "ed")
+    rival = beside.groupBy(*keys).agg(F.min("ed").alias("rival"))
+    return best.join(rival, keys, "left").filter("rival is null or rival >= ed").select(*Q.COLUMNS)
 
 
 @query(f"WITH {V.values_sql()} SELECT CAST(k AS INTEGER) AS k, CAST(search_no AS INTEGER) AS search_no, " + ", ".join(f"array_to_string({c}, ',') AS {c}" for c in ("ord", "lo", "hi")) + " FROM scheme WHERE scheme = 'kuch_k+2'")

@@ -5,7 +5,7 @@ from itertools import product
 
 import pytest
 
-from panweave.operators import matching, paths, schemes, sequences, subgraph, text_index, walks
+from panweave.operators import matching, paths, ranking, schemes, sequences, subgraph, text_index, walks
 from panweave.operators.graph import Graph
 
 TOY = {0: "ACGTACGGTTACGATTACAGGACT", 1: "ACGTACGGTTCCGATTACAGGACG", 2: "ACGTACGGTTACGATTTACAGGAAA"}
@@ -75,6 +75,58 @@ def test_short_strain_has_only_an_end_node(spark):
     assert [(r["kind"], r["seg_start"]) for r in occ] == [("end", 0)]
 
 
+def test_one_long_strain(spark, monkeypatch):
+    """A strain of many blocks and cells: nodes spell it, and their texts come from several blocks."""
+    rng = random.Random(7)
+    part = "".join(rng.choice("ACGT") for _ in range(300))
+    strains = {0: part + "".join(rng.choice("ACGT") for _ in range(2500)) + part, 1: "ACGTTGCAACGG"}
+    monkeypatch.setattr(sequences, "BLOCK", 64)
+    monkeypatch.setitem(sequences.long_slices.__kwdefaults__, "width", 16)
+    monkeypatch.setitem(ranking.earlier.__kwdefaults__, "width", 32)
+    test_graph(spark, strains, 6)
+    test_graph(spark, {0: strains[0][:640], 1: strains[0][2176:]}, 12)
+
+
+def test_texts_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "BLOCK", 8)
+    strains = {0: "ACGTACGGTTACGATTACAGGACTACGT", 1: "ACGTTGCA"}
+    wanted = [(i, b, n) for i, s in strains.items() for b in range(len(s) + 1) for n in (1, 3, 8, 9, 17, 28) if b + n <= len(s) + 1]
+    frame = spark.createDataFrame([(at, i, b, n) for at, (i, b, n) in enumerate(wanted)], "number long, strain long, begin long, size long")
+    for width in (1, 4, 1024):
+        got = {r["number"]: r["text"] for r in sequences.long_slices(frame, table(spark, strains), width=width).collect()}
+        assert got == {at: strains[i][b : b + n] for at, (i, b, n) in enumerate(wanted)}
+
+
+def test_earlier_rows(spark):
+    rng = random.Random(3)
+    rows = [(g, at, rng.choice([None, *range(20)])) for g in (0, 1) for at in rng.sample(range(200), 60)]
+    got = {(r["g"], r["at"]): (r["_last"], r["_before"]) for r in ranking.earlier(spark.createDataFrame(rows, "g int, at long, v int"), ["g"], "at", "v", width=8).collect()}
+    for g, at, _ in rows:
+        before = [v for h, b, v in rows if h == g and b < at]
+        assert got[g, at] == (max((v for v in before if v is not None), default=None), len(before))
+    assert ranking.earlier(spark.createDataFrame([], "g int, at long, v int"), ["g"], "at", "v").isEmpty()
+
+
+def test_redundant_positions_of_one_read(spark, monkeypatch):
+    """All matches are one read's; runs end and begin anywhere, cells' ends included."""
+    monkeypatch.setitem(ranking.earlier.__kwdefaults__, "width", 8)
+    rng, k = random.Random(5), 2
+    begins = sorted(rng.sample(range(600), 150))
+    rows = [(1, 0, 0, b, rng.randint(6, 10), rng.randint(0, 2), rng.choice("ACGT") * 4) for b in begins]
+    found = spark.createDataFrame(rows, "read_id long, rc int, strain long, begin long, length int, ed int, matched string")
+    starts = spark.createDataFrame([(0, 1000)], "strain long, start long")
+    kept = []
+    for _, _, _, b, n, e, _ in rows:
+        if not kept or b - kept[-1][0] > 2 * k:
+            kept.append((b, e, n))
+        elif (e, n) < kept[-1][1:]:
+            kept[-1] = (b, e, n)
+    got = matching.dedup_positions(found, starts, k).orderBy("begin").collect()
+    assert [(r["begin"], r["ed"], r["length"]) for r in got] == kept and all(r["position"] == 1000 + r["begin"] for r in got)
+    same = found.selectExpr("read_id", "rc", "strain", "begin", "length", "ed", "'ACGT' AS matched")
+    assert matching.dedup_positions(same, starts, k).count() == len(rows)
+
+
 def test_windows_cross_blocks(spark, monkeypatch):
     monkeypatch.setattr(sequences, "BLOCK", 7)
     rng = random.Random(1)
