@@ -32,12 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
 FEW = 200_000
 
 
-def few_or_many(df: DataFrame, rows: int = FEW) -> DataFrame:
-    """``df`` stored, and marked for broadcasting if it is counted to have no more than ``rows`` rows.
+def few_or_many(df: DataFrame, rows: int = FEW, *, stored: bool = False) -> DataFrame:
+    """``df`` stored (if it isn't yet), and marked for broadcasting if it is counted to have no more than ``rows`` rows.
 
     The other side of a join is often the whole text; then it needn't be shuffled. With more rows, the join shuffles
     both sides, and Spark may split what a hot key gets."""
-    kept = cut(df)
+    kept = df if stored else cut(df)
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 

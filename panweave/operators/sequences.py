@@ -39,29 +39,31 @@ def blocks(strains: DataFrame, width: int, *, margin: int = 1) -> DataFrame:
     return cut.select("strain", "len", "at", lead.cast("int").alias("lead"), F.substring("seq", (F.col("at") - lead + 1).cast("int"), (lead + BLOCK + width - 1 + margin).cast("int")).alias("block"))
 
 
-def slices(wanted: DataFrame, strains: DataFrame, width: int) -> DataFrame:
+def slices(wanted: DataFrame, strains: DataFrame, width: int, *, stored: bool = False) -> DataFrame:
     """``wanted`` (with strain, begin and size up to ``width``) with the text there; clipped at the strain's end.
 
     Strains are joined as blocks, so a row never carries a whole strain."""
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("len"), F.lit(BLOCK).cast("long")))
     parts = strains.filter("len > 0").select("strain", "len", F.col("seq").cast("binary").alias("seq"), begin.alias("_at"))
     parts = parts.select("strain", "len", "_at", F.substring("seq", (F.col("_at") + 1).cast("int"), F.lit(BLOCK + width)).alias("_block"))
-    joined = parts.join(few_or_many(wanted.withColumn("_at", F.col("begin") - F.col("begin") % BLOCK)), ["strain", "_at"])
+    joined = parts.join(few_or_many(wanted.withColumn("_at", F.col("begin") - F.col("begin") % BLOCK), stored=stored), ["strain", "_at"])
     text = F.substring("_block", (F.col("begin") - F.col("_at") + 1).cast("int"), F.col("size").cast("int")).cast("string")
     return joined.withColumn("text", text).drop("_at", "_block")
 
 
 def long_slices(wanted: DataFrame, strains: DataFrame, *, width: int = 1 << 10) -> DataFrame:
-    """``wanted`` (with strain, begin and size; its rows distinct) with the text there, of any length.
+    """``wanted`` (a stored table with strain, begin and size; its rows distinct) with the text there, of any length.
 
     What is longer than ``width`` is cut out of each block that it touches, and its pieces are joined."""
-    short = slices(wanted.filter(F.col("size") <= width), strains, width).select(*wanted.columns, "text")
+    short = slices(wanted.filter(F.col("size") <= width), strains, width, stored=True).select(*wanted.columns, "text")
+    if (long := wanted.filter(F.col("size") > width)).isEmpty():
+        return short
     start, end = F.col("begin"), F.col("begin") + F.col("size")
     at = F.explode(F.sequence(start - start % BLOCK, end - 1 - (end - 1) % BLOCK, F.lit(BLOCK).cast("long")))
-    touched = wanted.filter(F.col("size") > width).select(F.struct(*wanted.columns).alias("_whole"), "strain", start.alias("_from"), end.alias("_to"), at.alias("_block_at"))
+    touched = long.select(F.struct(*wanted.columns).alias("_whole"), "strain", start.alias("_from"), end.alias("_to"), at.alias("_block_at"))
     begin = F.greatest("_from", "_block_at")
     pieces = touched.select("_whole", "strain", begin.alias("begin"), (F.least(F.col("_to"), F.col("_block_at") + BLOCK) - begin).alias("size"))
-    cuts = slices(pieces, strains, 0).groupBy("_whole").agg(F.array_sort(F.collect_list(F.struct("begin", "text"))).alias("_pieces"))
+    cuts = slices(pieces, strains, 0, stored=True).groupBy("_whole").agg(F.array_sort(F.collect_list(F.struct("begin", "text"))).alias("_pieces"))
     return short.unionByName(cuts.select("_whole.*", F.array_join("_pieces.text", "").alias("text")))
 
 
