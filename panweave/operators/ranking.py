@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,13 +42,25 @@ def few_or_many(df: DataFrame, rows: int = FEW, *, stored: bool = False) -> Data
 
 
 def prefix_sums(rows: DataFrame, value: str, order: str, *, bucket: int = 1 << 16) -> DataFrame:
-    """``rows`` with before: the sum of ``value`` over rows of smaller ``order`` (numbers from 0), in two levels."""
-    cells = rows.withColumn("_cell", F.floor(F.col(order) / bucket))
+    """``rows`` with before: the sum of ``value`` over rows of smaller ``order`` (distinct numbers from 0)."""
+    return all_prefix_sums(rows, {"before": F.col(value)}, order, bucket=bucket)
+
+
+def all_prefix_sums(rows: DataFrame, values: dict[str, Column], order: str, *, bucket: int = 1 << 16) -> DataFrame:
+    """``rows`` with, under each name, the sum of the value over rows of smaller ``order`` (distinct numbers from 0).
+
+    In three levels: cells of ``bucket`` numbers, blocks of ``bucket`` cells, and the blocks, which alone meet in one task.
+    ``rows`` are read twice."""
     up_to = lambda *keys, by: (Window.partitionBy(*keys) if keys else Window).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    sums = cells.groupBy("_cell").agg(F.sum(value).alias("_sum"))
-    offsets = sums.select("_cell", F.coalesce(F.sum("_sum").over(up_to(by="_cell")), F.lit(0)).alias("_offset"))
-    inside = cells.withColumn("_inside", F.coalesce(F.sum(value).over(up_to("_cell", by=order)), F.lit(0)))
-    return inside.join(offsets, "_cell").withColumn("before", F.col("_offset") + F.col("_inside")).drop("_cell", "_inside", "_offset")
+    running = lambda prefix, window: {f"{prefix}{n}": F.coalesce(F.sum(f"_of_{n}").over(window), F.lit(0)) for n in values}
+    total = [F.sum(f"_of_{n}").alias(f"_of_{n}") for n in values]
+    cells = rows.withColumns({f"_of_{n}": v for n, v in values.items()}).withColumn("_cell", F.floor(F.col(order) / bucket))
+    sums = cells.groupBy("_cell").agg(*total).withColumn("_block", F.floor(F.col("_cell") / bucket))
+    blocks = sums.groupBy("_block").agg(*total).withColumns(running("_first_", up_to(by="_block"))).drop(*(f"_of_{n}" for n in values))
+    offsets = sums.withColumns(running("_offset_", up_to("_block", by="_cell"))).drop(*(f"_of_{n}" for n in values)).join(blocks, "_block")
+    placed = cells.withColumns(running("_inside_", up_to("_cell", by=order))).join(offsets, "_cell")
+    out = placed.withColumns({n: F.col(f"_first_{n}") + F.col(f"_offset_{n}") + F.col(f"_inside_{n}") for n in values})
+    return out.drop("_cell", "_block", *(f"_{part}_{n}" for n in values for part in ("of", "first", "offset", "inside")))
 
 
 def earlier(rows: DataFrame, keys: list[str], order: str, value: str, *, width: int = 1 << 16) -> DataFrame:

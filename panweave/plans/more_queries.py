@@ -231,56 +231,74 @@ def map_strain_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Index views, over the passages of ``benchmark``
+# Index views, over all strains
 
-
-def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.strains_of(T.table(spark, sf_dir, "benchmark"), 1, id_column="item_id")
+#: Doublings that the SQL makes: it compares 2^17 characters, more than any repeat of the tables that it is run on.
+DOUBLINGS = 13
 
 
 def _text_sql(turned: bool = False) -> str:
-    text = "string_agg(seq, '%' ORDER BY strain)"
-    text = f"reverse({text}) || '$'" if turned else f"{text} || '$'"
-    return f"""whole AS MATERIALIZED (SELECT {text} AS t FROM (SELECT item_id AS strain, {O.dna('text')} AS seq FROM benchmark) WHERE seq <> ''),
-suffixes AS MATERIALIZED (SELECT row_number() OVER (ORDER BY s) - 1 AS row, pos, s FROM (SELECT pos, t[pos + 1 : len(t)] AS s FROM (SELECT t, unnest(range(len(t))) AS pos FROM whole))),
-transform AS MATERIALIZED (SELECT row, CASE WHEN pos = 0 THEN '$' ELSE t[pos : pos] END AS ch FROM suffixes, whole)"""
+    seq, order = ("reverse(seq)", "strain DESC") if turned else ("seq", "strain")
+    key = " || ".join(["ch", *(f"coalesce(lead(ch, {i}) OVER w, '')" for i in range(1, 16))])
+    steps = [f"""s{i + 1} AS MATERIALIZED (SELECT pos, rank() OVER (ORDER BY r, next) - 1 AS r FROM (SELECT pos, r, coalesce(lead(r, {16 << i}) OVER (ORDER BY pos), -1) AS next FROM s{i}))""" for i in range(DOUBLINGS)]
+    return f"""texts AS MATERIALIZED (SELECT number, seq || CASE WHEN number = max(number) OVER () THEN '$' ELSE '%' END AS seq
+  FROM (SELECT row_number() OVER (ORDER BY {order}) AS number, {seq} AS seq FROM (SELECT doc_id AS strain, {O.dna('text')} AS seq FROM documents) WHERE seq <> '')),
+characters AS MATERIALIZED (SELECT row_number() OVER (ORDER BY number, i) - 1 AS pos, ch FROM (SELECT number, unnest(string_split(seq, '')) AS ch, generate_subscripts(string_split(seq, ''), 1) AS i FROM texts)),
+s0 AS MATERIALIZED (SELECT pos, rank() OVER (ORDER BY key) - 1 AS r FROM (SELECT pos, {key} AS key FROM characters WINDOW w AS (ORDER BY pos))),
+{", ".join(steps)},
+suffixes AS MATERIALIZED (SELECT r AS row, pos FROM s{DOUBLINGS}),
+transform AS MATERIALIZED (SELECT row, before AS ch FROM suffixes JOIN (SELECT pos, coalesce(lag(ch) OVER (ORDER BY pos), '$') AS before FROM characters) USING (pos))"""
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.strains(spark, sf_dir, 1)
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the text and its suffix array, both stored; for each folder built once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        while len(_indexes) >= 4:
+            _indexes.pop(next(iter(_indexes)))
+        blocks = cut(X.text_blocks(_texts(spark, sf_dir)))
+        _indexes[key] = blocks, cut(X.suffix_array(blocks))
+    return _indexes[key]
+
+
+def _transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, array = _index(spark, sf_dir)
+    return X.bwt(array, X.characters(blocks))
 
 
-def _chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(X.characters(_passages(spark, sf_dir)))
+_indexes: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 @query(f"WITH {_text_sql()} SELECT row, pos FROM suffixes")
 def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.suffix_array(_chars(spark, sf_dir))
+    return _index(spark, sf_dir)[1]
 
 
 @query(f"WITH {_text_sql()} SELECT row, ch FROM transform")
 def bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = _chars(spark, sf_dir)
-    return X.bwt(X.suffix_array(chars), chars)
+    return _transform(spark, sf_dir)
 
 
 @query(f"WITH {_text_sql(True)} SELECT row, ch FROM transform")
 def rev_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transform of the reversed text, its end mark last."""
-    chars = _chars(spark, sf_dir)
-    n = chars.agg(F.count("*").alias("n"))
-    turned = chars.crossJoin(F.broadcast(n)).select(F.when(F.col("ch") == "$", F.col("pos")).otherwise(F.col("n") - 2 - F.col("pos")).alias("pos"), "ch")
-    turned = cut(turned)
-    return X.bwt(X.suffix_array(turned), turned)
+    turned = _texts(spark, sf_dir).select((-F.col("strain")).alias("strain"), F.reverse("seq").alias("seq"))
+    blocks = cut(X.text_blocks(turned))
+    return X.bwt(X.suffix_array(blocks), X.characters(blocks))
 
 
 @query(f"WITH {_text_sql()} SELECT row, ch, CAST(row_number() OVER (PARTITION BY ch ORDER BY row) - 1 AS BIGINT) AS occ FROM transform")
 def bwt_occ(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = _chars(spark, sf_dir)
-    return X.occurrences(cut(X.bwt(X.suffix_array(chars), chars)))
+    return X.occurrences(cut(_transform(spark, sf_dir)))
 
 
 @query(f"WITH {_text_sql()} SELECT row, CAST(row_number() OVER (ORDER BY ch, row) - 1 AS BIGINT) AS lf FROM transform")
 def lf_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = _chars(spark, sf_dir)
-    return X.last_to_first(cut(X.bwt(X.suffix_array(chars), chars)))
+    return X.last_to_first(cut(_transform(spark, sf_dir)))
 
 
 SPARSE = 16
@@ -288,34 +306,33 @@ SPARSE = 16
 
 @query(f"WITH {_text_sql()} SELECT row, pos FROM suffixes WHERE pos % {SPARSE} = 0")
 def sparse_sa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.suffix_array(_chars(spark, sf_dir)).filter(F.col("pos") % SPARSE == 0)
+    return _index(spark, sf_dir)[1].filter(F.col("pos") % SPARSE == 0)
 
 
 LCP_K = 8
 
 
-@query(f"""WITH {_text_sql()} SELECT row, CASE WHEN above IS NULL THEN 0 WHEN left(s, {LCP_K + 1}) = left(above, {LCP_K + 1}) THEN 2 WHEN left(s, {LCP_K}) = left(above, {LCP_K}) THEN 1 ELSE 0 END AS "class"
-  FROM (SELECT row, s, lag(s) OVER (ORDER BY row) AS above FROM suffixes)""")
+@query(f"""WITH {_text_sql()}, starts AS (SELECT pos, string_agg(ch, '') OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND {LCP_K} FOLLOWING) AS s FROM characters)
+SELECT row, CASE WHEN above IS NULL THEN 0 WHEN s = above THEN 2 WHEN left(s, {LCP_K}) = left(above, {LCP_K}) THEN 1 ELSE 0 END AS "class"
+  FROM (SELECT row, s, lag(s) OVER (ORDER BY row) AS above FROM suffixes JOIN starts USING (pos))""")
 def lcp_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = _chars(spark, sf_dir)
-    return X.lcp_classes(X.suffix_array(chars), X.grams(chars, LCP_K + 1), LCP_K)
+    blocks, array = _index(spark, sf_dir)
+    return X.lcp_classes(array, X.grams(blocks, LCP_K + 1), LCP_K)
 
 
 @query(f"""WITH {_text_sql()}, letters AS (SELECT unnest(['$', '%', 'A', 'C', 'G', 'T']) AS ch),
 above AS (SELECT t.row, l.ch, CAST(coalesce(sum(CASE WHEN t.ch = l.ch THEN 1 ELSE 0 END) OVER (PARTITION BY l.ch ORDER BY t.row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS occ FROM transform t, letters l)
 SELECT row, ch, occ, CAST(coalesce(sum(occ) OVER (PARTITION BY row ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum_occ FROM above""")
 def bwt_rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = _chars(spark, sf_dir)
-    return X.rank_table(cut(X.bwt(X.suffix_array(chars), chars)))
+    return X.rank_table(cut(_transform(spark, sf_dir)))
 
 
 @query(f"WITH {_text_sql()} SELECT row, pos FROM suffixes")
 def find_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places of all rows from the sampled ones, by walks through the transform."""
-    chars = _chars(spark, sf_dir)
-    array = cut(X.suffix_array(chars))
-    X.check_index(chars, array)
-    lf = cut(X.last_to_first(cut(X.bwt(array, chars))))
+    blocks, array = _index(spark, sf_dir)
+    X.check_index(X.characters(blocks), array)
+    lf = cut(X.last_to_first(cut(_transform(spark, sf_dir))))
     return X.find_positions(array.select("row"), lf, array.filter(F.col("pos") % SPARSE == 0), SPARSE)
 
 

@@ -4,6 +4,7 @@ import random
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from panweave.operators import matching, paths, ranking, schemes, sequences, subgraph, text_index, walks
 from panweave.operators.graph import Graph
@@ -417,9 +418,10 @@ def test_text_index(spark):
     texts = {i: "".join(rng.choices("AC", k=n)) for i, n in enumerate((30, 1, 45, 30))}
     texts[3] = texts[0]
     whole = "%".join(texts.values()) + "$"
-    chars = text_index.characters(table(spark, texts))
+    blocks = text_index.text_blocks(table(spark, texts))
+    chars = text_index.characters(blocks)
     assert "".join(r["ch"] for r in chars.orderBy("pos").collect()) == whole
-    array = text_index.suffix_array(chars)
+    array = text_index.suffix_array(blocks)
     want = sorted(range(len(whole)), key=lambda i: whole[i:])
     assert [r["pos"] for r in array.orderBy("row").collect()] == want
     transform = text_index.bwt(array, chars)
@@ -436,8 +438,9 @@ def test_text_index(spark):
 def test_rank_table_positions_and_checks(spark):
     texts = {0: "ACGTACGA", 1: "CCGTA", 2: "ACGTAC"}
     whole = "%".join(texts.values()) + "$"
-    chars = text_index.characters(table(spark, texts))
-    array = text_index.suffix_array(chars)
+    blocks = text_index.text_blocks(table(spark, texts))
+    chars = text_index.characters(blocks)
+    array = text_index.suffix_array(blocks)
     order = sorted(range(len(whole)), key=lambda i: whole[i:])
     transform = text_index.bwt(array, chars)
     last = "".join(whole[i - 1] for i in order)
@@ -450,3 +453,35 @@ def test_rank_table_positions_and_checks(spark):
     for bad in ((chars.filter("ch <> '$'"), array), (chars, array.filter("row > 0")), (chars, array.withColumn("pos", array["pos"] + 1)), (chars, array.replace({3: 4}, subset=["pos"]))):
         with pytest.raises(ValueError):
             text_index.check_index(*bad)
+
+
+def test_text_index_over_blocks(spark, monkeypatch):
+    """Texts that end at, before and after the edges of blocks, copies, long runs, empty texts."""
+    rng, b = random.Random(7), 64
+    monkeypatch.setattr(text_index, "BLOCK", b)
+    base = "".join(rng.choices("ACGT", k=2 * b + 5))
+    texts = {1: base[: b - 1], 4: "", 5: base[:b], 7: "G" * 150, 8: base, 9: base[3:], 12: "C"}
+    whole = "%".join(t for t in texts.values() if t) + "$"
+    blocks = text_index.text_blocks(table(spark, texts))
+    assert [len(r["chunk"]) for r in blocks.orderBy("block").collect()] == [b] * (len(whole) // b) + [len(whole) % b]
+    assert "".join(r["ch"] for r in text_index.characters(blocks).orderBy("pos").collect()) == whole
+    want = sorted(range(len(whole)), key=lambda i: whole[i:])
+    array = ranking.cut(text_index.suffix_array(blocks))
+    assert [r["pos"] for r in array.orderBy("row").collect()] == want
+    assert {tuple(r) for r in text_index.grams(blocks, 9).collect()} == {(i, whole[i : i + 9]) for i in range(len(whole))}
+    classes = {r["row"]: r["class"] for r in text_index.lcp_classes(array, text_index.grams(blocks, 9), 8).collect()}
+    share = lambda i, n: i > 0 and whole[want[i] :][:n] == whole[want[i - 1] :][:n]
+    assert classes == {i: 2 if share(i, 9) else 1 if share(i, 8) else 0 for i in range(len(want))}
+
+
+def test_text_index_of_nothing(spark):
+    rows = spark.createDataFrame([(1, ""), (2, None)], "strain long, seq string")
+    blocks = text_index.text_blocks(rows)
+    assert blocks.isEmpty() and text_index.suffix_array(blocks).isEmpty()
+
+
+def test_prefix_sums_in_three_levels(spark):
+    rows = spark.range(500).selectExpr("id", "id % 7 AS a", "-id AS b")
+    got = ranking.all_prefix_sums(rows, {"x": F.col("a"), "y": F.col("b")}, "id", bucket=4)
+    assert got.columns == ["id", "a", "b", "x", "y"]
+    assert [(r["x"], r["y"]) for r in got.orderBy("id").collect()] == [(sum(j % 7 for j in range(i)), -sum(range(i))) for i in range(500)]
