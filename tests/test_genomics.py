@@ -6,8 +6,8 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from panweave.operators import matching, paths, ranking, schemes, sequences, subgraph, text_index, walks
-from panweave.operators.graph import Graph
+from panweave.operators import junctions, matching, paths, ranking, schemes, sequences, subgraph, text_index, walks
+from panweave.operators.graph import Graph, maximal
 
 TOY = {0: "ACGTACGGTTACGATTACAGGACT", 1: "ACGTACGGTTCCGATTACAGGACG", 2: "ACGTACGGTTACGATTTACAGGAAA"}
 TAILS = {0: "AACCGGTTA", 1: "TTCCGGTTA"}
@@ -88,6 +88,37 @@ def test_one_long_strain(spark, monkeypatch):
     test_graph(spark, {0: strains[0][:640], 1: strains[0][2176:]}, 12)
 
 
+def test_graph_by_small_cells_and_runs(spark, monkeypatch):
+    """Strains over many cells, some without a cut; buckets and rows in many pieces."""
+    for name, value in {"CELL_BITS": 8, "BUCKET": 64, "PIECE": 32, "CHUNK": 200, "ROW": 8, "RUN": 5}.items():
+        monkeypatch.setattr(junctions, name, value)
+    monkeypatch.setattr(sequences, "BLOCK", 64)
+    rng = random.Random(11)
+    part, long = ("".join(rng.choices("ACGT", k=n)) for n in (150, 1500))
+    test_graph(spark, {5: part + long + part, 2: long[400:1300], 9: part[:100] + "ACGT", 7: "ACGTTGCAACGG"}, 11)
+    test_graph(spark, {0: part * 3, 1: part[20:120], 3: "AAAAAAAAAAAAAAAAAAAAAAAAAAAA"}, 5)
+
+
+@pytest.mark.parametrize(("odd", "k"), [("N", 5), ("", 33)])
+def test_graph_of_other_letters_and_long_kmers(spark, odd, k):
+    rng = random.Random(5)
+    part = "".join(rng.choices("ACGT", k=70))
+    test_graph(spark, {0: part + odd + "ACGTA", 1: "C" + part[:60] + odd + "T", 2: part[10:]}, k)
+
+
+@pytest.mark.parametrize("k", [2, 4, 7])
+def test_maximal_kmers(spark, k):
+    strains = {3: "ACGTACGTTGCACGT", 8: "ACGTACGTTGCA", 9: "TTTTTTTTT", 12: "GCACGTACG"}
+    sides = {True: {}, False: {}}
+    for i, s in strains.items():
+        for p in range(len(s) - k + 1):
+            sides[True].setdefault(s[p : p + k], []).append(s[p + k] if p + k < len(s) else f"%{i}")
+            sides[False].setdefault(s[p : p + k], []).append(s[p - 1] if p else "$" if i == 3 else "%")
+    for right, found in sides.items():
+        got = {r["kmer"]: (r["n"], r["n_sides"]) for r in maximal(table(spark, strains), k, right).collect()}
+        assert got == {g: (len(x), len(set(x))) for g, x in found.items() if len(set(x)) > 1}
+
+
 def test_texts_of_any_length(spark, monkeypatch):
     monkeypatch.setattr(sequences, "BLOCK", 8)
     strains = {0: "ACGTACGGTTACGATTACAGGACTACGT", 1: "ACGTTGCA"}
