@@ -336,6 +336,23 @@ def test_paths_strains_and_sets(spark, monkeypatch):
     assert {r["word"]: r["nodes"] for r in paths.nodes_under_k(words, graph).collect()} == {w: v for w, v in want.items() if v}
 
 
+@pytest.fixture
+def unasked(spark):
+    """Nothing is broadcast that the code doesn't ask for, as with large tables."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_few_matches_leave_the_occurrences_unshuffled(spark, unasked):
+    graph = Graph(table(spark, TOY), 4)
+    found = spark.createDataFrame([(0, 2, 9), (2, 0, 13)], "strain long, begin long, length int")
+    met = paths.node_paths(found, graph)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 2 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_subgraph(spark):
     graph = Graph(table(spark, TOY), 4)
     edges = {(r["src"], r["dst"]) for r in graph.edges.collect()}
