@@ -366,6 +366,18 @@ def test_few_nodes_leave_the_edges_unshuffled(spark, unasked, monkeypatch):
     assert rows.count() and plan.count("LeftSemi, BuildRight") >= 4 and "SortMergeJoin [node_id" not in plan
 
 
+def test_nodes_of_words_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(paths, "PIECE", 3)
+    graph = Graph(table(spark, TOY), 4)
+    texts = [(n["node_id"], n["omega"]) for n in graph.nodes.collect()]
+    words = ["".join(x) for n in (1, 2, 3) for x in product("ACGT", repeat=n)]  # more than one number has bits
+    asked = spark.createDataFrame([(w,) for w in [*words, "", "ACGTA", "A"]], "word string")
+    want = {w: sorted(i for i, t in texts if w in t) for w in words}
+    want = {w: v for w, v in want.items() if v}
+    assert {r["word"]: r["nodes"] for r in paths.nodes_under_k(asked, graph).collect()} == want
+    assert {r["word"]: r["nodes"] for r in paths.nodes_under_k_text(asked, graph).collect()} == {w: "/".join(map(str, v)) for w, v in want.items()}
+
+
 def test_subgraph(spark):
     graph = Graph(table(spark, TOY), 4)
     edges = {(r["src"], r["dst"]) for r in graph.edges.collect()}
