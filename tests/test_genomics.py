@@ -486,6 +486,16 @@ def test_edit_walks(spark):
         assert {r["read_id"]: r["ed"] for r in kept.groupBy("read_id").agg({"ed": "min"}).withColumnRenamed("min(ed)", "ed").collect()} == least
 
 
+def test_walks_leave_no_copy_of_the_graph(spark, unasked, monkeypatch):
+    """What walks go on by is as large as the graph: it is stored in compressed files, which go."""
+    graph, kept, gone = Graph(table(spark, TOY), 4), [], []
+    monkeypatch.setattr(walks, "cut", lambda df: kept.append(ranking.cut(df)) or kept[-1])
+    monkeypatch.setattr(walks, "drop", lambda df: (gone.append(df.columns), ranking.drop(df)), raising=False)
+    reads = sequences.both_ways(spark.createDataFrame([(1, "ACGGTTACGATT")], "read_id long, seq string"))
+    assert walks.edit_walks(reads, graph, 1).count()
+    assert not [x for x in kept if "added" in x.columns] and gone == [["last", "next", "added"]] * 2
+
+
 def test_text_index(spark):
     rng = random.Random(6)
     texts = {i: "".join(rng.choices("AC", k=n)) for i, n in enumerate((30, 1, 45, 30))}
