@@ -129,6 +129,17 @@ def test_texts_of_any_length(spark, monkeypatch):
         assert got == {at: strains[i][b : b + n] for at, (i, b, n) in enumerate(wanted)}
 
 
+def test_stored_tables_of_long_rows_have_small_groups(spark):
+    """A reader takes a whole group of long rows into one array."""
+    import pyarrow.parquet as pq
+
+    kept = ranking.stored(spark.range(0, 24, 1, 1).select(F.expr("cast(array_join(transform(sequence(1, 50000), i -> sha2(cast(id * 50000 + i as string), 256)), '') as binary)").alias("data")))
+    groups = [pq.ParquetFile(x.removeprefix("file://")).metadata for x in kept.inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    assert kept.count() == 24 and len(sizes) > 2 and max(sizes) <= 3 * ranking.GROUP
+    ranking.drop(kept)
+
+
 def test_earlier_rows(spark):
     rng = random.Random(3)
     rows = [(g, at, rng.choice([None, *range(20)])) for g in (0, 1) for at in rng.sample(range(200), 60)]
