@@ -6,7 +6,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from panweave.operators import junctions, matching, paths, ranking, schemes, sequences, subgraph, text_index, walks
+from panweave.operators import junctions, matching, packed_index, paths, ranking, schemes, sequences, subgraph, text_index, walks
 from panweave.operators.graph import Graph, maximal
 
 TOY = {0: "ACGTACGGTTACGATTACAGGACT", 1: "ACGTACGGTTCCGATTACAGGACG", 2: "ACGTACGGTTACGATTTACAGGAAA"}
@@ -568,6 +568,49 @@ def test_text_index_over_blocks(spark, monkeypatch):
     assert classes == {i: 2 if share(i, 9) else 1 if share(i, 8) else 0 for i in range(len(want))}
 
 
+@pytest.mark.parametrize("sizes", [{"SPAN": 1, "BUCKET": 40, "LOOKED_AT": 8, "ROUNDS": 3}, {"SPAN": 3, "BUCKET": 300}, {}])
+def test_packed_index(spark, monkeypatch, sizes):
+    """Chunks, ranges and rounds of any size; copies of texts and of rows of texts, runs, repeats and other ends."""
+    monkeypatch.setattr(text_index, "BLOCK", 64)
+    for name, value in sizes.items():
+        monkeypatch.setattr(packed_index, name, value)
+    rng = random.Random(8)
+    base = "".join(rng.choices("ACGT", k=333))
+    texts = dict(enumerate([base, "G" * 150, base, base[5:200] + "T" + base[201:], "AC" * 60, "C", "C", *[base[:70], "ACG"] * 4, "G" * 90]))
+    whole = "%".join(texts.values()) + "$"
+    want = sorted(range(len(whole)), key=lambda i: whole[i:])
+    last = "".join(whole[i - 1] for i in want)
+    for factor in (4, 16):
+        found = packed_index.Transform(text_index.text_blocks(table(spark, texts)), factor)
+        assert sorted(tuple(r) for r in found.positions().collect()) == list(enumerate(want))
+    assert "".join(r["ch"] for r in found.rows().orderBy("row").collect()) == last
+    ranks = {(r, c, last[:r].count(c), sum(x < c for x in last[:r])) for r in range(len(last)) for c in "$%ACGT"}
+    rows = [tuple(r) for r in found.rank_table().collect()]
+    assert len(rows) == len(ranks) and set(rows) == ranks
+
+
+def test_packed_index_of_short_and_no_texts(spark):
+    for texts in ({}, {1: ""}, {1: "A"}, {1: "A", 2: "A"}):
+        kept = [t for t in texts.values() if t]
+        whole = "%".join(kept) + "$" if kept else ""
+        rows = spark.createDataFrame([(i, s) for i, s in texts.items()], "strain long, seq string")
+        found = packed_index.Transform(text_index.text_blocks(rows), 16)
+        want = sorted(range(len(whole)), key=lambda i: whole[i:])
+        assert sorted(tuple(r) for r in found.positions().collect()) == list(enumerate(want))
+        assert "".join(r["ch"] for r in found.rows().orderBy("row").collect()) == "".join(whole[i - 1] for i in want)
+
+
+def test_queries_leave_the_rows_of_suffixes(spark, monkeypatch):
+    """No row for each suffix is made on the way."""
+    from panweave.plans import more_queries
+
+    gone = lambda *a: pytest.fail("a row for each suffix")
+    for name in ("suffix_array", "characters", "bwt", "counted_above", "find_positions"):
+        monkeypatch.setattr(text_index, name, gone)
+    monkeypatch.setattr(more_queries, "_texts", lambda *a: table(spark, {1: "ACGTACGA", 2: "CCGTA"}))
+    assert [getattr(more_queries, q)(spark, "some").count() for q in ("bwt",)] == [15]
+
+
 def test_text_index_of_nothing(spark):
     rows = spark.createDataFrame([(1, ""), (2, None)], "strain long, seq string")
     blocks = text_index.text_blocks(rows)
