@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panweave.functions.dna import AS_BASES
+from panweave.functions.dna import LETTERS as LETTERS_OF_TEXT
 from panweave.operators import text_index
 from panweave.operators.junctions import packed, unpacked
 from panweave.operators.ranking import drop, release, stored
@@ -94,14 +96,33 @@ def looked(codes: np.ndarray, lead: int, n: int) -> tuple[np.ndarray, np.ndarray
     return context[lead : lead + n], of[lead:] - skipped, places[skipped:] - lead
 
 
+def bases(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """strain, seq and len of every row with a base, as of ``sequences.strains_of``: texts are translated as bytes, all letters at once."""
+    table = bytes.maketrans((LETTERS_OF_TEXT + LETTERS_OF_TEXT.lower()).encode(), (AS_BASES * 2).encode())
+    other = bytes(c for c in range(256) if not (65 <= c <= 90 or 97 <= c <= 122))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, t.encode().translate(table, other)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t]
+            found = [(i, t.decode(), len(t)) for i, t in found if t]
+            kinds = (pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], kind) for j, kind in enumerate(kinds)], ["strain", "seq", "len"])
+
+    return docs.select(F.col(id_column).cast("long"), text_column).mapInArrow(run, "strain long, seq string, len long")
+
+
 def text_chunks(blocks: DataFrame) -> DataFrame:
     """key (chunk), n, anchors, some and some_anchors (contexts of a few suffixes and anchors) and data, of ``text_index.text_blocks``."""
     span, looked_at = SPAN, LOOKED_AT
     chunk = F.floor(F.col("block") / span).cast("long")
     inside = F.pmod("block", F.lit(span))
-    own = blocks.select(chunk.alias("key"), "block", F.lit(0).alias("side"), "chunk")
-    ahead = blocks.filter((inside == 0) & (F.col("block") > 0)).select((chunk - 1).alias("key"), "block", F.lit(1).alias("side"), F.substring("chunk", 1, CONTEXT).alias("chunk"))
-    behind = blocks.filter(inside == span - 1).select((chunk + 1).alias("key"), "block", F.lit(-1).alias("side"), F.substring("chunk", -WINDOW, WINDOW).alias("chunk"))
+    part = lambda to, side, text, asked: F.when(asked, F.struct((chunk + to).alias("key"), F.lit(side).alias("side"), text.alias("chunk")))
+    parts = F.array(
+        part(0, 0, F.col("chunk"), F.lit(True)),
+        part(-1, 1, F.substring("chunk", 1, CONTEXT), (inside == 0) & (F.col("block") > 0)),
+        part(1, -1, F.substring("chunk", -WINDOW, WINDOW), inside == span - 1),
+    )
+    dealt = blocks.select("block", F.explode(F.array_compact(parts)).alias("part")).select("part.key", "block", "part.side", "part.chunk")
     table = np.zeros(256, np.uint8)
     table[LETTERS] = np.arange(len(LETTERS))
     names = "key long, n long, anchors long, some array<long>, some_anchors array<long>, data binary"
@@ -119,7 +140,7 @@ def text_chunks(blocks: DataFrame) -> DataFrame:
         data = packed(codes=codes, size=np.array([lead, n], np.int64))
         return _rows([(rows.column("key")[0].as_py(), n, len(places), few(context), few(context[places]), data)], names)
 
-    return own.unionByName(ahead).unionByName(behind).groupBy("key").applyInArrow(pack, names)
+    return dealt.groupBy("key").applyInArrow(pack, names)
 
 
 def borders(some: list[int], total: int) -> np.ndarray:

@@ -589,6 +589,12 @@ def test_packed_index(spark, monkeypatch, sizes):
     assert len(rows) == len(ranks) and set(rows) == ranks
 
 
+def test_bases_as_bytes(spark):
+    letters = "".join(map(chr, range(32, 127)))
+    rows = spark.createDataFrame([(1, letters), (2, "é\u212a1"), (3, None), (4, ""), (5, "ſaßK\U0001f600t")], "doc_id long, text string")
+    assert sorted(packed_index.bases(rows).collect()) == sorted(sequences.strains_of(rows, 1).collect())
+
+
 def test_packed_index_of_short_and_no_texts(spark):
     for texts in ({}, {1: ""}, {1: "A"}, {1: "A", 2: "A"}):
         kept = [t for t in texts.values() if t]
@@ -607,8 +613,9 @@ def test_queries_leave_the_rows_of_suffixes(spark, monkeypatch):
     gone = lambda *a: pytest.fail("a row for each suffix")
     for name in ("suffix_array", "characters", "bwt", "counted_above", "find_positions"):
         monkeypatch.setattr(text_index, name, gone)
-    monkeypatch.setattr(more_queries, "_texts", lambda *a: table(spark, {1: "ACGTACGA", 2: "CCGTA"}))
-    assert [getattr(more_queries, q)(spark, "some").count() for q in ("bwt",)] == [15]
+    rows = spark.createDataFrame([(1, "ACGTACGA"), (2, "ccg-ta"), (3, None), (4, " 1é")], "doc_id long, text string")
+    monkeypatch.setattr(more_queries.T, "table", lambda *a: rows)
+    assert [getattr(more_queries, q)(spark, "some").count() for q in ("bwt", "bwt_rank_table")] == [15, 90]
 
 
 def test_text_index_of_nothing(spark):
