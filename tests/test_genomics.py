@@ -615,7 +615,7 @@ def test_queries_leave_the_rows_of_suffixes(spark, monkeypatch):
         monkeypatch.setattr(text_index, name, gone)
     rows = spark.createDataFrame([(1, "ACGTACGA"), (2, "ccg-ta"), (3, None), (4, " 1é")], "doc_id long, text string")
     monkeypatch.setattr(more_queries.T, "table", lambda *a: rows)
-    assert [getattr(more_queries, q)(spark, "some").count() for q in ("bwt", "bwt_rank_table")] == [15, 90]
+    assert [getattr(more_queries, q)(spark, "some").count() for q in ("bwt", "bwt_rank_table", "find_positions")] == [15, 90, 15]
 
 
 def test_text_index_of_nothing(spark):
