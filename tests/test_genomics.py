@@ -99,6 +99,20 @@ def test_graph_by_small_cells_and_runs(spark, monkeypatch):
     test_graph(spark, {0: part * 3, 1: part[20:120], 3: "AAAAAAAAAAAAAAAAAAAAAAAAAAAA"}, 5)
 
 
+def test_graph_by_parts(spark, monkeypatch):
+    """Buckets and cells are worked on in parts, and no part shuffles all."""
+    for name, value in {"CELL_BITS": 9, "BUCKET": 64, "ROUND": 2, "ROUNDS": 3, "CELL_ROUNDS": 2}.items():
+        monkeypatch.setattr(junctions, name, value)
+    monkeypatch.setattr(sequences, "BLOCK", 64)
+    asked, rng = [], random.Random(12)
+    for name in ("cuts", "cells"):
+        made = getattr(junctions, name)
+        monkeypatch.setattr(junctions, name, lambda *a, made=made, **part: asked.append(part) or made(*a, **part))
+    part, long = ("".join(rng.choices("ACGT", k=n)) for n in (150, 1500))
+    test_graph(spark, {5: part + long + part, 2: long[400:1300], 7: "ACGTTGCAACGG"}, 11)
+    assert asked == [{"part": i, "parts": n} for n in (3, 2) for i in range(n)]
+
+
 @pytest.mark.parametrize(("odd", "k"), [("N", 5), ("", 33)])
 def test_graph_of_other_letters_and_long_kmers(spark, odd, k):
     rng = random.Random(5)
