@@ -113,6 +113,38 @@ def test_graph_by_parts(spark, monkeypatch):
     assert asked == [{"part": i, "parts": n} for n in (3, 2) for i in range(n)]
 
 
+def test_kmer_to_node_needs_few_places(spark, monkeypatch):
+    """The nodes alone: equal to the whole graph's, with at most two places of each node and one of each strain kept, however often a node
+    occurs; strains over many cells, repeats, ends with and without a cut, equal strains and none of k bases among them."""
+    kept, made = [], junctions.cuts
+
+    def watched(*a, **b):
+        out = made(*a, **b)
+        kept.append(sum(len(junctions.unpacked(bytes(r["data"]))["rising"]) for r in out.filter(F.col("what") == junctions.CUTS).collect()))
+        return out
+
+    monkeypatch.setattr(junctions, "cuts", watched)
+    rng = random.Random(13)
+    part, long = ("".join(rng.choices("ACGT", k=n)) for n in (60, 700))
+    changed = lambda s, n: "".join(rng.choice("ACGT") if i % n == n - 1 else c for i, c in enumerate(s))
+    often = {i: changed(part, 9 + i % 5) for i in range(2, 30)} | {40: part, 41: part, 42: "ACG", 43: part[:30]}
+    over = {5: part + long + part, 2: long[100:500], 9: long, 7: "ACGTTGCAACGG"}
+    sizes = {"CELL_BITS": 8, "BUCKET": 64, "PIECE": 32, "CHUNK": 200, "ROW": 8, "RUN": 5}
+    for strains, k, small in ((TOY, 4, {}), (TWIN, 4, {}), (often, 7, {}), (often, 4, sizes), (over, 11, sizes), ({0: part * 3, 3: "A" * 28}, 5, sizes)):
+        for name, value in small.items():
+            monkeypatch.setattr(junctions, name, value)
+        monkeypatch.setattr(sequences, "BLOCK", 64)
+        kept.clear()
+        alone, whole = Graph(table(spark, strains), k, nodes_only=True), Graph(table(spark, strains), k)
+        nodes = sorted(alone.nodes.collect())
+        assert nodes == sorted(whole.nodes.collect())
+        assert {(n["omega"], n["kind"]) for n in nodes} == {x for segs in plain_graph(strains, k).values() for x in segs}
+        assert sorted(alone.kmer_to_node().collect()) == sorted(whole.kmer_to_node().collect())
+        assert kept[0] <= 2 * len(nodes) + len(strains)
+        if strains is often:
+            assert 2 * kept[0] < kept[1]
+
+
 @pytest.mark.parametrize(("odd", "k"), [("N", 5), ("", 33)])
 def test_graph_of_other_letters_and_long_kmers(spark, odd, k):
     rng = random.Random(5)
