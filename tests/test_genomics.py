@@ -553,6 +553,36 @@ def test_walks_leave_no_copy_of_the_graph(spark, unasked, monkeypatch):
     assert not [x for x in kept if "added" in x.columns] and gone == [["last", "next", "added"]] * 2
 
 
+def test_walks_among_nodes_alone(spark, monkeypatch):
+    """A graph of nodes alone gives the same walks as the whole one: of few reads by looks at its packed texts, of many by its pairs."""
+    rng = random.Random(3)
+    base = "".join(rng.choices("ACGT", k=60))
+    strains = {0: base, 1: base[:30] + "A" + base[31:], 2: base[:20] + base[23:]}
+    reads = read_table(spark, {(0, 0): base[5:40], (1, 0): base[10:28] + "C" + base[29:48], (2, 0): base[12:20] + base[23:30] + "A" + base[31:45]})
+    whole, few = (Graph(table(spark, strains), 9, nodes_only=n) for n in (False, True))
+    rows = lambda t: sorted(map(tuple, t.collect()))
+    closed = {r["node_id"] for r in whole.nodes.filter("kind <> 'end'").collect()}
+    assert rows(few.pairs) == [x for x in rows(whole.pairs.distinct()) if set(x) <= closed]
+    expected, shuffled = rows(walks.edit_walks(reads, whole, 1)), []
+    pairs = Graph.pairs
+    monkeypatch.setattr(Graph, "pairs", property(lambda g: shuffled.append(g) or pairs.fget(g)))
+    assert rows(walks.edit_walks(reads, few, 1)) == expected and not shuffled
+    monkeypatch.setattr(walks, "NEAR", 0)
+    assert rows(walks.edit_walks(reads, few, 1)) == expected and shuffled == [few, few]
+
+
+def test_advance():
+    """The band's ends are those of the whole table, wherever the text is cut."""
+    rng = random.Random(5)
+    for _ in range(2000):
+        k, pattern, text = rng.randint(0, 4), "".join(rng.choices("AC", k=rng.randint(0, 12))), "".join(rng.choices("AC", k=rng.randint(0, 16)))
+        at, start = rng.randint(0, len(text)), [d - k if k <= d <= len(pattern) + k else k + 1 for d in range(2 * k + 1)]
+        row, ends = walks.advance(pattern, text[:at], k, start, 0)
+        ends += walks.advance(pattern, text[at:], k, row, at)[1]
+        assert ends == [(i, e) for i, e in enumerate(walks.prefix_distances(pattern, text)) if i and e <= k]
+    assert not walks.hopeless("", "A", 0)
+
+
 def test_text_index(spark):
     rng = random.Random(6)
     texts = {i: "".join(rng.choices("AC", k=n)) for i, n in enumerate((30, 1, 45, 30))}
