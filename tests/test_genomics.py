@@ -583,6 +583,18 @@ def test_advance():
     assert not walks.hopeless("", "A", 0)
 
 
+def test_sizes_of_walks_need_no_texts(spark, monkeypatch):
+    """The filters of walks take lengths of nodes from the packed texts, which aren't made strings."""
+    graph = Graph(table(spark, TOY), 4, nodes_only=True)
+    expected = {r["node_id"]: r["len"] for r in graph.nodes.collect()}
+    assert {r["node_id"]: r["len"] for r in graph.sizes.collect()} == expected
+    monkeypatch.setattr(Graph, "nodes", property(lambda g: 1 / 0))
+    path = sorted(expected)[:2]
+    found = spark.createDataFrame([(1, 0, path, 0, 6, 0)], walks.FIELDS)
+    assert walks.with_sizes(found, graph).first()["sizes"] == [expected[n] for n in path]
+    assert walks.filter_complete(found, graph, 1).count() == walks.filter_linear(found, graph, 1).count() == 1
+
+
 def test_text_index(spark):
     rng = random.Random(6)
     texts = {i: "".join(rng.choices("AC", k=n)) for i, n in enumerate((30, 1, 45, 30))}
